@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op3_exact_dedup": "exact_dedup",
+    "op4_decontamination": "decontaminate",
     "op5_sharding": "sharding",
+    "op8_language_id": "langid",
     "op9_mixing": "mixing",
 }
 
