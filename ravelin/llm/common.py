@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -70,3 +71,22 @@ def id_text(name: str) -> Column:
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drop columns that an operator is about to add; the computed column wins."""
     return df.drop(*[c for c in names if c in df.columns])
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs.
+
+    Spark deletes a shuffle once the driver's garbage collector finds that nothing
+    refers to it; a long program that waits for that by chance fills the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``written`` made, when nothing reads it any more."""
+    context = df.sparkSession.sparkContext
+    for file in df.inputFiles()[:1]:
+        path = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if "/ravelin/" in path.toString():
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

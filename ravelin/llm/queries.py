@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op1_jaccard_join": "jaccard",
     "op3_exact_dedup": "exact_dedup",
     "op4_decontamination": "decontaminate",
     "op5_sharding": "sharding",
