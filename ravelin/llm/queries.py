@@ -12,6 +12,7 @@ MODULES = {
     "op3_exact_dedup": "exact_dedup",
     "op4_decontamination": "decontaminate",
     "op5_sharding": "sharding",
+    "op7_warc": "warc",
     "op8_language_id": "langid",
     "op9_mixing": "mixing",
 }
