@@ -14,6 +14,7 @@ MODULES = {
     "op3_exact_dedup": "exact_dedup",
     "op4_decontamination": "decontaminate",
     "op5_sharding": "sharding",
+    "op6_suffix_dedup": "suffix_dedup",
     "op7_warc": "warc",
     "op8_language_id": "langid",
     "op9_mixing": "mixing",
