@@ -128,6 +128,7 @@ def _contexts(length: int, hot: int):
             for key, text, places in sorted(
                 zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True), key=lambda x: x[0]
             ):
+                whole: set[int] = set()  # strings that are bucketed whole, once each
                 for p in places:
                     at, n = p["place"], p["n"]
                     lo, hi = max(0, at - reach), min(len(text), at + length)
@@ -135,7 +136,8 @@ def _contexts(length: int, hot: int):
                         continue
                     windows = [(p["gram"], at, lo, hi)]
                     if n > hot:
-                        windows = [(None, s, s, s + length) for s in range(lo, hi - length + 1)]
+                        windows = [(None, s, s, s + length) for s in range(lo, hi - length + 1) if s not in whole]
+                        whole.update(w[1] for w in windows)
                     for bucket, place, a, b in windows:
                         data = text[a:b]
                         print_ = xxhash.xxh3_128_intdigest(data + (place - a).to_bytes(2, "little"))
