@@ -57,6 +57,15 @@ def ascii_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+#: Rows of ids, some 30 bytes each, up to which a table is broadcast.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(ids: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A written table of ids, to be broadcast if it has ``most`` rows at most, else shuffled."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def hash60(key: Column, seed: str) -> Column:
     """Hash of 60 bits in [0, 2**60), which any SQL engine with md5 can repeat."""
     digest = F.md5(F.concat(F.lit(seed + ":"), key))

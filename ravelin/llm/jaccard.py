@@ -1,12 +1,14 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 Documents are sets of five-word shingles.  All sets order their shingles alike, by
-estimated document frequency and then by hash, so that rare ones come first.  Of two
-sets with similarity t or more, the first l common shingles lie within the first
-``n - ceil(t n) + l`` shingles of each.  A document whose short prefix holds frequent
-shingles costs many candidates; it gets a longer prefix (l up to ``MAX_MATCHES``) and
-its partners must share more of it: two documents are compared only when they share
-min(l1, l2) prefix shingles, at places that still allow the overlap they need.
+estimated document frequency and then by hash, so that rare ones come first.  A
+document's prefix is its first ``n - ceil(t n) + l`` shingles.  Of two sets that overlap
+in o, the one whose prefix ends first misses at most ``n - o`` of its prefix in the other, so
+both prefixes share ``l + o - ceil(t n)`` shingles at least.  A document whose short
+prefix holds frequent shingles costs many candidates; it gets a longer prefix (l up to
+``MAX_MATCHES``) and its partners must share that much more of it.  Two documents
+are compared only when they share as many prefix shingles as that, at places that
+still allow the overlap they need.
 The frequencies come from a count-min row of fixed size (``CELLS``) over all texts;
 it steers the cost and never the result.
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import discard, release, table, text_bytes, written
+from ravelin.llm.common import broadcast_if_small, discard, release, table, text_bytes, written
 from ravelin.llm.components import components
 from ravelin.llm.shingles import WordHashes, shingle_set
 
@@ -42,9 +44,11 @@ MAX_MATCHES = 4
 #: Cells of the frequency sketch, and the slices in which it is added up.
 CELLS, SLICES = 1 << 20, 16
 SALT_ROWS = 20_000
-#: A bucket's pairs are formed once they number no more than so many times its rows.
-PAIRS_A_ROW = 4
+#: Pairs are formed once those that share a shingle number no more than so many times the postings.
+PAIRS_A_ROW = 50
 STAR_ROUNDS = 6
+#: Star rounds go on while they link this share of what they compare.
+STAR_YIELD = 0.25
 _CELL_SHIFT = np.uint64(44)
 _PLACE_BITS, _MATCH_BITS = 28, 4
 
@@ -59,8 +63,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "slice", "cells"]
     for batch in batches:
         sets = [shingle_set(t, hashes) for t in text_bytes(batch.column(1))]
-        for s in sets:
-            np.add.at(cells, (s >> _CELL_SHIFT).astype(np.int64), 1)
+        if sets:
+            cells += np.bincount((np.concatenate(sets) >> _CELL_SHIFT).astype(np.int64), minlength=CELLS).astype(np.uint32)
         sizes = pa.array([len(s) for s in sets], pa.int64())
         nothing = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *nothing], names)
@@ -119,7 +123,7 @@ def prefix(codes: np.ndarray, sketch: np.ndarray, noise: int, percent: int) -> t
     return codes[taken], counts[taken], matches
 
 
-def _postings(sketch, percent: int):
+def _postings(sketch, percent: int, salt_rows: int):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         cells = sketch.value
@@ -134,8 +138,9 @@ def _postings(sketch, percent: int):
                 tokens.append(taken)
                 nodes.append(np.full(len(taken), node, np.int64))
                 metas.append(((np.int64(len(codes)) << _PLACE_BITS | np.arange(len(taken))) << _MATCH_BITS) | matches)
-                shares = counts.astype(np.int64) // SALT_ROWS + 1
-                salts.append((np.int64(node * 0x9E3779B1 & 0x7FFFFFFF) % shares).astype(np.int32))
+                shares = counts.astype(np.int64) // salt_rows + 1
+                salt = 1 + np.int64(node * 0x9E3779B1 & 0x7FFFFFFF) % shares
+                salts.append(np.where(shares > 1, salt, 0).astype(np.int32))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -150,38 +155,50 @@ def _postings(sketch, percent: int):
     return post
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by token and salt, those that another node shares, with the run's smallest node.
+def _members(percent: int):
+    """Of postings sorted by token, salt and node, those with another node of fitting size
+    in their run, with the run's first node (the hub) and its meta.
 
     The run that a batch ends in waits for the next batch; salting bounds it.
     Salted shingles always pass: their other runs are elsewhere.
     """
 
     def shared(rows: pa.Table) -> pa.RecordBatch | None:
-        token, salt, node = (rows.column(c).to_numpy() for c in ("token", "salt", "node"))
+        token, salt, node, meta = (rows.column(c).to_numpy() for c in ("token", "salt", "node", "meta"))
         new = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
-        starts = np.flatnonzero(new)
+        keep = np.append(False, ~new[1:]) | np.append(~new[1:], False) | (salt > 0)
+        if not keep.any():
+            return None
         run = np.cumsum(new) - 1
-        low, high = np.minimum.reduceat(node, starts), np.maximum.reduceat(node, starts)
-        keep = (low != high)[run] | (salt > 0)
+        size = meta >> (_PLACE_BITS + _MATCH_BITS)
+        ordered = np.sort((run << 30) | size)
+        least = np.searchsorted(ordered, (run << 30) | -(-percent * size // 100))
+        most = np.searchsorted(ordered, (run << 30) | np.minimum(100 * size // percent, (1 << 30) - 1), "right")
+        keep &= (most - least > 1) | (salt > 0)
         if not keep.any():
             return None
-        kept = rows.filter(pa.array(keep)).append_column("hub", pa.array(low[run][keep]))
+        first = np.flatnonzero(new)[run]
+        kept = rows.filter(pa.array(keep))
+        kept = kept.append_column("hub", pa.array(node[first][keep])).append_column("hub_meta", pa.array(meta[first][keep]))
         return kept.combine_chunks().to_batches()[0]
 
-    rest: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch])
-        rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
-        token, salt = rows.column("token").to_numpy(), rows.column("salt").to_numpy()
-        last = int(np.flatnonzero((token != token[-1]) | (salt != salt[-1]))[-1]) + 1 if (token[0], salt[0]) != (token[-1], salt[-1]) else 0
-        rest = rows.slice(last)
-        if last and (found := shared(rows.slice(0, last).combine_chunks())) is not None:
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
+            token, salt = rows.column("token").to_numpy(), rows.column("salt").to_numpy()
+            apart = np.flatnonzero((token != token[-1]) | (salt != salt[-1]))
+            last = int(apart[-1]) + 1 if len(apart) else 0
+            rest = rows.slice(last)
+            if last and (found := shared(rows.slice(0, last).combine_chunks())) is not None:
+                yield found
+        if rest is not None and (found := shared(rest.combine_chunks())) is not None:
             yield found
-    if rest is not None and (found := shared(rest.combine_chunks())) is not None:
-        yield found
+
+    return select
 
 
 # -- comparisons ---------------------------------------------------------------------
@@ -214,10 +231,15 @@ def _linked(percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link.  A node that many others are compared with is on one side of a join that Spark splits."""
-    left = sets.select(F.col("node").alias("a"), F.col("codes").alias("x"))
+    """The pairs (a, b), a written table, that link.
+
+    While the pairs' ids can be broadcast, only sets that take part are shuffled.  A node that
+    many others are compared with is on one side of a join that Spark splits.
+    """
+    firsts = broadcast_if_small(written(pairs.select(F.col("a").alias("node")).distinct(), "jaccard-nodes"))
+    left = sets.join(firsts, "node", "left_semi").select(F.col("node").alias("a"), F.col("codes").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("codes").alias("y"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    both = right.join(broadcast_if_small(pairs.select("a", "b")), "b").join(left, "a").select("a", "b", "x", "y")
     return both.mapInArrow(_linked(percent), "a long, b long")
 
 
@@ -244,11 +266,42 @@ def _possible(m1: str, m2: str, percent: int) -> Column:
     )
 
 
+def _needed(m1: str, m2: str, percent: int) -> Column:
+    """Prefix shingles that two documents must share: see above."""
+    n1, n2 = _size(m1), _size(m2)
+    overlap = F.ceil((n1 + n2) * percent / (100 + percent) - 1e-9)
+    spare = lambda n, m: _matches(m) - F.ceil(n * percent / 100 - 1e-9)
+    return F.greatest(F.lit(1), overlap + F.least(spare(n1, m1), spare(n2, m2)))
+
+
+def _first_ones(m1: str, m2: str, percent: int) -> tuple[Column, Column]:
+    """How many shared shingles to count, a third of those needed, and whether a shared shingle
+    may be among the first so many: these leave room for the overlap after them."""
+    n1, n2 = _size(m1), _size(m2)
+    overlap = F.ceil((n1 + n2) * percent / (100 + percent) - 1e-9)
+    enough = F.ceil(_needed(m1, m2, percent) / 3)
+    return enough, (_place(m1) <= n1 - overlap + enough - 1) & (_place(m2) <= n2 - overlap + enough - 1)
+
+
+def _fetched(pairs: DataFrame, rows: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """The sets of all nodes in ``pairs``, those in ``sets`` already and the rest from their texts."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    if sets is not None:
+        nodes = nodes.join(sets.select("node"), "node", "left_anti")
+    nodes = written(nodes, "jaccard-nodes")
+    if nodes.isEmpty() and sets is not None:
+        return sets
+    texts = rows.join(broadcast_if_small(nodes), F.col("doc_id") == F.col("node"), "left_semi")
+    more = written(texts.mapInArrow(_sets, "node long, codes binary"), "jaccard-sets")
+    release(rows.sparkSession)
+    return more if sets is None else sets.unionByName(more)
+
+
 def _grouped(nodes: DataFrame, groups: DataFrame | None) -> DataFrame:
     """``nodes`` with comp, the group so far of its node (itself at first)."""
     if groups is None:
         return nodes.withColumn("comp", F.col("node"))
-    return nodes.join(groups.select("node", F.col("comp").alias("__c")), "node", "left").select(
+    return nodes.join(broadcast_if_small(groups.select("node", F.col("comp").alias("__c"))), "node", "left").select(
         *nodes.columns, F.coalesce("__c", "node").alias("comp")
     )
 
@@ -285,18 +338,21 @@ def _pairs_left(active: DataFrame) -> tuple[int, int]:
     return int(r["rows"] or 0), int(r["pairs"] or 0)
 
 
-def _most_shared(candidates: DataFrame) -> DataFrame:
-    """Of (node, hub), for each node the hub it shares most shingles with, as pairs."""
+def _most_shared(candidates: DataFrame, percent: int) -> DataFrame:
+    """Of (node, meta, hub, hub_meta), for each node the hub it shares most shingles with,
+    if they are enough, as pairs."""
     return (
-        candidates.groupBy("node", "hub")
-        .agg(F.count("*").alias("n"))
+        candidates.filter(_possible("meta", "hub_meta", percent))
+        .groupBy("node", "hub")
+        .agg(F.count("*").alias("n"), F.min(_needed("meta", "hub_meta", percent)).alias("least"))
+        .filter("n >= least")
         .groupBy("node")
         .agg(F.max(F.struct("n", F.negative("hub").alias("h"))).alias("best"))
         .select((-F.col("best.h")).alias("a"), F.col("node").alias("b"))
     )
 
 
-def link_groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
+def link_groups(docs: DataFrame, percent: int = PERCENT, salt_rows: int = SALT_ROWS) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, n_shingles) of every row of ``docs`` (doc_id, text), and (node, comp) of
     the nodes that were candidates (None if there are none)."""
     spark = docs.sparkSession
@@ -305,29 +361,29 @@ def link_groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Dat
     sizes = profiles.filter("slice IS NULL").select("doc_id", F.col("n").alias("n_shingles"))
     sketch = spark.sparkContext.broadcast(_sketch(profiles))
     # -- candidates: postings of prefixes, of which those are kept that two nodes share
-    postings = rows.mapInArrow(_postings(sketch, percent), "token long, salt int, node long, meta long")
+    postings = rows.mapInArrow(_postings(sketch, percent, salt_rows), "token long, salt int, node long, meta long")
     members = written(
         postings.repartition("token", "salt")
-        .sortWithinPartitions("token", "salt")
-        .mapInArrow(_members, "token long, salt int, node long, meta long, hub long"),
+        .sortWithinPartitions("token", "salt", "node")
+        .mapInArrow(_members(percent), "token long, salt int, node long, meta long, hub long, hub_meta long"),
         "jaccard-members",
     )
     release(spark)
-    nodes = members.select("node").distinct()
-    sets = written(
-        rows.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets, "node long, codes binary"), "jaccard-sets"
-    )
-    release(spark)
+    if members.isEmpty():
+        return sizes, None
     # -- the first star round: each node against the hub of most of its shingles
-    hubs = members.filter("salt > 0").groupBy("token").agg(F.min("hub").alias("top"))
-    across = members.filter("salt > 0").select("token", "hub").distinct().join(hubs, "token").select(
-        F.col("hub").alias("node"), F.col("top").alias("hub")
+    salted = members.filter("salt > 0")
+    tops = salted.groupBy("token").agg(F.min(F.struct("hub", "hub_meta")).alias("top"))
+    across = (
+        salted.select("token", F.col("hub").alias("node"), F.col("hub_meta").alias("meta"))
+        .distinct()
+        .join(tops, "token")
+        .select("node", "meta", "top.hub", "top.hub_meta")
     )
-    stars = members.select("node", "hub").unionByName(across).filter("node <> hub")
-    if stars.isEmpty():
-        return sizes, None
-    links = _verified(_most_shared(stars), sets, percent)
-    groups = _joined(None, written(links, "jaccard-links"))
+    stars = members.select("node", "meta", "hub", "hub_meta").unionByName(across).filter("node <> hub")
+    pairs = written(_most_shared(stars, percent), "jaccard-pairs")
+    sets = _fetched(pairs, rows, None)
+    groups = _joined(None, written(_verified(pairs, sets, percent), "jaccard-links"))
     # -- more star rounds, with hubs drawn at random, while many pairs are left
     active = _active(members, groups)
     discard(members)
@@ -340,37 +396,48 @@ def link_groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Dat
             F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "comp", "meta")).alias("hub")
         )
         met = (
-            active.join(drawn, "token")
-            .select("node", "meta", "comp", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hc"), F.col("hub.meta").alias("hm"))
-            .filter((F.col("comp") != F.col("hc")) & _possible("meta", "hm", percent))
+            active.join(drawn.withColumnRenamed("hub", "drawn"), "token")
+            .filter(F.col("comp") != F.col("drawn.comp"))
+            .select("node", "meta", F.col("drawn.node").alias("hub"), F.col("drawn.meta").alias("hub_meta"))
         )
-        links = written(_verified(_most_shared(met.select("node", "hub")), sets, percent), "jaccard-links")
-        if links.isEmpty():
-            continue
-        groups = _joined(groups, links)
-        old, active = active, _active(active, groups)
-        discard(old)
-        release(spark)
+        pairs = written(_most_shared(met, percent), "jaccard-pairs")
+        if pairs.isEmpty():
+            break
+        sets = _fetched(pairs, rows, sets)
+        links = written(_verified(pairs, sets, percent), "jaccard-links")
+        n_links = links.count()
+        if n_links:
+            groups = _joined(groups, links)
+            old, active = active, _active(active, groups)
+            discard(old)
+            release(spark)
+        if n_links < STAR_YIELD * pairs.count():
+            break  # what is left are texts that share passages and do not link
     # -- what is left: all pairs of different groups that share enough of their prefixes
     x = active.select("token", F.col("node").alias("a"), F.col("meta").alias("ma"), F.col("comp").alias("ca"))
     y = active.select("token", F.col("node").alias("b"), F.col("meta").alias("mb"), F.col("comp").alias("cb"))
-    pairs = (
+    enough, among = _first_ones("ma", "mb", percent)
+    pairs = written(
         x.join(y, "token")
-        .filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible("ma", "mb", percent))
+        .filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible("ma", "mb", percent) & among)
         .groupBy("a", "b")
-        .agg(F.count("*").alias("n"), F.min(F.least(_matches("ma"), _matches("mb"))).alias("least"))
+        .agg(F.count("*").alias("n"), F.min(enough).alias("least"))
         .filter("n >= least")
+        .select("a", "b"),
+        "jaccard-pairs",
     )
-    links = written(_verified(pairs, sets, percent), "jaccard-links")
-    if not links.isEmpty():
-        groups = _joined(groups, links)
+    release(spark)
+    if not pairs.isEmpty():
+        links = written(_verified(pairs, _fetched(pairs, rows, sets), percent), "jaccard-links")
+        if not links.isEmpty():
+            groups = _joined(groups, links)
     release(spark)
     return sizes, groups
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, salt_rows: int = SALT_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    sizes, groups = link_groups(docs, percent)
+    sizes, groups = link_groups(docs, percent, salt_rows)
     if groups is None:
         return sizes.withColumn("component_id", F.col("doc_id"))
     return sizes.join(groups, F.col("doc_id") == F.col("node"), "left").select(

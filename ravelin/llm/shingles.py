@@ -41,4 +41,9 @@ def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
     total = codes[:n] + np.uint64(width)
     for i in range(1, width):
         total = total * _STEP + codes[i : i + n]
-    return np.unique(_mixed(total))
+    total = _mixed(total)
+    total.sort()
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(total[1:], total[:-1], out=new[1:])
+    return total[new]
