@@ -4,9 +4,9 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts earlier: in a do
 a smaller id, or earlier in its own.  Whole suffixes of all documents can't be moved
 to where they sort, so a sample of positions covers them: among the ``SPAN`` places of a
 string of ``LENGTH`` bytes at which a gram of ``GRAM`` bytes starts, the one with the least hash
-(the last of equals) is in the sample.  The choice depends on the string alone, so equal
-strings have a sample position at the same place, as a difference cover has for
-any two suffixes.  Sample positions whose gram occurs once take no part.
+(the last of equals) is in the sample and stands for the string.  The choice depends on the
+string alone, so equal strings have a sample position at the same place, as a difference
+cover has for any two suffixes.  Sample positions whose gram occurs once take no part.
 
 The rest fall into buckets by gram, and a task sorts one block of buckets at a time.  In a
 bucket, the suffixes at the sample positions are sorted, and so are the reversed
@@ -16,7 +16,8 @@ left ranks at depth j and their right ranks at depth LENGTH - j are: long ties a
 settled by these ranks, and no string is compared twice.  Memory is bounded by the
 block (``BLOCK_ROWS`` contexts).  Equal contexts are combined in each task before the
 shuffle, so that the thousandth copy of a passage costs no more than the second; a
-gram with more than ``HOT`` positions is bucketed by whole strings instead.
+gram with more than ``HOT`` positions has a bucket for each ``STEP`` offsets and each text
+that all strings at these offsets have in common.
 
 Later copies of a whole text need no sorting: the first copy decides (of 100 bytes or more
 they go altogether).
@@ -41,12 +42,17 @@ from pyspark.sql import functions as F
 from ravelin.llm.common import discard, release, table, text_bytes, written
 
 LENGTH, GRAM = 100, 32
-#: Contexts that are sorted at once, and positions of one gram beyond which it is bucketed by whole strings.
-BLOCK_ROWS, HOT = 100_000, 200_000
+#: Contexts that are sorted at once, and positions of one gram beyond which its bucket is cut up.
+BLOCK_ROWS, HOT = 100_000, 50_000
+#: Offsets of strings from a frequent gram that share a bucket.
+STEP = 9
 #: Bytes of text whose sample is drawn at once.
 _SEGMENT = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(_SEGMENT - 1)
+#: A position is stored with its distances from the first and last string that it stands for.
+_OFFSET_BITS = 12
+_OFFSET = (1 << _OFFSET_BITS) - 1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -64,9 +70,10 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def sample(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Sample positions of a text and their grams' hashes."""
-    places, hashes = [], []
+def sample(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sample positions of a text, their grams' hashes, and the first and last string that
+    each stands for: every string of ``length`` bytes has one position that it chose."""
+    parts = []
     span = length - GRAM + 1
     for start in range(0, max(len(data) - length + 1, 0), _SEGMENT - length + 1):
         h = gram_hashes(data[start : start + _SEGMENT])
@@ -78,13 +85,12 @@ def sample(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
         if width < span:
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
         at = (_LOW - (least & _LOW)).astype(np.int64)
-        at = at[np.append(True, at[1:] != at[:-1])]
-        places.append(at + start)
-        hashes.append(h[at])
-    if not places:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(hashes)[first].view(np.int64)
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        last = np.append(first[1:], len(at)) - 1
+        parts.append((at[first] + start, h[at[first]].view(np.int64), first + start, last + start))
+    if not parts:
+        return (np.empty(0, np.int64),) * 4
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
 # -- sample positions ---------------------------------------------------------------
@@ -95,9 +101,9 @@ def _sampler(length: int):
         for batch in batches:
             keys, places, grams = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for key, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                place, gram = sample(np.frombuffer(text, np.uint8), length)
+                place, gram, first, last = sample(np.frombuffer(text, np.uint8), length)
                 keys.append(np.full(len(place), key, np.int64))
-                places.append(place)
+                places.append((((place << _OFFSET_BITS) | (place - first)) << _OFFSET_BITS) | (place - last))
                 grams.append(gram)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (grams, keys, places)], ["gram", "key", "place"])
 
@@ -117,40 +123,51 @@ _CONTEXT_NAMES = ["bucket", "key", "place", "before", "bytes", "until"]
 _CONTEXT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
 
 
+def _pieces(text: bytes, at: int, far: int, near: int, length: int, gram: int, hot: bool) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, end) of the contexts of a sample position that stands for the strings that
+    start ``far`` to ``near`` bytes before it: one, or, for a frequent gram, one for each ``STEP``
+    such offsets, bucketed by what strings at these offsets have in common."""
+    if not hot:
+        yield gram, at - far, at - near + length
+        return
+    for low in range(near - near % STEP, far + 1, STEP):
+        high = low + STEP - 1
+        common = text[at - low : at + length - high]  # within the text, as part of each of these strings
+        yield xxhash.xxh3_64_intdigest(common, seed=low + 1) - 2**63, at - min(high, far), at - max(low, near) + length
+
+
 def _contexts(length: int, hot: int):
     """The bytes around each position, and, in place of contexts that repeat an earlier one of the task, what they remove."""
-    reach = length - GRAM
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CONTEXT_TYPES, strict=True)], _CONTEXT_NAMES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[int, int]] = {}
+        seen: dict[bytes, tuple[int, int]] = {}
+        rows: list[tuple] = []
         for batch in batches:
-            rows = []
-            for key, text, places in sorted(
-                zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True), key=lambda x: x[0]
-            ):
-                whole: set[int] = set()  # strings that are bucketed whole, once each
-                for p in places:
-                    at, n = p["place"], p["n"]
-                    lo, hi = max(0, at - reach), min(len(text), at + length)
-                    if hi - lo < length:
-                        continue
-                    windows = [(p["gram"], at, lo, hi)]
-                    if n > hot:
-                        windows = [(None, s, s, s + length) for s in range(lo, hi - length + 1) if s not in whole]
-                        whole.update(w[1] for w in windows)
-                    for bucket, place, a, b in windows:
+            order = np.argsort(batch.column(0).to_numpy(), kind="stable").tolist()
+            for i in order:
+                key, text = batch.column(0)[i].as_py(), text_bytes(batch.column(1).slice(i, 1))[0]
+                gone = []
+                for p in batch.column(2)[i].as_py():
+                    at, far, near = p["place"] >> 2 * _OFFSET_BITS, p["place"] >> _OFFSET_BITS & _OFFSET, p["place"] & _OFFSET
+                    for bucket, a, b in _pieces(text, at, far, near, length, p["gram"], p["n"] > hot):
                         data = text[a:b]
-                        print_ = xxhash.xxh3_128_intdigest(data + (place - a).to_bytes(2, "little"))
-                        bucket = xxhash.xxh3_64_intdigest(data) - 2**63 if bucket is None else bucket
+                        print_ = xxhash.xxh3_128_digest(data + (at - a).to_bytes(2, "little") + bucket.to_bytes(8, "little", signed=True))
                         first = seen.get(print_)
-                        if first is not None and first < (key, place):
-                            rows.append((bucket, key, a, None, None, b))
+                        if first is not None and first < (key, at):
+                            gone.append((a, b))
                             continue
                         if len(seen) < 300_000:
-                            seen[print_] = (key, place)
-                        rows.append((bucket, key, place, place - a, data, None))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CONTEXT_TYPES, strict=True)], _CONTEXT_NAMES)
+                            seen[print_] = (key, at)
+                        rows.append((bucket, key, at, at - a, data, None))
+                rows += [(key, key, a, None, None, b) for a, b in joined_spans(gone)]
+                if len(rows) >= 20_000:
+                    yield packed(rows)
+                    rows = []
+        yield packed(rows)
 
     return cut
 
@@ -314,8 +331,8 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (of bytes, start and end) and kept_sha256 of every row of ``docs`` (doc_id, text)."""
-    if not GRAM < length < _SEGMENT // 2:
-        raise ValueError(f"length must exceed {GRAM} bytes")
+    if not GRAM < length <= _OFFSET:
+        raise ValueError(f"length must be over {GRAM} and at most {_OFFSET} bytes")
     spark = docs.sparkSession
     texts, facts = _keyed(docs)
     firsts = facts.groupBy("sha").agg(F.min("key").alias("first"))

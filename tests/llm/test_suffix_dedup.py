@@ -65,6 +65,9 @@ def test_long_text_is_one_text(monkeypatch):
     monkeypatch.setattr(sd, "_SEGMENT", 1 << 10)
     parts = sd.sample(data)
     assert set(whole[0]) == set(parts[0])
+    for place, _, first, last in (whole, parts):
+        strings = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])
+        assert sorted(strings) == list(range(5000 - 99)) and (first <= place).all() and (place <= last + 68).all()
 
 
 def test_repeated_and_missing_ids(spark):
