@@ -111,8 +111,13 @@ def _sampler(length: int):
 
 
 def _repeated(positions: DataFrame) -> DataFrame:
-    """The positions whose gram has several, with their number n."""
-    many = positions.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
+    """The positions whose gram has several, with their number n.
+
+    The counts are a table of their own, so that Spark can split a gram that a large
+    share of the positions has.
+    """
+    many = written(positions.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-grams")
+    release(positions.sparkSession)
     return positions.join(many, "gram")
 
 
