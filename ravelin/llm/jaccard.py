@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import broadcast_if_small, discard, release, table, text_bytes, written
+from ravelin.llm.common import broadcast_if_small, discard, release, sliced, table, text_bytes, written
 from ravelin.llm.components import components
 from ravelin.llm.shingles import WordHashes, shingle_set
 
@@ -61,7 +61,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     cells = np.zeros(CELLS, np.uint32)
     names = ["doc_id", "n", "slice", "cells"]
-    for batch in batches:
+    for batch in sliced(batches):
         sets = [shingle_set(t, hashes) for t in text_bytes(batch.column(1))]
         if sets:
             cells += np.bincount((np.concatenate(sets) >> _CELL_SHIFT).astype(np.int64), minlength=CELLS).astype(np.uint32)
@@ -128,7 +128,7 @@ def _postings(sketch, percent: int, salt_rows: int):
         hashes = WordHashes()
         cells = sketch.value
         noise = 4 * int(np.median(cells)) + 4
-        for batch in batches:
+        for batch in sliced(batches):
             tokens, nodes, metas, salts = [], [], [], []
             for node, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 codes = shingle_set(text, hashes)
@@ -206,14 +206,14 @@ def _members(percent: int):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in sliced(batches):
         sets = [shingle_set(t, hashes).tobytes() for t in text_bytes(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "codes"])
 
 
 def _linked(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -37,7 +37,7 @@ UNKNOWN = "und"
 #: Texts are worked through in pieces of so many characters, to bound memory.
 PIECE = 1_000_000
 #: N-grams kept in a task before they are added up.
-HELD = 4_000_000
+HELD = 1_000_000
 
 
 @cache
