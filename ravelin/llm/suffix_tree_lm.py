@@ -1,19 +1,24 @@
 """Language-model scoring by a probabilistic suffix tree.
 
 Symbols are words (A-Z lower-cased) and one end a text.  The tree's nodes are contexts
-of up to two words.  A context is a candidate if it and a following symbol make up
-``MIN_SHARE`` of all tokens or more; it is retained if its next-symbol distribution diverges
+of up to ``DEPTH`` words.  A context is a candidate with each symbol that follows it ``MIN_COUNT`` times
+or more, at any size of the corpus; it is retained if its next-symbol distribution diverges
 from that of its longest proper suffix by more than its parameters cost: the gain in
 log-likelihood must exceed half the logarithm of the context's count for each symbol.
 A retained context's distribution is smoothed by absolute discounting, the discounted
 mass going to its suffix's; at the root, add-one counts over all words.  A text is
 scored from its longest suffix states, one for each symbol.
 
-Counts are of all training texts.  Tasks add up their own counts, sorted and packed by key
-range, and Spark merges them range by range.  Thresholds are shares of all tokens, so the
-tree has at most 1 / MIN_SHARE entries a depth at any input size, which bounds what is
-broadcast (``WORD_SHARE`` does so for the words it is made of); word counts have no such
-bound: rare words are looked up in the whole table of counts by a join.
+The tree grows with the corpus, so it is never gathered: n-grams, contexts and probabilities are
+tables by key.  A word's key is its hash; that of a longer n-gram is made of the keys of the n-gram
+without its last word (its context) and without its first (the same symbol by the suffix).  Texts are
+tokenized once, into batches of word numbers with a dictionary each.  Level by level, tasks add up their own n-grams,
+packed by key range, and only those whose parts are frequent, as far as a bit map of fixed
+size tells: where it fills up, more n-grams are counted, none is lost.
+
+A text's score is a sum over its n-grams: each retained context that it holds adds the weight of its
+suffix's distribution, each n-gram stored there what it adds to that.  So a batch asks the
+tables for its distinct n-grams once, packed by key range, and adds up the answers.
 
 Null and empty texts are one end symbol.  With no training texts all counts are 0.
 Rows that repeat are scored alike; null ids count as empty text where held-out rows are drawn.
@@ -21,35 +26,37 @@ Rows that repeat are scored alike; null ids count as empty text where held-out r
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import ascii_words, id_text, release, table, text_bytes, without, written
+from ravelin.llm.common import ascii_words, discard, id_text, release, table, text_bytes, written
 
-#: Least share of all tokens that a word of the tree has (at most 2 million words, 21 bits).
-WORD_SHARE = 5e-7
-#: Least share of all tokens that a context with a following symbol has.
-MIN_SHARE = 2e-7
-#: No n-gram seen less often is kept, however small the corpus.
+#: Words of the longest contexts.
+DEPTH = 3
+#: No n-gram seen less often is kept.
 MIN_COUNT = 2
 DISCOUNT = 0.7
 END = b"\n"  # no word holds white space
+#: Bytes and texts of a batch at most (one text at least).
+BATCH_BYTES, BATCH_TEXTS = 8_000_000, 50_000
+#: Distinct n-grams that one merge task gets on average; n-grams that a task holds unsorted.
+PER_RANGE, HELD = 2_000_000, 2_000_000
+#: log2 of the bits of a level's map of frequent n-grams, at most.
+MAP_BITS = 27
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = np.int64(21)
 _MASK = np.int64((1 << 21) - 1)
-#: Distinct n-grams that one merge task gets on average; n-grams that a task holds unsorted.
-PER_RANGE, HELD = 2_000_000, 4_000_000
-_HELD_WORDS = 1_000_000
-_BOS = -1
 
 
 def word_hash(word: bytes) -> int:
@@ -60,127 +67,228 @@ def held_out() -> Column:
     return F.pmod(F.crc32(id_text("doc_id")), F.lit(7)) == 2
 
 
-# -- counting ------------------------------------------------------------------------
+# -- texts as numbers ----------------------------------------------------------------
+
+
+def encoded(docs: DataFrame, train: Column) -> DataFrame:
+    """A table of batches of ``docs`` (with text): rows without text, whether each trains the
+    model, and their symbols as places in the batch's dictionary of word hashes."""
+    names = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*names, "text", train.alias("__train"))
+    row = docs.select(*names).schema.add("__at", T.IntegerType())
+    schema = T.StructType([T.StructField("rows", T.ArrayType(row)), *(T.StructField(c, T.BinaryType()) for c in ("train", "words", "codes", "sizes"))])
+
+    def packed(parts: list[pa.RecordBatch], texts: list[bytes]) -> pa.RecordBatch:
+        numbers: defaultdict[bytes, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        codes, sizes = [], []
+        for text in texts:
+            symbols = [*map(numbers.__getitem__, ascii_words(text)), numbers[END]]
+            codes.append(np.array(symbols, np.uint32))
+            sizes.append(len(symbols))
+        hashes = np.fromiter(map(word_hash, numbers), np.int64, len(numbers))
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        columns = [whole.column(k).chunk(0) for k in range(len(names))] + [pa.array(range(len(texts)), pa.int32())]
+        values = pa.StructArray.from_arrays(columns, [*names, "__at"])
+        trains = np.array(whole.column("__train").to_pylist(), bool)
+        binary = [pa.array([x.tobytes()], pa.binary()) for x in (trains, hashes, np.concatenate(codes), np.array(sizes, np.int64))]
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(texts)], values), *binary], schema.names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, texts, held = [], [], 0
+        for batch in batches:
+            start = 0
+            for k, text in enumerate(text_bytes(batch.column(len(names)))):
+                if texts and (held + len(text) > BATCH_BYTES or len(texts) >= BATCH_TEXTS):
+                    if k > start:
+                        parts.append(batch.slice(start, k - start))
+                    yield packed(parts, texts)
+                    parts, texts, held, start = [], [], 0, k
+                texts.append(text)
+                held += len(text)
+            if batch.num_rows > start:
+                parts.append(batch.slice(start))
+        if texts:
+            yield packed(parts, texts)
+
+    return written(rows.mapInArrow(run, schema).withColumn("batch", F.monotonically_increasing_id()), "lm-texts")
+
+
+class _Batch:
+    """Symbols of a batch's texts: the keys of words, each one's place in its text, the texts' starts."""
+
+    def __init__(self, words: bytes, codes: bytes, sizes: bytes):
+        self.words = np.frombuffer(words, np.int64)
+        self.codes = np.frombuffer(codes, np.uint32)
+        self.sizes = np.frombuffer(sizes, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.places = np.arange(len(self.codes)) - np.repeat(self.starts, self.sizes)
+
+    def grams(self, maps: list[np.ndarray], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Level by level: where n-grams end whose parts are in the maps, their keys, contexts and suffixes."""
+        whole = self.words[self.codes]
+        at = np.arange(len(whole))
+        for level in range(1, depth + 1):
+            there = np.zeros(len(whole), bool)
+            there[at] = True if level == 1 else in_map(maps[level - 2], whole[at])
+            both = there.copy()
+            both[1:] &= there[:-1]
+            both[self.places < level] = False
+            at = np.flatnonzero(both)
+            context, suffix = whole[at - 1], whole[at]
+            keys = gram_key(context, suffix)
+            whole = np.zeros(len(whole), np.int64)
+            whole[at] = keys
+            yield at, keys, context, suffix
+
+
+def gram_key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The key of an n-gram, from those of the n-grams without its last and without its first word."""
+    x = context.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (suffix.view(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xE7037ED1A0B428DB)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
 
-    def packed() -> pa.RecordBatch:
-        hashes = np.fromiter(map(word_hash, counts), np.int64, len(counts))
-        numbers = np.fromiter(counts.values(), np.int64, len(counts))
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(numbers)], ["word", "n"])
+def _range_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.view(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
 
-    for batch in batches:
-        for text in text_bytes(batch.column(0)):
-            counts.update(ascii_words(text))
-        counts[END] += batch.num_rows
-        if len(counts) > _HELD_WORDS:
-            yield packed()
-    if counts:
-        yield packed()
 
+def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether keys are in the map: true for all that were put in, and for few others."""
+    at = _range_of(keys, len(bits).bit_length() + 2)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-class Words:
-    """The words of the tree: sorted hashes; a word's place is its number."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
+def _range_bits(n_tokens: int) -> int:
+    return max(4, (n_tokens // PER_RANGE).bit_length())
 
-    def numbering(self) -> _Numbering:
-        return _Numbering(self.hashes)
 
+def _map_bits(n_tokens: int, bits: int) -> int:
+    return min(MAP_BITS, max(bits + 3, (4 * n_tokens).bit_length()))
 
-class _Numbering(dict):
-    """Word -> its number, or -2 minus its hash if the tree lacks it."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
+def _slice_of_map(keys: np.ndarray, bits: int, map_bits: int) -> bytes:
+    """Of the map, what belongs to the range that all of the keys are in."""
+    marks = np.zeros(1 << (map_bits - bits), bool)
+    marks[_range_of(keys, map_bits) & ((1 << (map_bits - bits)) - 1)] = True
+    return np.packbits(marks, bitorder="little").tobytes()
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _HELD_WORDS:
-            self.clear()
-        h = word_hash(word)
-        k = int(np.searchsorted(self.hashes, h))
-        self[word] = number = k if k < len(self.hashes) and self.hashes[k] == h else -2 - h
-        return number
 
+def _map_of(slices: DataFrame, bits: int, map_bits: int) -> np.ndarray:
+    """The whole map, of 2 ** MAP_BITS bits at most at any input size."""
+    out = np.zeros(1 << (map_bits - 3), np.uint8)
+    size = len(out) >> bits
+    found = slices.select("range", "map").toArrow()
+    for k, part in zip(found.column("range").to_pylist(), found.column("map").to_pylist(), strict=True):
+        out[k * size : (k + 1) * size] = np.frombuffer(part, np.uint8)
+    return out
 
-def _codes(texts: list[bytes], numbering: _Numbering) -> np.ndarray:
-    """Numbers of all symbols of some texts, each text led by a mark and closed by the end."""
-    number = numbering.__getitem__
-    end = number(END)
-    return np.fromiter(chain.from_iterable(chain((_BOS,), map(number, ascii_words(t)), (end,)) for t in texts), np.int64)
+
+# -- counting ------------------------------------------------------------------------
 
 
-def _add(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _add(keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys, their counts added up, and what else goes with a key."""
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+    total = np.add.reduceat(counts[order], starts) if len(starts) else counts
+    return (keys[starts], total, *(x[order[starts]] for x in more))
 
 
-def _range_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+def _training(batch: pa.RecordBatch) -> Iterator[tuple[_Batch, np.ndarray]]:
+    for k in range(batch.num_rows):
+        train, *packed = (batch.column(c)[k].as_py() for c in ("train", "words", "codes", "sizes"))
+        found = _Batch(*packed)
+        yield found, np.repeat(np.frombuffer(train, bool), found.sizes)
 
 
-def _counter(grams_of: Callable[[np.ndarray], np.ndarray], words, bits: int):
-    """Counts of the n-grams that ``grams_of`` finds in symbol numbers, packed by key range."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    out = lambda keys, counts: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["word", "n"])
+    for batch in batches:
+        for found, train in _training(batch):
+            counts = np.bincount(found.codes[train], minlength=len(found.words))
+            held.append((found.words[counts > 0], counts[counts > 0]))
+            n += len(held[-1][0])
+            if n > HELD:
+                held = [_add(*map(np.concatenate, zip(*held, strict=True)))]
+                n = len(held[0][0])
+                if n > HELD // 2:
+                    yield out(*held.pop())
+                    n = 0
+    if held:
+        yield out(*_add(*map(np.concatenate, zip(*held, strict=True))))
+
+
+def _counter(level: int, maps, bits: int):
+    """Counts of the n-grams of one level, packed by key range."""
+
+    def packed(held: list) -> Iterator[pa.RecordBatch]:
+        keys, counts, context, suffix = _add(*map(np.concatenate, zip(*held, strict=True)))
+        which = _range_of(keys, bits)
+        order = np.argsort(which, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(which[order])) + 1) if len(order) else ():
+            row = [np.minimum(counts[part], 2**32 - 1).astype(np.uint32), context[part], suffix[part]]
+            yield pa.RecordBatch.from_arrays([pa.array([int(which[part[0]])]), *(pa.array([x.tobytes()], pa.binary()) for x in row)], ["range", "counts", "contexts", "suffixes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbering = words.value.numbering()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         n = 0
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for i in range(0, len(texts), 1000):
-                keys, counts = np.unique(grams_of(_codes(texts[i : i + 1000], numbering)), return_counts=True)
-                held.append((keys, counts))
-                n += len(keys)
+            for found, train in _training(batch):
+                for at, keys, context, suffix in found.grams([m.value for m in maps], level):  # noqa: B007
+                    pass
+                use = train[at]
+                held.append(_add(keys[use], np.ones(int(use.sum()), np.int64), context[use], suffix[use]))
+                n += len(held[-1][0])
                 if n > HELD:
                     held = [_add(*map(np.concatenate, zip(*held, strict=True)))]
-                    n = len(held[0][0]) // 2
+                    n = len(held[0][0])
+                    if n > HELD // 2:
+                        yield from packed(held)
+                        held, n = [], 0
         if held:
-            keys, counts = _add(*map(np.concatenate, zip(*held, strict=True)))
-            which = _range_of(keys, bits)
-            order = np.argsort(which, kind="stable")
-            cuts = np.flatnonzero(np.diff(which[order])) + 1
-            for part in np.split(order, cuts) if len(order) else ():
-                small = np.minimum(counts[part], 2**32 - 1).astype(np.uint32)
-                row = [[int(which[part[0]])], [keys[part].tobytes()], [small.tobytes()]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row[0], pa.int64()), pa.array(row[1], pa.binary()), pa.array(row[2], pa.binary())], ["range", "keys", "counts"]
-                )
+            yield from packed(held)
 
     return run
 
 
-def _merger(least: int):
+_GRAMS = "key long, context long, suffix long, n long, range long, map binary"
+
+
+def _merger(bits: int, map_bits: int):
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(b, np.int64) for b in group["keys"]])
-        counts = np.concatenate([np.frombuffer(b, np.uint32) for b in group["counts"]]).astype(np.int64)
-        keys, counts = _add(keys, counts)
-        return pd.DataFrame({"key": keys[counts >= least], "n": counts[counts >= least]})
+        gathered = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in group[c]])
+        context, suffix = gathered("contexts", np.int64), gathered("suffixes", np.int64)
+        keys, counts, context, suffix = _add(gram_key(context, suffix), gathered("counts", np.uint32).astype(np.int64), context, suffix)
+        kept = counts >= MIN_COUNT
+        out = pd.DataFrame({"key": keys[kept], "context": context[kept], "suffix": suffix[kept], "n": counts[kept], "range": None, "map": None})
+        last = {"key": [0], "context": [0], "suffix": [0], "n": [0], "range": [int(group["range"].iloc[0])], "map": [_slice_of_map(keys[kept], bits, map_bits)]}
+        return pd.concat([out.astype(object), pd.DataFrame(last).astype(object)]) if len(out) else pd.DataFrame(last)
 
     return merge
 
 
-def _ngrams(train: DataFrame, grams_of, words, n_tokens: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of the n-grams with at least ``least`` occurrences."""
-    bits = max(4, (n_tokens // PER_RANGE).bit_length())
-    packed = train.select("text").mapInArrow(_counter(grams_of, words, bits), "range long, keys binary, counts binary")
-    kept = packed.groupBy("range").applyInPandas(_merger(least), "key long, n long")
-    found = kept.toArrow()  # at most 1 / MIN_SHARE rows
-    release(train.sparkSession)
-    return _add(found.column("key").to_numpy(), found.column("n").to_numpy())
+# -- the tree -------------------------------------------------------------------------
+
+
+class Level(NamedTuple):
+    """Retained contexts of one length, with the log10 weight of their suffix's
+    distribution, and the log10 probabilities of their symbols."""
+
+    contexts: np.ndarray
+    weights: np.ndarray
+    keys: np.ndarray
+    scores: np.ndarray
+
 
+class Words(NamedTuple):
+    """Sorted hashes of all words, and their counts; a word's place is its number."""
 
-def _pairs(codes: np.ndarray) -> np.ndarray:
-    a, b = codes[:-1], codes[1:]
-    good = (a >= 0) & (b >= 0)
-    return (a[good] << _BITS) | b[good]
+    hashes: np.ndarray
+    counts: np.ndarray
 
 
 def _within(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,178 +299,233 @@ def _within(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at] == wanted, at
 
 
-def _triples(frequent: Callable[[], np.ndarray]):
-    def grams(codes: np.ndarray) -> np.ndarray:
-        pair = (codes[:-1] << _BITS) | codes[1:]
-        good = (codes[:-1] >= 0) & (codes[1:] >= 0)
-        good[good] = _within(frequent(), pair[good])[0]  # a frequent triple's pairs are frequent
-        both = good[:-1] & good[1:]
-        return (pair[:-1][both] << _BITS) | codes[2:][both]
+def _scored(level: Level, context: np.ndarray, symbol: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """log10 probabilities given contexts, where the suffix's are ``suffix``."""
+    kept, at = _within(level.contexts, context)
+    stored, where = _within(level.keys, (context << _BITS) | symbol)
+    out = suffix + np.where(kept, level.weights[at] if len(level.weights) else 0.0, 0.0)
+    return np.where(kept & stored, level.scores[where] if len(level.scores) else 0.0, out)
 
-    return grams
 
+class Tree:
+    """A learned tree: tables of counts and of each level's probabilities and contexts.
 
-# -- the tree -------------------------------------------------------------------------
+    ``words``, ``root``, ``one`` and ``two`` gather the first levels of a small tree, to look at.
+    """
 
+    def __init__(self, counts: DataFrame, n: int, v: int, levels: list[DataFrame], maps: list[Broadcast]):
+        self.counts, self.n, self.v, self.levels, self.maps = counts, n, v, levels, maps
 
-class Level(NamedTuple):
-    """Retained contexts of one length, with the log10 weight of their suffix's
-    distribution, and the log10 probabilities of their symbols."""
+    @property
+    def scale(self) -> float:
+        return float(np.log10(self.n + self.v + 1.0))
 
-    contexts: np.ndarray
-    weights: np.ndarray
-    keys: np.ndarray
-    scores: np.ndarray
+    @cached_property
+    def words(self) -> Words:
+        found = self.counts.orderBy("word").toArrow()
+        return Words(found.column("word").to_numpy(), found.column("n").to_numpy())
+
+    @cached_property
+    def root(self) -> np.ndarray:
+        return np.log10(self.words.counts + 1.0) - self.scale
 
+    def _numbered(self, level: int) -> tuple[Level, dict[int, int]]:
+        """A level by numbers of words, and the numbers of its n-grams' keys."""
+        up = dict(zip(self.words.hashes.tolist(), range(self.v), strict=True)) if level == 1 else self._numbered(level - 1)[1]
+        rows = self.levels[level - 1].collect()
+        number = {r["key"]: up[r["context"]] << int(_BITS) | up[r["suffix"]] & int(_MASK) for r in rows}
+        kept = sorted((number[r["key"]], r["lp"]) for r in rows if r["kept"])
+        contexts = sorted({up[r["context"]]: r["weight"] for r in rows if r["kept"]}.items())
+        ints, floats = (lambda x, k: np.array([y[k] for y in x], np.int64)), (lambda x, k: np.array([y[k] for y in x], float))
+        return Level(ints(contexts, 0), floats(contexts, 1), ints(kept, 0), floats(kept, 1)), number
 
-class Tree(NamedTuple):
-    words: Words
-    root: np.ndarray
-    n: int
-    v: int
-    one: Level
-    two: Level
+    @cached_property
+    def one(self) -> Level:
+        return self._numbered(1)[0]
+
+    @cached_property
+    def two(self) -> Level:
+        return self._numbered(2)[0]
 
     def shorter(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """log10 P(symbol | one word)."""
         return _scored(self.one, context, symbol, self.root[symbol])
 
 
-def _scored(level: Level, context: np.ndarray, symbol: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """log10 probabilities given contexts, where the suffix's are ``suffix``."""
-    kept, at = _within(level.contexts, context)
-    stored, where = _within(level.keys, (context << _BITS) | symbol)
-    out = suffix + np.where(kept, level.weights[at] if len(level.weights) else 0.0, 0.0)
-    return np.where(kept & stored, level.scores[where] if len(level.scores) else 0.0, out)
+def _level(grams: DataFrame, shorter: DataFrame) -> DataFrame:
+    """Divergence tests and smoothing: ``grams`` with the log10 probability ``lp`` of their symbol, that by
+    the suffix, and whether their context is retained, with what weight.  ``shorter`` has key, n and lp of the level above."""
+    own = Window.partitionBy("context")
+    total, n = F.col("total"), F.col("n")
+    left = 1.0 - F.sum(n - DISCOUNT).over(own) / total
+    p = (n - DISCOUNT) / total + F.col("left") * F.pow(F.lit(10.0), "below")
+    gain = F.sum(n * (F.log("p") - F.col("below") * float(np.log(10.0)))).over(own) + (total - F.sum("n").over(own)) * F.log("left")
+    rows = (
+        grams.join(shorter.select(F.col("key").alias("suffix"), F.col("lp").alias("below")), "suffix")
+        .join(shorter.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+        .withColumn("left", F.greatest(left, F.lit(1e-9)))
+        .withColumn("p", p)
+        .withColumn("kept", gain > 0.5 * F.log(total) * F.count("*").over(own))
+    )
+    lp = F.when(F.col("kept"), F.log10("p")).otherwise(F.col("below"))
+    return rows.select("key", "context", "suffix", "n", "kept", lp.alias("lp"), "below", F.log10("left").alias("weight"))
 
 
-def _level(keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, suffix: np.ndarray) -> Level:
-    """Divergence tests and smoothing.  ``keys`` are sorted (context, symbol); ``totals`` the
-    contexts' counts, ``suffix`` the log10 probabilities by their suffixes, both by key."""
-    context = keys >> _BITS
-    starts = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(keys) else np.empty(0, np.int64)
-    if not len(starts):
-        none = np.empty(0, np.int64)
-        return Level(none, none.astype(float), none, none.astype(float))
-    sizes = np.diff(np.append(starts, len(keys)))
-    total = totals[starts].astype(float)
-    kept_mass = np.add.reduceat(counts - DISCOUNT, starts)
-    weight = np.maximum(1.0 - kept_mass / total, 1e-9)
-    spread = np.repeat(np.arange(len(starts)), sizes)
-    p = (counts - DISCOUNT) / total[spread] + weight[spread] * 10.0**suffix
-    gain = np.add.reduceat(counts * (np.log(p) - suffix * np.log(10)), starts)
-    rest = total - np.add.reduceat(counts, starts)
-    gain += rest * np.log(weight)
-    keep = gain > 0.5 * np.log(total) * sizes
-    inside = keep[spread]
-    return Level(context[starts][keep], np.log10(weight[keep]), keys[inside], np.log10(p[inside]))
+def _learn(texts: DataFrame) -> Tree:
+    spark = texts.sparkSession
+    counts = written(texts.select("train", "words", "codes", "sizes").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    release(spark)
+    totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    tree = Tree(counts, int(totals["n"] or 0), int(totals["v"]), [], [])
+    shorter = counts.select(F.col("word").alias("key"), "n", (F.log10(F.col("n") + 1.0) - tree.scale).alias("lp"))
+    bits = min(MAP_BITS - 3, _range_bits(tree.n))
+    map_bits = _map_bits(tree.n, bits)
+    for level in range(1, DEPTH + 1):
+        packed = texts.select("train", "words", "codes", "sizes").mapInArrow(_counter(level, list(tree.maps), bits), "range long, counts binary, contexts binary, suffixes binary")
+        merged = written(packed.groupBy("range").applyInPandas(_merger(bits, map_bits), _GRAMS), f"lm-grams-{level}")
+        release(spark)
+        tree.maps.append(spark.sparkContext.broadcast(_map_of(merged.filter("n = 0"), bits, map_bits)))
+        tree.levels.append(written(_level(merged.filter("n > 0").select("key", "context", "suffix", "n"), shorter), f"lm-level-{level}"))
+        discard(merged)
+        release(spark)
+        shorter = tree.levels[-1].select("key", "n", "lp")
+    return tree
 
 
 def learn(train: DataFrame) -> tuple[Tree, DataFrame]:
     """The tree of the training texts, and the table (word, n) of all word counts."""
-    spark = train.sparkSession
-    counts = written(train.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    release(spark)
-    totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = int(totals["n"] or 0), int(totals["v"])
-    frequent = counts.filter(F.col("n") >= max(1, int(np.ceil(WORD_SHARE * n)))).toArrow()
-    words = Words(frequent.column("word").to_numpy(), frequent.column("n").to_numpy())
-    root = np.log10((words.counts + 1.0) / (n + v + 1.0))
-    least = max(MIN_COUNT, int(np.ceil(MIN_SHARE * n)))
-    shared = spark.sparkContext.broadcast(words)
-    keys, number = _ngrams(train, _pairs, shared, n, least)
-    one = _level(keys, number, words.counts[keys >> _BITS], root[keys & _MASK])
-    pairs = spark.sparkContext.broadcast(keys)
-    keys2, number2 = _ngrams(train, _triples(lambda: pairs.value), shared, n, least)
-    total2 = number[_within(keys, keys2 >> _BITS)[1]] if len(keys) else number2
-    tree = Tree(words, root, n, v, one, Level(*[np.empty(0)] * 4))
-    suffix = tree.shorter((keys2 >> _BITS) & _MASK, keys2 & _MASK)
-    return tree._replace(two=_level(keys2, number2, total2, suffix)), counts
+    tree = _learn(encoded(train.select("text"), F.lit(True)))
+    return tree, tree.counts
 
 
 # -- scoring ----------------------------------------------------------------------------
 
 
-def _score(tree: Tree, texts: list[bytes], numbering: _Numbering):
-    """For each text: tokens, and sums over the tokens the tree knows of log10 (c+1) over
-    (N+V+1) and of log10 P; the hashes of the others, whose P by their suffix states
-    lacks the root's part only."""
-    codes = _codes(texts, numbering)
-    starts = np.flatnonzero(codes == _BOS)
-    known = codes >= 0
-    symbol = np.where(known, codes, 0)
-    base = np.where(known, tree.root[symbol] if len(tree.root) else 0.0, 0.0)
-    score = base.copy()
-    one = np.full(len(codes), -1, np.int64)
-    one[1:] = codes[:-1]
-    use = (one >= 0) & (codes != _BOS)
-    suffix = np.where(known, symbol, _MASK)  # a symbol that no context has stored
-    score[use] = _scored(tree.one, one[use], suffix[use], base[use])
-    two = np.full(len(codes), -1, np.int64)
-    two[2:] = codes[:-2]
-    use &= two >= 0
-    score[use] = _scored(tree.two, (two[use] << _BITS) | one[use], suffix[use], score[use])
-    rare = codes < _BOS
-    return (
-        np.diff(np.append(starts, len(codes))) - 1,
-        np.add.reduceat(known.astype(np.int64), starts),
-        np.add.reduceat(base, starts),
-        np.add.reduceat(score, starts),
-        np.split(-2 - codes[rare], np.searchsorted(np.flatnonzero(rare), starts[1:])),
-    )
+def _asked(shared: list[Broadcast], bits: int, depth: int):
+    """Distinct n-grams of each batch, packed by key range."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = [m.value for m in shared]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                number, *packed = (batch.column(c)[k].as_py() for c in ("batch", "words", "codes", "sizes"))
+                found = _Batch(*packed)
+                keys = [found.words]
+                for level, (_, own, _, _) in enumerate(found.grams(maps, depth), 1):
+                    own = np.unique(own)
+                    keys.append(own[in_map(maps[level - 1], own)])
+                every = np.unique(np.concatenate(keys))
+                which = _range_of(every, bits)
+                order = np.argsort(which, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(which[order])) + 1) if len(order) else ():
+                    yield pa.RecordBatch.from_arrays([pa.array([int(which[part[0]])]), pa.array([number]), pa.array([every[part].tobytes()], pa.binary())], ["range", "batch", "keys"])
 
-_LOCAL = [
-    T.StructField("n_tokens", T.LongType()),
-    T.StructField("__known", T.LongType()),
-    T.StructField("__base", T.DoubleType()),
-    T.StructField("__score", T.DoubleType()),
-    T.StructField("__rare", T.ArrayType(T.LongType())),
-]
+    return run
 
 
-def score_texts(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
-    """``docs`` (with text) without its text, with n_tokens, n_known, train_tokens, base_score, score."""
-    added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    names = [c for c in docs.columns if c not in added and c != "text"]
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+def _answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """For each batch the keys that are known, with what they add as n-grams and as contexts."""
+    value = {}
+    for kind in (0, 1):
+        part = known[known["kind"] == kind]
+        order = np.argsort(part["key"].to_numpy(np.int64))
+        value[kind] = part["key"].to_numpy(np.int64)[order], part["value"].to_numpy(float)[order]
+    out = []
+    for batch, packed in zip(asked["batch"], asked["keys"], strict=True):
+        keys = np.frombuffer(packed, np.int64)
+        columns, hit = [], np.zeros(len(keys), bool)
+        for kind in (0, 1):
+            have, at = _within(value[kind][0], keys)
+            columns.append(np.where(have, value[kind][1][at] if len(value[kind][1]) else 0.0, np.nan if kind == 0 else 0.0))
+            hit |= have
+        if hit.any():
+            out.append((batch, keys[hit].tobytes(), columns[0][hit].tobytes(), columns[1][hit].tobytes()))
+    return pd.DataFrame(out, columns=["batch", "keys", "own", "next"])
+
+
+def _score(found: _Batch, keys: np.ndarray, own: np.ndarray, following: np.ndarray, maps: list[np.ndarray], depth: int, scale: float) -> tuple[np.ndarray, ...]:
+    """n_tokens, n_known, base_score and score of each text of a batch.
+
+    ``own`` is what an n-gram adds as a symbol in its context (NaN: nothing stored), ``following``
+    what it adds to each symbol that it is a context of.
+    """
+    known, at = _within(keys, found.words)
+    add, weight = (np.where(known, x[at] if len(x) else 0.0, 0.0) for x in (own, following))
+    known &= ~np.isnan(add)
+    base = np.where(known, add, -scale)[found.codes]
+    score = base.copy()
+    inner = found.places > 0
+    score[inner] += weight[found.codes][np.flatnonzero(inner) - 1]
+    for level, (ends, grams, _, _) in enumerate(found.grams(maps, depth), 1):
+        use = in_map(maps[level - 1], grams)
+        ends, grams = ends[use], grams[use]
+        have, at = _within(keys, grams)
+        ends, at = ends[have], at[have]
+        score[ends] += np.nan_to_num(own[at])
+        if level < depth:
+            last = ends + 1 < len(score)
+            ends, at = ends[last], at[last]
+            same = found.places[ends + 1] > 0
+            score[ends[same] + 1] += following[at[same]]
+    summed = lambda x: np.add.reduceat(x, found.starts)
+    return found.sizes, summed(known[found.codes].astype(np.int64)), summed(base), summed(score)
+
+
+_ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _score_encoded(texts: DataFrame, tree: Tree) -> DataFrame:
+    spark = texts.sparkSession
+    row = T.StructType(texts.schema["rows"].dataType.elementType.fields[:-1])
+    names, depth, scale = row.names, len(tree.levels), tree.scale
+    bits = _range_bits(tree.n)
+    maps = tree.maps
+    valued = lambda rows, key, value, kind: rows.select(F.col(key).alias("key"), value.alias("value"), F.lit(kind).alias("kind"))
+    known = valued(tree.counts, "word", F.log10(F.col("n") + 1.0) - scale, 0)
+    for level in tree.levels:
+        kept = level.filter("kept")
+        known = known.unionByName(valued(kept, "key", F.col("lp") - F.col("below") - F.col("weight"), 0))
+        known = known.unionByName(valued(kept.groupBy("context").agg(F.first("weight").alias("weight")), "context", F.col("weight"), 1))
+
+    @F.pandas_udf("long")
+    def range_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(_range_of(keys.to_numpy(np.int64), bits))
+
+    asked = texts.select("batch", "words", "codes", "sizes").mapInArrow(_asked(maps, bits, depth), "range long, batch long, keys binary")
+    answers = written(
+        asked.groupBy("range").cogroup(known.withColumn("range", range_of("key")).groupBy("range")).applyInPandas(_answer, "batch long, keys binary, own binary, next binary"),
+        "lm-answers",
+    )
+    release(spark)
+    packed = answers.groupBy("batch").agg(F.collect_list(F.struct("keys", "own", "next")).alias("answers"))
+    schema = T.StructType([*row.fields, T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        numbering = tree.words.numbering()
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                n, known, base, score, rare = _score(tree, text_bytes(part.column(len(names))), numbering)
-                arrays = [pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.array(list(rare), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *arrays], [*names, *(f.name for f in _LOCAL)])
-
-    rows = docs.select(*names, "text")
-    schema = T.StructType([*docs.select(*names).schema, *_LOCAL])
-    local = written(rows.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "lm-local")
-    scale = float(np.log10(tree.n + tree.v + 1.0))
-    rare = (
-        local.select("__row", F.explode("__rare").alias("word"))
-        .join(counts, "word", "left")
-        .groupBy("__row")
-        .agg(
-            F.count("n").alias("__seen"),
-            F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0) - scale).alias("__rest"),
-        )
-    )
-    rest = F.coalesce("__rest", F.lit(0.0))
-    return local.join(rare, "__row", "left").select(
-        *names,
-        "n_tokens",
-        (F.col("__known") + F.coalesce("__seen", F.lit(0))).alias("n_known"),
-        F.lit(tree.n).cast("long").alias("train_tokens"),
-        (F.col("__base") + rest).alias("base_score"),
-        (F.col("__score") + rest).alias("score"),
-    )
+            for k in range(batch.num_rows):
+                got = batch.column("answers")[k].as_py() or []
+                keys, own, following = (np.concatenate([np.empty(0, t), *(np.frombuffer(x[c], t) for x in got)]) for c, t in (("keys", np.int64), ("own", float), ("next", float)))
+                order = np.argsort(keys)
+                found = _Batch(*(batch.column(c)[k].as_py() for c in ("words", "codes", "sizes")))
+                scores = _score(found, keys[order], own[order], following[order], [m.value for m in maps], depth, scale)
+                rows = batch.column("rows")[k].values
+                columns = [rows.field(j) for j in range(len(names))]
+                whole = pa.RecordBatch.from_arrays([*columns, *map(pa.array, scores)], schema.names)
+                for i in range(0, whole.num_rows, 10_000):
+                    yield whole.slice(i, 10_000)
+
+    joined = texts.select("batch", "rows", "words", "codes", "sizes").join(packed, "batch", "left")
+    scored = joined.mapInArrow(run, schema)
+    return scored.select(*names, "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score_texts(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
+    """``docs`` (with text) without its text, with n_tokens, n_known, train_tokens, base_score, score."""
+    kept = docs.select(*[c for c in docs.columns if c not in _ADDED])
+    return _score_encoded(encoded(kept, F.lit(False)), tree)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tree, counts = learn(docs.filter(~held_out()))
-    marked = docs.withColumn("held_out", held_out())
-    return score_texts(marked, tree, counts)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
+    texts = encoded(docs, ~F.col("held_out"))
+    return _score_encoded(texts, _learn(texts))

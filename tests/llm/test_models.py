@@ -121,3 +121,63 @@ def test_scoring_odd_rows(spark):
     rest = lm.score_texts(df, tree, counts).collect()
     assert len(rest) == len(rows) and all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] == 0 for r in rest)
     assert lm.score_texts(empty, tree, counts).count() == 0
+
+
+def plain_tree(texts, depth):
+    """log10 P(symbol | context) of the suffix tree, straight from its definition."""
+    n = [Counter() for _ in range(depth + 1)]
+    for t in map(words, texts):
+        for d in range(depth + 1):
+            n[d].update(tuple(t[i - d : i + 1]) for i in range(d, len(t)))
+    total, v = sum(n[0].values()), len(n[0])
+    kept = {}
+
+    def lp(gram):
+        if len(gram) == 1:
+            return math.log10((n[0][gram] + 1) / (total + v + 1))
+        below = lp(gram[1:])
+        if gram[:-1] not in kept:
+            return below
+        weight, own = kept[gram[:-1]]
+        return own.get(gram, below + weight)
+
+    for d in range(1, depth + 1):
+        by = {}
+        for g, c in n[d].items():
+            if c >= lm.MIN_COUNT:
+                by.setdefault(g[:-1], []).append((g, c))
+        level = {}
+        for ctx, grams in by.items():
+            m = n[d - 1][ctx]
+            weight = max(1 - sum(c - lm.DISCOUNT for _, c in grams) / m, 1e-9)
+            p = {g: (c - lm.DISCOUNT) / m + weight * 10 ** lp(g[1:]) for g, c in grams}
+            gain = sum(c * (math.log(p[g]) - lp(g[1:]) * math.log(10)) for g, c in grams) + (m - sum(c for _, c in grams)) * math.log(weight)
+            if gain > 0.5 * math.log(m) * len(grams):
+                level[ctx] = math.log10(weight), {g: math.log10(x) for g, x in p.items()}
+        kept |= level
+    return kept, lambda t: sum(lp(tuple(t[max(0, i - depth) : i + 1])) for i in range(len(t)))
+
+
+def test_scores_are_those_of_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BATCH_BYTES", 2_000)
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(150):
+        t = [f"w{int(x)}" for x in rng.integers(0, 6, 3)]
+        for _ in range(int(rng.integers(0, 60))):
+            t.append(t[-3] if rng.random() < 0.8 else f"w{int(rng.integers(0, 40))}")
+        texts.append(" ".join(t))
+    rows = [(k, t) for k, t in enumerate([*texts, "unseen words w1 w2", "", None])]
+    kept, score = plain_tree(texts, lm.DEPTH)
+    assert {len(c) for c in kept} == {1, 2, 3}
+    tree, counts = lm.learn(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), tree, counts).collect()}
+    assert got == {k: pytest.approx(score(words(t)) if t else score([b"\n"])) for k, t in rows}
+
+
+def test_contexts_stay_learned_in_a_larger_corpus(spark):
+    rare = "quite seldom heard"
+    texts = [(rare,)] * 5 + [("filler " * 1_000_000,)] * 14
+    tree, counts = lm.learn(spark.createDataFrame(texts, "text string").repartition(8))
+    row = lm.score_texts(spark.createDataFrame([(1, rare)], "doc_id long, text string"), tree, counts).first()
+    assert row["score"] > row["base_score"] + 10
