@@ -12,7 +12,7 @@ over pages of a hash of page and count), which tasks combine before the shuffle,
 so a host with a third of all pages is no larger than any other.
 
 A slot's blocks are text of the article if the slot lies in the page's article (or
-main) element, or, on pages without one, in the host's main slot: the path that
+main) element outside of page furniture, or, on pages without one, in the host's main slot: the path that
 holds most of the host's slot text.  Navigation, headers, footers, asides, forms, notices,
 adverts, comments and the like are never article text, nor is template text outside
 of an article element.
@@ -57,6 +57,13 @@ CHROME_WORDS = frozenset(
     "popup promo promoted promotion recommended related replies reply respond share sharing sidebar sidebars signup skip social sponsor "
     "sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Words of furniture that also name layouts around the article.
+SIDE_WORDS = frozenset("ad ads banner footer header menu nav navbar sidebar sidebars widget widgets".split())
+LAYOUT_WORDS = frozenset("container content layout main page wrap wrapper".split())
+#: Words that turn a class into a statement about what is there or not.
+STATE_WORDS = frozenset("allow closed disabled elementor enabled has have hide no not open with without".split())
+COMMENT_WORDS = frozenset("comment comments reply replies respond".split())
+COMMENT_PARTS = COMMENT_WORDS | frozenset("alt body box content depth even inner item odd single thread".split())
 MAIN_TAGS = frozenset(("article", "main"))
 #: An opening tag of the first kind ends open elements of the second, up to those of the third.
 ENDS = {
@@ -76,17 +83,35 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Block:
-    """A block of text: where it stands, whether in an article element, whether in page furniture."""
+    """A block of text: where it stands, whether in an article element, whether in page furniture,
+    whether in an article element inside what is called a sidebar or the like."""
 
-    __slots__ = ("path", "text", "in_main", "chrome")
+    __slots__ = ("path", "text", "in_main", "chrome", "doubtful")
 
-    def __init__(self, path: str, text: str, in_main: bool, chrome: bool):
-        self.path, self.text, self.in_main, self.chrome = path, text, in_main, chrome
+    def __init__(self, path: str, text: str, in_main: bool, chrome: bool, doubtful: bool):
+        self.path, self.text, self.in_main, self.chrome, self.doubtful = path, text, in_main, chrome, doubtful
 
 
-def _attributes(tag: str, rest: str) -> tuple[str, bool]:
-    """The element's name in paths, with its classes, and whether it is page furniture."""
-    chrome = tag in CHROME_TAGS
+#: Kinds of furniture: none, by a class that may be the layout's, by a class, by element or role.
+NONE, SIDE, NAMED, FIXED = range(4)
+
+
+def _kind_of(name: str, tag: str) -> int:
+    """What one class or id says of its element."""
+    words = _WORDS.findall(name)
+    named = CHROME_WORDS.intersection(words)
+    if not named or tag in ("html", "body", "main") or not STATE_WORDS.isdisjoint(words):
+        return NONE
+    if tag == "article":
+        return NAMED if named & COMMENT_WORDS and COMMENT_PARTS.issuperset(words) else NONE
+    if not named <= SIDE_WORDS:
+        return NAMED
+    return NONE if words[0] not in SIDE_WORDS and not LAYOUT_WORDS.isdisjoint(words) else SIDE
+
+
+def _attributes(tag: str, rest: str) -> tuple[str, int]:
+    """The element's name in paths, with its classes, and what kind of page furniture it is."""
+    chrome = FIXED if tag in CHROME_TAGS else NONE
     name = tag
     if "=" in rest or "hidden" in rest:
         for key, *values in _ATTRIBUTE.findall(rest):
@@ -94,9 +119,9 @@ def _attributes(tag: str, rest: str) -> tuple[str, bool]:
             if key == "class":
                 name += "." + ".".join(sorted(value.split()))
             if key == "role" and value in CHROME_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-                chrome = True
-            if key in ("class", "id") and tag not in ("html", "body", "article", "main") and not CHROME_WORDS.isdisjoint(_WORDS.findall(value)):
-                chrome = True
+                chrome = FIXED
+            if key in ("class", "id"):
+                chrome = max([chrome, *(_kind_of(x, tag) for x in value.split())])
     return name, chrome
 
 
@@ -104,7 +129,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
     """The page's blocks of text in order, and the paths of its elements in order."""
     blocks: list[Block] = []
     paths: list[str] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, in main, furniture
+    stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, NONE, False)]  # tag, path, in main, furniture, doubtful
     pieces: list[str] = []
     at, size = 0, len(page)
     lower = None
@@ -115,8 +140,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
             pieces.clear()
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
-                _, path, main, chrome = stack[-1]
-                blocks.append(Block(path, text, main, chrome))
+                _, path, main, chrome, doubtful = stack[-1]
+                blocks.append(Block(path, text, main, chrome > NONE, doubtful))
 
     def close(k: int) -> None:
         flush()
@@ -185,12 +210,15 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
             if tag in ENDS:
                 close_tags(*ENDS[tag])
             close_tags(p_only, p_stops)
-        _, path, in_main, up = stack[-1]
+        _, path, in_main, up, doubtful = stack[-1]
+        if tag == "main" and up < FIXED or tag == "article" and up == SIDE:
+            doubtful = tag == "article"
+            up = NONE
         if chrome != up and chrome:
             flush()
         path = f"{path}/{name}"
         paths.append(path)
-        stack.append((tag, path, in_main or tag in MAIN_TAGS, up or chrome))
+        stack.append((tag, path, in_main or tag in MAIN_TAGS, max(up, chrome), doubtful))
     flush()
     return blocks, paths
 
@@ -279,9 +307,14 @@ def templates(pages: DataFrame) -> DataFrame:
 def article(page: str, template: set[int], main_path: str | None) -> list[str]:
     """The page's blocks of article text."""
     blocks, _ = blocks_of(page)
-    if any(b.in_main for b in blocks):
-        return [b.text for b in blocks if b.in_main and not b.chrome]
-    slots = [b for b in blocks if not b.chrome and _hash("t" + b.path + "\n" + b.text) not in template]
+    blocks = [b for b in blocks if not b.chrome]
+    if any(b.in_main and not b.doubtful for b in blocks):
+        return [b.text for b in blocks if b.in_main and not b.doubtful]
+    size = lambda some: sum(len(b.text) for b in some)
+    doubtful = [b for b in blocks if b.doubtful]
+    if 2 * size(doubtful) > size(blocks):
+        return [b.text for b in doubtful]
+    slots = [b for b in blocks if not b.doubtful and _hash("t" + b.path + "\n" + b.text) not in template]
     inside = [b for b in slots if main_path and (b.path == main_path or b.path.startswith(main_path + "/"))]
     return [b.text for b in inside or slots]
 

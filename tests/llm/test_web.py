@@ -125,3 +125,17 @@ def test_given_pages_keep_exactly_their_article(spark):
         inner = re.search(r"<article>(.*?)(</article>|\Z)", pages[r["page_id"]], re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert r["text"] == "\n".join(p for p in parts if p)
+
+
+def test_classes_around_and_of_articles():
+    text = lambda page: html_text.article(page, set(), None)
+    for name in ("content-sidebar-wrap", "has-sidebar", "elementor-widget elementor-widget-container", "sidebar-right", "related"):
+        assert text(f"<div class='{name}'><main><h1>T</h1><p>x</main></div>") == ["T", "x"]
+    for name in ("content-sidebar-wrap", "has-sidebar", "elementor-widget-container", "comments-open"):
+        assert text(f"<div class='{name}'><h1>T</h1><p>x</div><div class=sidebar>no</div>") == ["T", "x"]
+    assert text("<div class=sidebar-left><article><p>the whole story</article></div><p>z") == ["the whole story"]
+    body = "<div class=content><p>The story itself, at length</div>"
+    for name in ("comment-list", "related", "sidebar"):
+        assert text(f"{body}<div class={name}><article><p>not this</article></div>") == ["The story itself, at length"]
+    assert text(f"{body}<article class='comment depth-1'><p>not this</article>") == ["The story itself, at length"]
+    assert text("<article class='post comments-open'><p>x<article class=comment><p>no</article><p>y</article>") == ["x", "y"]
