@@ -3,9 +3,9 @@
 Tokens of a page are its element paths and its blocks of text, each with the path it
 stands in.  Over the pages of a host a token has an occurrence vector: how often it
 occurs on each page.  Tokens with equal vectors form an equivalence class; classes on
-``SUPPORT`` of the pages or more with several tokens, which keep one order on every page,
-are valid and nest into the host's template.  What the template's tokens leave open
-are its slots.
+``SUPPORT`` of the pages or more with several tokens are the host's template.  What the
+template's tokens leave open are its slots.  Pages that hold the same article count as one
+page, so copies of an article are no template: what repeats beside unlike text is.
 
 Vectors are never gathered.  Each token's vector is folded into fingerprints (XOR and sum
 over pages of a hash of page and count), which tasks combine before the shuffle,
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import table, written
+from ravelin.llm.common import sliced, table, written
 
 #: Share and number of a host's pages that a template token must be on at least.
 SUPPORT, MIN_PAGES = 0.3, 4
@@ -227,77 +226,82 @@ def _hash(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token) >> 1
 
 
-def page_tokens(blocks: list[Block], paths: list[str]) -> dict[int, tuple[int, float]]:
-    """Token -> its count on the page, and its first place as a share of the page."""
+def page_items(blocks: list[Block], paths: list[str]) -> list[tuple[int, int, int, str | None]]:
+    """The page's tokens: each with its count on the page and, for text outside of furniture, its length and path."""
     # formatting inside a block is no structure
     seen: dict[int, list] = {}
-    for items, many in ((["e" + p for p in paths], len(paths)), (["t" + b.path + "\n" + b.text for b in blocks], len(blocks))):
-        for k, item in enumerate(items):
-            entry = seen.setdefault(_hash(item), [0, k / many])
-            entry[0] += 1
-    return {t: (n, place) for t, (n, place) in seen.items()}
-
-
-def _host_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each host and token: its pages, its vector's fingerprints; for each path: its slot text."""
-    for batch in batches:
-        rows: dict[tuple[str, str, int], list] = {}
-        page_keys = batch.column(0).to_pylist()
-        for key, host, page in zip(page_keys, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+    for p in paths:
+        seen.setdefault(_hash("e" + p), [0, 0, None])[0] += 1
+    for b in blocks:
+        item = seen.setdefault(_hash("t" + b.path + "\n" + b.text), [0, 0, None])
+        item[0] += 1
+        if not b.chrome and not b.doubtful:
+            item[1:] = len(b.text), b.path
+    return [(t, *v) for t, v in seen.items()]
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, a number for the page's text outside of furniture, and its tokens."""
+    item = pa.struct([("token", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("path", pa.string())])
+    for batch in sliced(batches):
+        bodies, items = [], []
+        for page in batch.column(1).to_pylist():
             blocks, paths = blocks_of(page)
-            tokens = page_tokens(blocks, paths)
-            tokens[0] = (1, 0.0)  # the page itself
-            for token, (n, place) in tokens.items():
-                mixed = _hash(f"{key}:{n}")
-                row = rows.setdefault((host, "", token), [0, 0, 0, 0.0, 0])
-                row[0] += 1
-                row[1] ^= mixed
-                row[2] += mixed & 0x3FFFFFFF
-                row[3] += place
-            for b in blocks:
-                if not b.chrome:
-                    path = b.path.rpartition("/")[0] or b.path
-                    rows.setdefault((host, path, 0), [0, 0, 0, 0.0, 0])[4] += len(b.text)
-        columns = list(zip(*((*k, *v) for k, v in rows.items()), strict=True)) or [[]] * 8
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], _TOKEN_NAMES)
-
-
-_TOKEN_NAMES = ["host", "path", "token", "pages", "vec_xor", "vec_sum", "place", "chars"]
-_TOKENS = "host string, path string, token long, pages long, vec_xor long, vec_sum long, place double, chars long"
+            bodies.append(_hash("\n".join(b.text for b in blocks if not b.chrome)))
+            items.append([dict(zip(("token", "n", "size", "path"), x, strict=True)) for x in page_items(blocks, paths)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.int64()), pa.array(items, pa.list_(item))], ["host", "body", "items"])
+
+
+_PARSED = "host string, body long, items array<struct<token: long, n: long, size: long, path: string>>"
+
+
+def _unlike(pages: DataFrame) -> DataFrame:
+    """(host, page, items): of pages that hold the same article, one.
+
+    These have the same text, or the same longest block of those that are not on half of the host's pages.
+    """
+    distinct = written(pages.mapInArrow(_parsed, _PARSED).groupBy("host", "body").agg(F.min_by("items", F.xxhash64("items")).alias("items")), "html-pages")
+    hosts = distinct.groupBy("host").agg(F.count("*").alias("all_pages"))
+    common = (
+        distinct.select("host", F.explode(F.expr("transform(filter(items, x -> x.size > 0), x -> x.token)")).alias("token"))
+        .groupBy("host", "token")
+        .agg(F.count("*").alias("pages"))
+        .join(hosts, "host")
+        .filter((F.col("pages") >= MIN_PAGES) & (2 * F.col("pages") >= F.col("all_pages")))
+        .groupBy("host")
+        .agg(F.collect_list("token").alias("common"))
+    )
+    own = F.expr("array_max(transform(filter(items, x -> x.size > 0 AND NOT array_contains(coalesce(common, array()), x.token)), x -> struct(x.size, x.token))).token")
+    rows = distinct.join(common, "host", "left").select("host", F.coalesce(own, "body").alias("page"), "items")
+    return written(rows.groupBy("host", "page").agg(F.min_by("items", F.xxhash64("items")).alias("items")), "html-unlike")
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, tokens, main_path): each host's template tokens and its main slot."""
-    tokens = written(
-        pages.mapInArrow(_host_tokens, _TOKENS)
-        .groupBy("host", "path", "token")
-        .agg(
-            F.sum("pages").alias("pages"),
-            F.bit_xor("vec_xor").alias("vec_xor"),
-            F.sum("vec_sum").alias("vec_sum"),
-            F.sum("place").alias("place"),
-            F.sum("chars").alias("chars"),
-        )
-        .filter("path <> '' OR token = 0 OR pages > 1"),
-        "html-tokens",
-    )
-    hosts = tokens.filter("path = '' AND token = 0").select("host", F.col("pages").alias("all_pages"))
+    unlike = _unlike(pages)
+    hosts = unlike.groupBy("host").agg(F.count("*").alias("all_pages"))
+    mixed = F.xxhash64("page", "item.n")
     frequent = (
-        tokens.filter("path = '' AND token <> 0")
+        unlike.select("host", "page", F.explode("items").alias("item"))
+        .groupBy("host", F.col("item.token").alias("token"))
+        .agg(F.count("*").alias("pages"), F.bit_xor(mixed).alias("vec_xor"), F.sum(mixed.bitwiseAND(0x3FFFFFFF)).alias("vec_sum"))
+        .filter(F.col("pages") >= MIN_PAGES)
         .join(hosts, "host")
-        .filter((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= SUPPORT * F.col("all_pages")))
+        .filter(F.col("pages") >= SUPPORT * F.col("all_pages"))
     )
     # a token is on this share of the pages, so their number is bounded by the size of a page
-    valid = (
+    valid = written(
         frequent.groupBy("host", "vec_xor", "vec_sum", "pages")
         .agg(F.collect_list("token").alias("class"))
         .filter(F.size("class") >= MIN_TOKENS)
         .groupBy("host")
-        .agg(F.flatten(F.collect_list("class")).alias("tokens"))
+        .agg(F.flatten(F.collect_list("class")).alias("tokens")),
+        "html-classes",
     )
     slots = (
-        tokens.filter("path <> ''")
+        unlike.select("host", F.explode(F.expr("filter(items, x -> x.size > 0)")).alias("item"))
+        .groupBy("host", F.expr("coalesce(nullif(substring_index(item.path, '/', size(split(item.path, '/')) - 1), ''), item.path)").alias("path"))
+        .agg(F.sum(F.col("item.size") * F.col("item.n")).alias("chars"))
         .groupBy("host")
         .agg(F.max(F.struct("chars", "path"))["path"].alias("main_path"))
     )
@@ -340,8 +344,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("host", host)
-    key = F.xxhash64("page_id", "url", F.octet_length("html")).alias("key")
-    found = templates(rows.select(key, "host", "html"))
+    found = templates(rows.select("host", "html"))
     joined = rows.join(found, "host", "left").select("page_id", "url", "html", "tokens", "main_path")
     schema = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
     return joined.mapInArrow(_extract(2, 3, 4, 2), schema)

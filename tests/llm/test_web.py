@@ -139,3 +139,15 @@ def test_classes_around_and_of_articles():
         assert text(f"{body}<div class={name}><article><p>not this</article></div>") == ["The story itself, at length"]
     assert text(f"{body}<article class='comment depth-1'><p>not this</article>") == ["The story itself, at length"]
     assert text("<article class='post comments-open'><p>x<article class=comment><p>no</article><p>y</article>") == ["x", "y"]
+
+
+def test_copies_outside_of_article_elements_stay(spark):
+    def page(k, body):
+        return (k, f"http://one.org/{k}", f"<html><body><div class=top>Welcome to our site</div><div class=body>{body}</div><div class=end>All rights kept</div></body></html>", "", "")
+
+    same = "<p>A story that many pages hold</p><p>and its second part</p>"
+    rows = [page(k, f"<p>Story {k} begins here</p><p>and ends {k * 7}</p>") for k in range(12)]
+    rows += [page(k, same) for k in range(20, 26)] + [page(k, f"{same}<p>read {k}</p>") for k in range(30, 36)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    story = "A story that many pages hold\nand its second part"
+    assert got == {k: f"Story {k} begins here\nand ends {k * 7}" for k in range(12)} | {k: story for k in range(20, 26)} | {k: f"{story}\nread {k}" for k in range(30, 36)}
