@@ -12,8 +12,10 @@ over pages of a hash of page and count), which tasks combine before the shuffle,
 so a host with a third of all pages is no larger than any other.
 
 A slot's blocks are text of the article if the slot lies in the page's article (or
-main) element outside of page furniture, or, on pages without one, in the host's main slot: the path that
-holds most of the host's slot text.  Navigation, headers, footers, asides, forms, notices,
+main) element outside of page furniture, or, on pages without one, below the
+host's main path: the innermost element that holds the slots of its articles (those with ``SLOT_SHARE`` of its
+slot text, and headings on ``SUPPORT`` of its pages).  A page with half its text elsewhere keeps all slots.
+Navigation, headers, footers, asides, forms, notices,
 adverts, comments and the like are never article text, nor is template text outside
 of an article element.
 
@@ -29,15 +31,19 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ravelin.llm.common import sliced, table, written
 
 #: Share and number of a host's pages that a template token must be on at least.
 SUPPORT, MIN_PAGES = 0.3, 4
+#: Share of a host's slot text that a slot of its article has at least, if it holds no heading.
+SLOT_SHARE = 0.03
 #: Tokens that a class must have at least.
 MIN_TOKENS = 2
 
@@ -276,8 +282,20 @@ def _unlike(pages: DataFrame) -> DataFrame:
     return written(rows.groupBy("host", "page").agg(F.min_by("items", F.xxhash64("items")).alias("items")), "html-unlike")
 
 
+def common_ancestor(paths: list[str]) -> str:
+    """The path of the innermost element that holds all of some blocks' elements."""
+    split = [p.split("/")[:-1] for p in paths]
+    shared = next((k for k, x in enumerate(zip(*split, strict=False)) if len(set(x)) > 1), min(map(len, split), default=0))
+    return "/".join(split[0][:shared]) if split else ""
+
+
+@F.pandas_udf(T.StringType())
+def _above(paths: pd.Series) -> pd.Series:
+    return paths.map(common_ancestor)
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens, main_path): each host's template tokens and its main slot."""
+    """(host, tokens, main_path): each host's template tokens and the path that its articles are below."""
     unlike = _unlike(pages)
     hosts = unlike.groupBy("host").agg(F.count("*").alias("all_pages"))
     mixed = F.xxhash64("page", "item.n")
@@ -298,13 +316,18 @@ def templates(pages: DataFrame) -> DataFrame:
         .agg(F.flatten(F.collect_list("class")).alias("tokens")),
         "html-classes",
     )
-    slots = (
-        unlike.select("host", F.explode(F.expr("filter(items, x -> x.size > 0)")).alias("item"))
-        .groupBy("host", F.expr("coalesce(nullif(substring_index(item.path, '/', size(split(item.path, '/')) - 1), ''), item.path)").alias("path"))
-        .agg(F.sum(F.col("item.size") * F.col("item.n")).alias("chars"))
-        .groupBy("host")
-        .agg(F.max(F.struct("chars", "path"))["path"].alias("main_path"))
+    path = F.col("path")
+    found = (
+        unlike.join(valid, "host", "left")
+        .select("host", F.explode(F.expr("filter(items, x -> x.size > 0 AND NOT array_contains(coalesce(tokens, array()), x.token))")).alias("item"))
+        .groupBy("host", F.col("item.path").alias("path"))
+        .agg(F.sum(F.col("item.size") * F.col("item.n")).alias("chars"), F.count("*").alias("times"))
     )
+    whole = found.groupBy("host").agg(F.sum("chars").alias("all_chars")).join(hosts, "host")
+    large = F.col("chars") >= SLOT_SHARE * F.col("all_chars")
+    heading = path.rlike("/h[1-3](\\.[^/]*)?$") & (F.col("times") >= SUPPORT * F.col("all_pages"))
+    # of large slots there are 1 / SLOT_SHARE at most, of a host's headings as many as a page has
+    slots = found.join(whole, "host").filter(large | heading).groupBy("host").agg(F.collect_list("path").alias("slots")).withColumn("main_path", _above("slots"))
     return written(hosts.join(valid, "host", "left").join(slots, "host", "left").select("host", "tokens", "main_path"), "html-templates")
 
 
@@ -320,7 +343,7 @@ def article(page: str, template: set[int], main_path: str | None) -> list[str]:
         return [b.text for b in doubtful]
     slots = [b for b in blocks if not b.doubtful and _hash("t" + b.path + "\n" + b.text) not in template]
     inside = [b for b in slots if main_path and (b.path == main_path or b.path.startswith(main_path + "/"))]
-    return [b.text for b in inside or slots]
+    return [b.text for b in (inside if 2 * size(inside) > size(slots) else slots)]
 
 
 def _extract(at_html: int, at_tokens: int, at_main: int, n: int):

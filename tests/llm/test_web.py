@@ -151,3 +151,21 @@ def test_copies_outside_of_article_elements_stay(spark):
     got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
     story = "A story that many pages hold\nand its second part"
     assert got == {k: f"Story {k} begins here\nand ends {k * 7}" for k in range(12)} | {k: story for k in range(20, 26)} | {k: f"{story}\nread {k}" for k in range(30, 36)}
+
+
+def test_all_parts_of_an_article_stay(spark):
+    """Headline outside of the body, several sections, lists longer than paragraphs: exactly what each page was made of."""
+    shapes = {
+        "head": lambda k: ([f"Title {k}", f"First words {k} of the story", f"and more {k * 3}"], "<div class=post><h1>{}</h1><div class=body><p>{}</p><p>{}</p></div></div>"),
+        "sections": lambda k: ([f"Short {k}", f"A much longer section {k} " * 4 + "end", f"Last part {k}"], "<div class=post><section class=a><p>{}</p></section><section class=b><p>{}</p></section><section class=c><p>{}</p></section></div>"),
+        "lists": lambda k: ([f"Intro {k}", f"item {k} " * 9 + "a", f"item {k} " * 9 + "b", f"Outro {k}"], "<div class=body><p>{}</p><ul><li>{}</li><li>{}</li></ul><p>{}</p></div>"),
+    }
+    rows, want = [], {}
+    for name, shape in shapes.items():
+        for k in range(12):
+            parts, form = shape(k)
+            url = f"http://{name}.org/{k}"
+            want[url] = "\n".join(parts)
+            rows.append((k, url, f"<body><div class=top>Welcome to all</div>{form.format(*parts)}<div class=end>All rights kept</div>", "", ""))
+    got = {r["url"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == want
