@@ -148,6 +148,15 @@ def section_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(short).select("source", "section_title", "chunk_index", "content")
 
 
+def all_section_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all sections: unlike ``section_chunks``, which SQL can say, of long ones too."""
+    return _chunks(spark, d).select("source", "section_title", "section_ord", "chunk_index", "content")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunks(chunking.sections(markdown(spark, d)))
+
+
 def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     f = files(spark, d)
     return f.select("source", chunk_id(F.col("source"), F.coalesce("content", F.lit(""))).alias("id"))
@@ -208,6 +217,18 @@ def chunk_count(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def all_chunk_count(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).agg(F.count("*").alias("chunks"))
+
+
+def changed_chunk_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """``ingest_metrics`` with the chunks that an ingest makes: of the changed files only, repeated ones too."""
+    current, old = ingest.hashed(files(spark, d)), previous(spark, d)
+    changed = files(spark, d).join(ingest.todo(current, old), "source", "left_semi")
+    docs = changed.select("source", title_of(F.col("content"), F.col("source")).alias("title"), "content")
+    return ingest.metrics(current, old, chunking.chunks(chunking.sections(docs)))
+
+
 def ingest_metrics(spark: SparkSession, d: str) -> DataFrame:
     current = ingest.hashed(files(spark, d))
     made = files(spark, d).filter(F.length("content") > 0)
@@ -252,8 +273,16 @@ def not_found_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embed_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of each file's short sections in batches of ten, and their sizes."""
+    return _batches(chunking.chunks(chunking.sections(markdown(spark, d)).filter(F.length("content") <= DEFAULT.max_chunk)))
+
+
+def all_embed_batches(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of each file in batches of ten, and their sizes."""
-    made = chunking.chunks(chunking.sections(markdown(spark, d)).filter(F.length("content") <= DEFAULT.max_chunk))
+    return _batches(_chunks(spark, d))
+
+
+def _batches(made: DataFrame) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("source").orderBy("section_ord", "chunk_index"))
     batch = F.floor((n - 1) / DEFAULT.batch)
     return made.select("source", batch.alias("batch_no")).groupBy("source", "batch_no").agg(F.count("*").alias("n"))

@@ -25,6 +25,7 @@ QUERIES = (
     q.title_extract,
     q.sections,
     q.section_chunks,
+    q.all_section_chunks,
     q.chunk_ids,
     q.sub_split,
     q.file_hashes,
@@ -35,7 +36,9 @@ QUERIES = (
     q.delete_by_source,
     q.dedupe_last_wins,
     q.chunk_count,
+    q.all_chunk_count,
     q.ingest_metrics,
+    q.changed_chunk_metrics,
     q.history_window,
     q.context_join,
     q.prompt_messages,
@@ -43,6 +46,7 @@ QUERIES = (
     q.sse_fold,
     q.not_found_fallback,
     q.embed_batches,
+    q.all_embed_batches,
 )
 
 
