@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -52,11 +53,29 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def hand_back() -> None:
+    """Give the memory that this Python process has freed back to the system.
+
+    Spark uses its Python workers again; what their allocators keep of one stage would be
+    missing in the next.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices, so that what is made of one stays small."""
+    """The batches cut into slices, so that what is made of one stays small.
+
+    After each batch and at the end freed memory is handed back.
+    """
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        del batch
+        hand_back()
+    hand_back()
 
 
 def ascii_words(text: bytes) -> list[bytes]:

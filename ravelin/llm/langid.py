@@ -15,7 +15,9 @@ driver and are broadcast.
 
 Null, empty and letterless texts are ``und`` with score 0.  Ties between languages go
 to the smaller name, ties between n-grams to the smaller one.  With no training
-text every document is ``und``.  Repeated rows are predicted alike.
+text every document is ``und``.  Repeated rows are predicted alike.  Empty input gives empty
+output.  Very long texts go piece by piece, each n-gram counted as in the whole text.  Columns
+named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -29,12 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import id_text, table, without, written
+from ravelin.llm.common import id_text, sliced, table, without, written
 
 PROFILE = 600
 MAX_LANGUAGES = 2_000
 UNKNOWN = "und"
-#: Texts are worked through in pieces of so many characters, to bound memory.
+#: Texts are worked through in pieces of so many characters, to bound memory; results do not depend on it.
 PIECE = 1_000_000
 #: N-grams kept in a task before they are added up.
 HELD = 1_000_000
@@ -45,36 +47,44 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def grams(text: str) -> np.ndarray:
-    """All n-grams of a text, each packed into 63 bits: three code points of 21 bits."""
-    chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = _letters()[chars]
-    keep = is_letter.copy()
-    keep[1:] |= is_letter[:-1]  # one blank after each word
-    packed = np.where(is_letter, chars, 32)[keep].astype(np.int64)
-    if not is_letter.any():
-        return np.empty(0, np.int64)
-    if packed[-1] != 32:
-        packed = np.append(packed, 32)
-    padded = np.concatenate(([32], packed))
-    one = packed[packed != 32]
-    two = (padded[:-1] << 21) | padded[1:]
-    three = (two[:-1] << 21) | padded[2:]
-    return np.concatenate((one, two, three[padded[1:-1] != 32]))
-
-
-def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text and their counts; long texts go piece by piece."""
-    if len(text) <= PIECE:
-        return np.unique(grams(text), return_counts=True)
-    parts = [counted(text[i : i + PIECE]) for i in range(0, len(text), PIECE)]
-    return added(parts)
+def grams(text: str, piece: int) -> Iterator[np.ndarray]:
+    """All n-grams of a text, piece by piece, each packed into 63 bits: three code points of 21 bits.
+
+    Every run of anything but letters is one blank, and there is one before and after the text.
+    The last two symbols go over to the next piece, so that a cut changes nothing.
+    """
+    text = text.lower()
+    before, letter_before = np.array([32], np.int64), False
+    for i in range(0, len(text), piece):
+        chars = np.frombuffer(text[i : i + piece].encode("utf-32-le", "surrogatepass"), np.uint32)
+        is_letter = _letters()[chars]
+        keep = is_letter.copy()
+        keep[1:] |= is_letter[:-1]
+        keep[0] |= letter_before
+        letter_before = bool(is_letter[-1])
+        new = np.where(is_letter, chars, 32)[keep].astype(np.int64)
+        if letter_before and i + piece >= len(text):
+            new = np.append(new, 32)
+        symbols = np.concatenate((before, new))
+        two = (symbols[:-1] << 21) | symbols[1:]
+        three = (two[:-1] << 21) | symbols[2:]
+        first = max(0, len(before) - 2)
+        inside = symbols[first + 1 : -1] != 32
+        yield np.concatenate((new[new != 32], two[len(before) - 1 :], three[first:][inside]))
+        before = symbols[-2:]
+
+
+def counted(text: str, piece: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a text and their counts."""
+    parts = [np.unique(found, return_counts=True) for found in grams(text, piece or PIECE)]
+    return parts[0] if len(parts) == 1 else added(parts)
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    """Distinct n-grams of some counts, and the sums of these."""
+    keys, where = np.unique(np.concatenate([np.empty(0, np.int64), *(p[0] for p in parts)]), return_inverse=True)
     sums = np.zeros(len(keys), np.int64)
-    np.add.at(sums, where, np.concatenate([p[1] for p in parts]))
+    np.add.at(sums, where, np.concatenate([np.empty(0, np.int64), *(p[1] for p in parts)]))
     return keys, sums
 
 
@@ -85,7 +95,7 @@ def _texts(column: pa.Array) -> list[str]:
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list] = {}
     n_held = 0
-    for batch in batches:
+    for batch in sliced(batches):
         for text, lang in zip(_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             if text:
                 part = counted(text)
@@ -169,7 +179,7 @@ def identify(docs: DataFrame, profiles: DataFrame, size: int = PROFILE) -> DataF
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             found = [model.predict(t) for t in _texts(batch.column(at))]
             columns = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
