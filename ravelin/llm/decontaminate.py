@@ -9,12 +9,14 @@ can't reach that length, so numpy skips them before the automaton sees them.
 
 The automaton is built from at most ``MAX_WORDS`` words and broadcast.  A larger
 benchmark is split over several automata, applied one after another to the same
-rows; that needs no shuffle either.
+rows; that needs no shuffle either.  Long items are cut into pieces that overlap, so that
+every window is whole in one of them.
 
 Null and wordless texts have no hits.  Items without words are ignored.  Items with
 equal text are all reported.  Ids of items sort as text; a null item_id is the empty
 text.  Rows that repeat are judged alike; columns that have the name of an added one
-are replaced.
+are replaced.  An empty benchmark hits nothing, empty documents give an empty result; very
+long texts are streamed whole.
 """
 
 from __future__ import annotations
@@ -25,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import id_text, table, text_bytes, without
+from ravelin.llm.common import id_text, sliced, table, text_bytes, without
 
 WINDOW = 10
 #: Words of benchmark text that one automaton takes (some 200 bytes each).
@@ -208,47 +211,80 @@ _SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 ADDED = ("n_words", "spans", "item_ids")
 
 
-def _automata(benchmark: DataFrame, window: int, max_words: int) -> Iterator[SuffixAutomaton]:
-    """One automaton after another, each of ``max_words`` words or so at most."""
-    items = benchmark.select(id_text("item_id").alias("item"), "text").filter(F.col("text").isNotNull())
-    total = items.agg(F.sum(F.regexp_count("text", F.lit("[^\\x20]+"))).alias("n")).first()["n"] or 0
+def _pieces(benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """(item, words, n): the items' words, an item of more than ``most`` words in pieces that share
+    ``window - 1`` words with the next, so that each window is in one piece at least."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = F.regexp_extract_all(F.translate("text", upper, lower), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
+    most = max(most, window)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(most))
+    return (
+        benchmark.select(id_text("item_id").alias("item"), words.alias("words"))
+        .filter(F.size("words") > 0)
+        .select("item", "words", F.explode(starts).alias("at"))
+        .select("item", F.slice("words", F.col("at") + 1, F.lit(most + window - 1)).alias("words"))
+        .select("item", F.array_join("words", " ").alias("words"), F.size("words").alias("n"))
+    )
+
+
+def _automata(benchmark: DataFrame, window: int, max_words: int) -> Iterator[tuple[bool, SuffixAutomaton]]:
+    """One automaton after another, each of ``max_words`` words or so at most, and whether it is the last."""
+    items = _pieces(benchmark, window, max(1, max_words // 8))
+    total = items.agg(F.sum("n").alias("n")).first()["n"] or 0
     parts = 1 + 2 * total // max_words
     for k in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).collect()
-        yield SuffixAutomaton([(r.item, words_of(r.text.encode())) for r in sorted(rows)], window)
+        rows = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == k).select("item", "words").collect()
+        yield k + 1 == parts, SuffixAutomaton([(r.item, r.words.encode().split()) for r in sorted(rows)], window)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
-    """``docs`` with n_words, spans (of hit words, joined) and item_ids (sorted as text)."""
-    docs = without(docs, ADDED)
-    names = docs.columns
-    at = names.index("text")
+#: Names of what one automaton hands on to the next, beside the rows' own columns.
+_PASSED = ("__decon_words", "__decon_spans", "__decon_items")
+
+
+def _streamed(docs: DataFrame, benchmark: DataFrame, window: int, max_words: int, schema: T.StructType, finish) -> DataFrame:
+    """``docs`` after all automata, in one pass over the rows for each: ``finish`` makes the
+    result's batch of a batch of rows, their counts of words, spans and items."""
     context = docs.sparkSession.sparkContext
-    schema = T.StructType(
-        [*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("item_ids", T.ArrayType(T.StringType()))]
-    )
+    at, n = docs.columns.index("text"), len(docs.columns)
+    kinds = (T.LongType(), _SPANS, T.ArrayType(T.StringType()))
+    passed = T.StructType([*docs.schema, *(T.StructField(c, t) for c, t in zip(_PASSED, kinds, strict=True))])
     found = docs
-    for automaton in _automata(benchmark, window, max_words):
+    for last, automaton in _automata(benchmark, window, max_words):
         shared = context.broadcast(automaton)
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, n=len(names)) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             automaton: SuffixAutomaton = shared.value
-            for batch in batches:
+            for batch in sliced(batches):
                 before = list(zip(*(batch.column(n + k).to_pylist() for k in (1, 2)), strict=True)) if batch.num_columns > n else [((), ())] * batch.num_rows
                 counts, spans, items = [], [], []
                 for text, (old, ids) in zip(text_bytes(batch.column(at)), before, strict=True):
                     words = words_of(text)
                     new, which = automaton.match(words)
                     counts.append(len(words))
-                    spans.append([{"start": s, "end": e} for s, e in _joined([*((x["start"], x["end"]) for x in old), *new])])
+                    spans.append(_joined([*((x["start"], x["end"]) for x in old), *new]))
                     items.append(sorted({*ids, *(automaton.items[i] for i in which)}))
-                arrays = [*batch.columns[:n], pa.array(counts, pa.int64()), pa.array(spans, _SPANS_ARROW), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:n], *ADDED])
+                rows = batch.select(range(n))
+                yield finish(rows, counts, spans, items) if last else _with(rows, counts, spans, items, _PASSED)
 
-        found = found.mapInArrow(scan, schema)
+        found = found.mapInArrow(scan, schema if last else passed)
     return found
 
 
+def _with(rows: pa.RecordBatch, counts: list, spans: list, items: list, names: tuple[str, ...] = ADDED) -> pa.RecordBatch:
+    as_structs = [[{"start": s, "end": e} for s, e in x] for x in spans]
+    arrays = [*rows.columns, pa.array(counts, pa.int64()), pa.array(as_structs, _SPANS_ARROW), pa.array(items, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(arrays, [*rows.schema.names, *names])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+    """``docs`` with n_words, spans (of hit words, joined) and item_ids (sorted as text)."""
+    docs = without(docs, ADDED)
+    schema = T.StructType(
+        [*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("item_ids", T.ArrayType(T.StringType()))]
+    )
+    return _streamed(docs, benchmark, window, max_words, schema, _with)
+
+
 def n_hit() -> F.Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
 
@@ -263,21 +299,30 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` with all hit spans cut out of their texts; those covered beyond
-    ``max_coverage``, or left without a word, are dropped.  Clean rows stay as they are."""
-    names = docs.columns
-    found = contamination(docs, benchmark, window)
-    kept = found.filter((n_hit() <= F.lit(max_coverage) * F.col("n_words")) | (F.size("spans") == 0))
-
-    @F.pandas_udf(T.StringType())
-    def cut(texts, spans):
-        return texts.combine(spans, lambda t, s: cut_spans(t.encode(), [(int(x["start"]), int(x["end"])) for x in s]).decode("utf-8", "replace"))
-
-    dirty = kept.filter(F.size("spans") > 0).withColumn("text", cut("text", "spans"))
-    if "n_chars" in names:
-        dirty = dirty.withColumn("n_chars", F.length("text").cast(kept.schema["n_chars"].dataType))
-    return kept.filter(F.size("spans") == 0).select(*names).unionByName(dirty.select(*names))
+    ``max_coverage``, or left without a word, are dropped.  Clean rows stay as they are.
+
+    Columns stay those of ``docs``, whatever their names; n_chars follows the cut text.
+    """
+    at = docs.columns.index("text")
+    sized = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def cut(rows: pa.RecordBatch, counts: list, spans: list, _: list) -> pa.RecordBatch:
+        if not any(spans):
+            return rows
+        texts = [cut_spans(t, s).decode("utf-8", "replace") if s else None for t, s in zip(text_bytes(rows.column(at)), spans, strict=True)]
+        dirty = pa.array([bool(s) for s in spans])
+        columns = list(rows.columns)
+        for k, values in ((at, texts), (sized, [t if t is None else len(t) for t in texts])):
+            if k is not None:
+                kind = columns[k].type
+                new = pa.array(values, pa.string()) if k == at else pa.array(values, pa.int64())
+                columns[k] = pc.if_else(dirty, new.cast(kind), columns[k])
+        kept = [not s or sum(e - b for b, e in s) <= max_coverage * n and sum(e - b for b, e in s) < n for n, s in zip(counts, spans, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, schema=rows.schema).filter(pa.array(kept))
+
+    return _streamed(docs, benchmark, window, max_words, docs.schema, cut)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
