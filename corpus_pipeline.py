@@ -15,22 +15,36 @@ from ravelin.llm.common import id_text, release, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no language is found; a missing label becomes the predicted one."""
-    found = langid.identify(docs, langid.profiles_of(docs)).filter(F.col("lang_pred") != langid.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Drop documents in which no language is found; a missing label becomes the predicted one.
+
+    Where no row is labelled nothing can be learned: all documents with a letter stay as they are.
+    """
+    profiles = langid.profiles_of(docs)
+    if profiles.isEmpty():
+        return docs.filter(F.regexp_like("text", F.lit(r"\p{L}")))
+    found = langid.identify(docs.select("text", F.struct(*docs.columns).alias("__row")), profiles)
+    label = F.coalesce("__row.lang", "lang_pred")
+    rest = [F.col(f"__row.{c}") if c != "lang" else label.alias("lang") for c in docs.columns]
+    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*rest)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates keep the document with the smallest id.
 
-    Rows that repeat an id are one document; rows without an id link with nothing.
+    Where ids are missing or repeat, rows are told apart by numbers of their own; of equal ids
+    any one stays, the same in every run of the stage's table.
     """
-    groups = written(jaccard.near_duplicates(docs.select("doc_id", "text")), "pipeline-groups")
-    kept = groups.filter("doc_id = component_id")
-    known = docs.join(kept.select(F.col("doc_id").alias("__kept")).distinct(), F.col("doc_id") == F.col("__kept"), "left_semi")
-    if not kept.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        known = known.dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id IS NULL"))
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
+    if ids.isEmpty():
+        groups = written(jaccard.near_duplicates(docs.select("doc_id", "text")), "pipeline-groups")
+        gone = groups.filter("doc_id <> component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = written(jaccard.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")), "pipeline-groups")
+    named = rows.select("__row", "doc_id").join(groups.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
+    smallest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    first = named.groupBy("component_id").agg(smallest.alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
