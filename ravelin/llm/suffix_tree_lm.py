@@ -9,16 +9,19 @@ A retained context's distribution is smoothed by absolute discounting, the disco
 mass going to its suffix's; at the root, add-one counts over all words.  A text is
 scored from its longest suffix states, one for each symbol.
 
-The tree grows with the corpus, so it is never gathered: n-grams, contexts and probabilities are
-tables by key.  A word's key is its hash; that of a longer n-gram is made of the keys of the n-gram
-without its last word (its context) and without its first (the same symbol by the suffix).  Texts are
-tokenized once, into batches of word numbers with a dictionary each.  Level by level, tasks add up their own n-grams,
-packed by key range, and only those whose parts are frequent, as far as a bit map of fixed
-size tells: where it fills up, more n-grams are counted, none is lost.
+The tree grows with the corpus, so it is never gathered.  A word's key is its hash; that of a longer
+n-gram is made of the keys of the n-gram without its last word (its context) and without its first
+(the same symbol by the suffix).  A key's leading bits come from the context, so all that follows a
+context is in one range of keys; contexts of ``hot_count`` occurrences or more (65,536 at most) are spread over
+``SALTS`` ranges, and their sums added up over these.  All tables are packed: a row a range, with
+its n-grams as arrays.  Texts are tokenized once, into batches of word numbers with a dictionary each.
+Level by level, tasks add up their own n-grams, only those whose context is frequent, as far as a bit map of
+fixed size tells (where it fills up, more n-grams are counted, none is lost); a range's task adds these up,
+asks the ranges of the suffixes for their probabilities, and tests and smooths its contexts.
 
 A text's score is a sum over its n-grams: each retained context that it holds adds the weight of its
 suffix's distribution, each n-gram stored there what it adds to that.  So a batch asks the
-tables for its distinct n-grams once, packed by key range, and adds up the answers.
+ranges for its distinct n-grams once, and adds up the answers, which stand in the order of its questions.
 
 Null and empty texts are one end symbol.  With no training texts all counts are 0.
 Rows that repeat are scored alike; null ids count as empty text where held-out rows are drawn.
@@ -36,11 +39,11 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import ascii_words, discard, id_text, release, table, text_bytes, written
+from ravelin.llm.common import ascii_words, discard, id_text, release, sliced, table, text_bytes, written
 
 #: Words of the longest contexts.
 DEPTH = 3
@@ -52,15 +55,18 @@ END = b"\n"  # no word holds white space
 BATCH_BYTES, BATCH_TEXTS = 8_000_000, 50_000
 #: Distinct n-grams that one merge task gets on average; n-grams that a task holds unsorted.
 PER_RANGE, HELD = 2_000_000, 2_000_000
-#: log2 of the bits of a level's map of frequent n-grams, at most.
-MAP_BITS = 27
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Ranges of a context that is seen very often.
+SALTS = 64
+#: log2 of the bits of a map of n-grams, and of the number of ranges, at most.
+MAP_BITS, RANGE_BITS = 27, 20
 _BITS = np.int64(21)
 _MASK = np.int64((1 << 21) - 1)
+_LOW = np.uint64((1 << 40) - 1)
+_LN10 = float(np.log(10.0))
 
 
 def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) >> 1
+    return xxhash.xxh3_64_intdigest(word)
 
 
 def held_out() -> Column:
@@ -86,7 +92,7 @@ def encoded(docs: DataFrame, train: Column) -> DataFrame:
             symbols = [*map(numbers.__getitem__, ascii_words(text)), numbers[END]]
             codes.append(np.array(symbols, np.uint32))
             sizes.append(len(symbols))
-        hashes = np.fromiter(map(word_hash, numbers), np.int64, len(numbers))
+        hashes = np.fromiter(map(word_hash, numbers), np.uint64, len(numbers))
         whole = pa.Table.from_batches(parts).combine_chunks()
         columns = [whole.column(k).chunk(0) for k in range(len(names))] + [pa.array(range(len(texts)), pa.int32())]
         values = pa.StructArray.from_arrays(columns, [*names, "__at"])
@@ -96,7 +102,7 @@ def encoded(docs: DataFrame, train: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, texts, held = [], [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             start = 0
             for k, text in enumerate(text_bytes(batch.column(len(names)))):
                 if texts and (held + len(text) > BATCH_BYTES or len(texts) >= BATCH_TEXTS):
@@ -118,70 +124,116 @@ class _Batch:
     """Symbols of a batch's texts: the keys of words, each one's place in its text, the texts' starts."""
 
     def __init__(self, words: bytes, codes: bytes, sizes: bytes):
-        self.words = np.frombuffer(words, np.int64)
+        self.words = np.frombuffer(words, np.uint64)
         self.codes = np.frombuffer(codes, np.uint32)
         self.sizes = np.frombuffer(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.places = np.arange(len(self.codes)) - np.repeat(self.starts, self.sizes)
 
-    def grams(self, maps: list[np.ndarray], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Level by level: where n-grams end whose parts are in the maps, their keys, contexts and suffixes."""
-        whole = self.words[self.codes]
-        at = np.arange(len(whole))
-        for level in range(1, depth + 1):
-            there = np.zeros(len(whole), bool)
-            there[at] = True if level == 1 else in_map(maps[level - 2], whole[at])
-            both = there.copy()
-            both[1:] &= there[:-1]
-            both[self.places < level] = False
-            at = np.flatnonzero(both)
-            context, suffix = whole[at - 1], whole[at]
-            keys = gram_key(context, suffix)
-            whole = np.zeros(len(whole), np.int64)
-            whole[at] = keys
-            yield at, keys, context, suffix
-
-
-def gram_key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """The key of an n-gram, from those of the n-grams without its last and without its first word."""
-    x = context.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (suffix.view(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
+    def grams(self, hot: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Level by level, for all symbols: whether an n-gram of that length ends there, its context, suffix and key."""
+        suffix = self.words[self.codes]
+        for level, often in enumerate(hot, 1):
+            context = np.concatenate((suffix[:1], suffix[:-1]))
+            keys = gram_key(context, suffix, often)
+            yield self.places >= level, context, suffix, keys
+            suffix = keys
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xE7037ED1A0B428DB)
-    return (x ^ (x >> np.uint64(29))).view(np.int64)
+    return x ^ (x >> np.uint64(29))
+
+
+def gram_key(context: np.ndarray, suffix: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The key of an n-gram, from those of the n-grams without its last and without its first word.
+
+    ``hot``: sorted keys of contexts whose n-grams are spread over several ranges.
+    """
+    pair = _mixed(context * np.uint64(0xD6E8FEB86659FD93) + (suffix ^ np.uint64(0xA0761D6478BD642F)))
+    lead = context
+    if len(hot):
+        salt = (pair % np.uint64(SALTS) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        lead = np.where(_within(hot, context)[0], context ^ salt, context)
+    return (_mixed(lead) & ~_LOW) | (pair & _LOW)
 
 
 def _range_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys.view(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _by_range(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """The ranges that sorted keys are in, and where."""
+    which = _range_of(keys, bits)
+    cuts = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), len(keys)]
+    for lo, hi in zip(cuts, cuts[1:]) if len(keys) else ():  # noqa: B905
+        yield int(which[lo]), slice(lo, hi)
 
 
-def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether keys are in the map: true for all that were put in, and for few others."""
-    at = _range_of(keys, len(bits).bit_length() + 2)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+def _spots(keys: np.ndarray, bits: int, map_bits: int) -> np.ndarray:
+    """Places of keys in a map: by range, then by all their bits."""
+    inner = np.uint64(map_bits - bits)
+    return ((keys >> np.uint64(64 - bits)) << inner | (_mixed(keys) >> (np.uint64(64) - inner))).astype(np.int64)
+
+
+class GramMap(NamedTuple):
+    """A bit map of n-grams, of 2 ** MAP_BITS bits at most at any input size."""
+
+    marks: np.ndarray
+    bits: int
+    map_bits: int
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """True for all keys that were put in, and for few others."""
+        at = _spots(keys, self.bits, self.map_bits)
+        return (self.marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def _range_bits(n_tokens: int) -> int:
-    return max(4, (n_tokens // PER_RANGE).bit_length())
+    return min(RANGE_BITS, max(4, (n_tokens // PER_RANGE).bit_length()))
 
 
 def _map_bits(n_tokens: int, bits: int) -> int:
     return min(MAP_BITS, max(bits + 3, (4 * n_tokens).bit_length()))
 
 
+def hot_count(n_tokens: int) -> int:
+    """Occurrences from which a context is spread over several ranges; fewer than 2 ** 16 have so many."""
+    return max(PER_RANGE // 16, n_tokens >> 16)
+
+
 def _slice_of_map(keys: np.ndarray, bits: int, map_bits: int) -> bytes:
     """Of the map, what belongs to the range that all of the keys are in."""
     marks = np.zeros(1 << (map_bits - bits), bool)
-    marks[_range_of(keys, map_bits) & ((1 << (map_bits - bits)) - 1)] = True
+    marks[_spots(keys, bits, map_bits) & ((1 << (map_bits - bits)) - 1)] = True
     return np.packbits(marks, bitorder="little").tobytes()
 
 
-def _map_of(slices: DataFrame, bits: int, map_bits: int) -> np.ndarray:
-    """The whole map, of 2 ** MAP_BITS bits at most at any input size."""
+def _map_of(slices: DataFrame, bits: int, map_bits: int) -> GramMap:
     out = np.zeros(1 << (map_bits - 3), np.uint8)
     size = len(out) >> bits
     found = slices.select("range", "map").toArrow()
     for k, part in zip(found.column("range").to_pylist(), found.column("map").to_pylist(), strict=True):
         out[k * size : (k + 1) * size] = np.frombuffer(part, np.uint8)
-    return out
+    return GramMap(out, bits, map_bits)
+
+
+def _within(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each wanted key is among the sorted keys, and where."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
+
+
+def _row(**columns) -> pa.RecordBatch:
+    """One row of numbers and packed arrays."""
+    arrays = [pa.array([v], pa.int64()) if isinstance(v, int) else pa.array([v.tobytes()], pa.binary()) for v in columns.values()]
+    return pa.RecordBatch.from_arrays(arrays, list(columns))
+
+
+def _joined(packed, kind: type) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *(np.frombuffer(x, kind) for x in packed)])
 
 
 # -- counting ------------------------------------------------------------------------
@@ -196,77 +248,99 @@ def _add(keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np.nd
     return (keys[starts], total, *(x[order[starts]] for x in more))
 
 
-def _training(batch: pa.RecordBatch) -> Iterator[tuple[_Batch, np.ndarray]]:
-    for k in range(batch.num_rows):
-        train, *packed = (batch.column(c)[k].as_py() for c in ("train", "words", "codes", "sizes"))
-        found = _Batch(*packed)
-        yield found, np.repeat(np.frombuffer(train, bool), found.sizes)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, ...]] = []
-    n = 0
-    out = lambda keys, counts: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["word", "n"])
-    for batch in batches:
-        for found, train in _training(batch):
-            counts = np.bincount(found.codes[train], minlength=len(found.words))
-            held.append((found.words[counts > 0], counts[counts > 0]))
+def _counter(of_batch, out):
+    """A task that adds up what ``of_batch`` finds in batches' training texts, and now and then hands it to ``out``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+        for batch in sliced(batches, 1):
+            train, *packed = (batch.column(c)[0].as_py() for c in ("train", "words", "codes", "sizes"))
+            found = _Batch(*packed)
+            held.append(of_batch(found, np.repeat(np.frombuffer(train, bool), found.sizes)))
             n += len(held[-1][0])
             if n > HELD:
                 held = [_add(*map(np.concatenate, zip(*held, strict=True)))]
                 n = len(held[0][0])
                 if n > HELD // 2:
-                    yield out(*held.pop())
+                    yield from out(*held.pop())
                     n = 0
-    if held:
-        yield out(*_add(*map(np.concatenate, zip(*held, strict=True))))
+        if held:
+            yield from out(*_add(*map(np.concatenate, zip(*held, strict=True))))
 
+    return run
 
-def _counter(level: int, maps, bits: int):
-    """Counts of the n-grams of one level, packed by key range."""
 
-    def packed(held: list) -> Iterator[pa.RecordBatch]:
-        keys, counts, context, suffix = _add(*map(np.concatenate, zip(*held, strict=True)))
-        which = _range_of(keys, bits)
-        order = np.argsort(which, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(which[order])) + 1) if len(order) else ():
-            row = [np.minimum(counts[part], 2**32 - 1).astype(np.uint32), context[part], suffix[part]]
-            yield pa.RecordBatch.from_arrays([pa.array([int(which[part[0]])]), *(pa.array([x.tobytes()], pa.binary()) for x in row)], ["range", "counts", "contexts", "suffixes"])
+def _words_counted(bits: int):
+    def of_batch(found: _Batch, train: np.ndarray) -> tuple[np.ndarray, ...]:
+        counts = np.bincount(found.codes[train], minlength=len(found.words))
+        return found.words[counts > 0], counts[counts > 0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        n = 0
-        for batch in batches:
-            for found, train in _training(batch):
-                for at, keys, context, suffix in found.grams([m.value for m in maps], level):  # noqa: B007
-                    pass
-                use = train[at]
-                held.append(_add(keys[use], np.ones(int(use.sum()), np.int64), context[use], suffix[use]))
-                n += len(held[-1][0])
-                if n > HELD:
-                    held = [_add(*map(np.concatenate, zip(*held, strict=True)))]
-                    n = len(held[0][0])
-                    if n > HELD // 2:
-                        yield from packed(held)
-                        held, n = [], 0
-        if held:
-            yield from packed(held)
+    def out(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k, part in _by_range(keys, bits):
+            yield _row(range=k, keys=keys[part], counts=counts[part])
 
-    return run
+    return _counter(of_batch, out)
+
+
+def _merge_words(group: pd.DataFrame) -> pd.DataFrame:
+    keys, counts = _add(_joined(group["keys"], np.uint64), _joined(group["counts"], np.int64))
+    row = {"range": group["range"].iloc[0], "keys": keys.tobytes(), "counts": counts.tobytes(), "n": int(counts.sum()), "v": len(keys)}
+    return pd.DataFrame([row])
+
+
+_WORDS = "range long, keys binary, counts binary, n long, v long"
+_PARTS = "range long, contexts binary, runs binary, suffixes binary, counts binary"
+_GRAMS = _PARTS + ", totals binary, sums binary, often binary, map binary"
 
 
-_GRAMS = "key long, context long, suffix long, n long, range long, map binary"
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values without repeats next to each other, and how often each stood there."""
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
+    return values[starts], np.diff(np.append(starts, len(values))).astype(np.uint32)
 
 
-def _merger(bits: int, map_bits: int):
+def _grams_counted(frequent: Broadcast | None, hot: list[Broadcast], bits: int):
+    """Counts of the n-grams whose contexts are frequent, packed by key range."""
+
+    def of_batch(found: _Batch, train: np.ndarray) -> tuple[np.ndarray, ...]:
+        for there, context, suffix, keys in found.grams([h.value for h in hot]):  # noqa: B007
+            pass
+        use = there & train
+        if frequent is not None:
+            use[use] = frequent.value.holds(context[use])
+        return _add(keys[use], np.ones(int(use.sum()), np.int64), context[use], suffix[use])
+
+    def out(keys: np.ndarray, counts: np.ndarray, context: np.ndarray, suffix: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k, part in _by_range(keys, bits):
+            contexts, runs = _runs(context[part])
+            yield _row(range=k, contexts=contexts, runs=runs, suffixes=suffix[part], counts=counts[part])
+
+    return _counter(of_batch, out)
+
+
+_SUMS = np.dtype([("key", "u8"), ("total", "f8"), ("spent", "f8"), ("seen", "f8"), ("symbols", "f8")])
+
+
+def _merger(hot: Broadcast, bits: int, map_bits: int, often: int):
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        gathered = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in group[c]])
-        context, suffix = gathered("contexts", np.int64), gathered("suffixes", np.int64)
-        keys, counts, context, suffix = _add(gram_key(context, suffix), gathered("counts", np.uint32).astype(np.int64), context, suffix)
-        kept = counts >= MIN_COUNT
-        out = pd.DataFrame({"key": keys[kept], "context": context[kept], "suffix": suffix[kept], "n": counts[kept], "range": None, "map": None})
-        last = {"key": [0], "context": [0], "suffix": [0], "n": [0], "range": [int(group["range"].iloc[0])], "map": [_slice_of_map(keys[kept], bits, map_bits)]}
-        return pd.concat([out.astype(object), pd.DataFrame(last).astype(object)]) if len(out) else pd.DataFrame(last)
+        context = np.concatenate([np.repeat(np.frombuffer(c, np.uint64), np.frombuffer(r, np.uint32)) for c, r in zip(group["contexts"], group["runs"], strict=True)])
+        suffix = _joined(group["suffixes"], np.uint64)
+        keys, counts, context, suffix = _add(gram_key(context, suffix, hot.value), _joined(group["counts"], np.int64), context, suffix)
+        every, where = np.unique(context, return_inverse=True)
+        totals = np.bincount(where, counts, len(every))
+        order = np.flatnonzero(counts >= MIN_COUNT)
+        order = order[np.argsort(where[order], kind="stable")]
+        n, at = counts[order], where[order]
+        contexts, runs = _runs(context[order])
+        parts = np.flatnonzero(_within(hot.value, every)[0])  # what is here of hot contexts
+        sums = np.zeros(len(parts), _SUMS)
+        sums["key"], sums["total"] = every[parts], totals[parts]
+        for name, x in (("spent", n - DISCOUNT), ("seen", n), ("symbols", np.ones(len(n)))):
+            sums[name] = np.bincount(at, x, len(every))[parts]
+        row = {"range": group["range"].iloc[0], "contexts": contexts, "runs": runs, "suffixes": suffix[order], "counts": n, "totals": totals[_runs(at)[0]], "sums": sums}
+        row |= {"often": keys[order][n >= often]}
+        return pd.DataFrame([{k: v.tobytes() if isinstance(v, np.ndarray) else v for k, v in row.items()} | {"map": _slice_of_map(keys[order], bits, map_bits)}])
 
     return merge
 
@@ -291,14 +365,6 @@ class Words(NamedTuple):
     counts: np.ndarray
 
 
-def _within(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each wanted key is among the sorted keys, and where."""
-    if not len(keys):
-        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return keys[at] == wanted, at
-
-
 def _scored(level: Level, context: np.ndarray, symbol: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     """log10 probabilities given contexts, where the suffix's are ``suffix``."""
     kept, at = _within(level.contexts, context)
@@ -308,18 +374,38 @@ def _scored(level: Level, context: np.ndarray, symbol: np.ndarray, suffix: np.nd
 
 
 class Tree:
-    """A learned tree: tables of counts and of each level's probabilities and contexts.
+    """A learned tree.
 
-    ``words``, ``root``, ``one`` and ``two`` gather the first levels of a small tree, to look at.
+    ``counts`` has the words and their counts, ``levels`` a table for each length of context, ``hot`` the contexts
+    that are spread over ranges, ``model`` what scoring asks for: of each range the retained contexts and
+    their n-grams, ``known`` a map of all of these.  ``words``, ``root``, ``one`` and ``two``
+    gather the first levels of a small tree, to look at.
     """
 
-    def __init__(self, counts: DataFrame, n: int, v: int, levels: list[DataFrame], maps: list[Broadcast]):
-        self.counts, self.n, self.v, self.levels, self.maps = counts, n, v, levels, maps
+    def __init__(self, packed: DataFrame, n: int, v: int):
+        self.packed, self.n, self.v = packed, n, v
+        self.levels: list[DataFrame] = []
+        self.hot: list[Broadcast] = []
+        self.kept_hot: list[np.ndarray] = []
+        self.bits = _range_bits(n)
+        self.model: DataFrame | None = None
+        self.known: Broadcast | None = None
 
     @property
     def scale(self) -> float:
         return float(np.log10(self.n + self.v + 1.0))
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        """(word, n): the keys of all words, and how often they occur."""
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, np.int64))], ["word", "n"])
+
+        return self.packed.select("keys", "counts").mapInArrow(unpack, "word long, n long")
+
     @cached_property
     def words(self) -> Words:
         found = self.counts.orderBy("word").toArrow()
@@ -331,13 +417,19 @@ class Tree:
 
     def _numbered(self, level: int) -> tuple[Level, dict[int, int]]:
         """A level by numbers of words, and the numbers of its n-grams' keys."""
-        up = dict(zip(self.words.hashes.tolist(), range(self.v), strict=True)) if level == 1 else self._numbered(level - 1)[1]
-        rows = self.levels[level - 1].collect()
-        number = {r["key"]: up[r["context"]] << int(_BITS) | up[r["suffix"]] & int(_MASK) for r in rows}
-        kept = sorted((number[r["key"]], r["lp"]) for r in rows if r["kept"])
-        contexts = sorted({up[r["context"]]: r["weight"] for r in rows if r["kept"]}.items())
+        up = dict(zip(self.words.hashes.view(np.uint64).tolist(), range(self.v), strict=True)) if level == 1 else self._numbered(level - 1)[1]
+        number, kept, contexts = {}, [], {}
+        for row in self.levels[level - 1].collect():
+            context, suffix, keys, lp, _, weight, is_kept = _resolved(row, self.hot[level - 1].value, self.kept_hot[level - 1])
+            for c, s, k, x, w, use in zip(*(y.tolist() for y in (context, suffix, keys, lp, weight, is_kept)), strict=True):
+                number[k] = up[c] << int(_BITS) | up[s] & int(_MASK)
+                if use:
+                    kept.append((number[k], x))
+                    contexts[up[c]] = w
+        kept.sort()
+        ordered = sorted(contexts.items())
         ints, floats = (lambda x, k: np.array([y[k] for y in x], np.int64)), (lambda x, k: np.array([y[k] for y in x], float))
-        return Level(ints(contexts, 0), floats(contexts, 1), ints(kept, 0), floats(kept, 1)), number
+        return Level(ints(ordered, 0), floats(ordered, 1), ints(kept, 0), floats(kept, 1)), number
 
     @cached_property
     def one(self) -> Level:
@@ -352,43 +444,196 @@ class Tree:
         return _scored(self.one, context, symbol, self.root[symbol])
 
 
-def _level(grams: DataFrame, shorter: DataFrame) -> DataFrame:
-    """Divergence tests and smoothing: ``grams`` with the log10 probability ``lp`` of their symbol, that by
-    the suffix, and whether their context is retained, with what weight.  ``shorter`` has key, n and lp of the level above."""
-    own = Window.partitionBy("context")
-    total, n = F.col("total"), F.col("n")
-    left = 1.0 - F.sum(n - DISCOUNT).over(own) / total
-    p = (n - DISCOUNT) / total + F.col("left") * F.pow(F.lit(10.0), "below")
-    gain = F.sum(n * (F.log("p") - F.col("below") * float(np.log(10.0)))).over(own) + (total - F.sum("n").over(own)) * F.log("left")
-    rows = (
-        grams.join(shorter.select(F.col("key").alias("suffix"), F.col("lp").alias("below")), "suffix")
-        .join(shorter.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
-        .withColumn("left", F.greatest(left, F.lit(1e-9)))
-        .withColumn("p", p)
-        .withColumn("kept", gain > 0.5 * F.log(total) * F.count("*").over(own))
-    )
-    lp = F.when(F.col("kept"), F.log10("p")).otherwise(F.col("below"))
-    return rows.select("key", "context", "suffix", "n", "kept", lp.alias("lp"), "below", F.log10("left").alias("weight"))
+_LEVEL = "range long, contexts binary, runs binary, suffixes binary, lp binary, below binary, weights binary, kept binary, gains binary"
+_KEPT_LATER = 2
+_GAINS = np.dtype([("key", "u8"), ("gain", "f8")])
+
+
+def _resolved(row, hot: np.ndarray, kept_hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """context, suffix, key, log10 probability in the context and by the suffix, weight, and whether
+    the context is retained, of each n-gram in a row of a level."""
+    contexts, runs, weights, flags = (np.frombuffer(row[c], t) for c, t in (("contexts", np.uint64), ("runs", np.uint32), ("weights", float), ("kept", np.uint8)))
+    kept = np.where(flags == _KEPT_LATER, _within(kept_hot, contexts)[0], flags == 1)
+    context, suffix = np.repeat(contexts, runs), np.frombuffer(row["suffixes"], np.uint64)
+    lp, below = np.frombuffer(row["lp"], float), np.frombuffer(row["below"], float)
+    return context, suffix, gram_key(context, suffix, hot), lp, below, np.repeat(weights, runs), np.repeat(kept, runs)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for k in range(batch.num_rows):
+        yield {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+
+
+def _shorter_words(scale: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            for row in _rows(batch):
+                yield _row(range=row["range"], keys=np.frombuffer(row["keys"], np.uint64), lp=np.log10(np.frombuffer(row["counts"], np.int64) + 1.0) - scale)
+
+    return run
+
+
+def _shorter_level(hot: Broadcast, kept_hot: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            for row in _rows(batch):
+                _, _, keys, lp, below, _, kept = _resolved(row, hot.value, kept_hot)
+                order = np.argsort(keys)
+                yield _row(range=row["range"], keys=keys[order], lp=np.where(kept, lp, below)[order])
+
+    return run
+
+
+def _asks(bits: int):
+    """The suffixes that a range has to ask others for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            for row in _rows(batch):
+                keys = np.unique(np.frombuffer(row["suffixes"], np.uint64))
+                for k, part in _by_range(keys, bits):
+                    yield _row(range=k, asker=row["range"], keys=keys[part])
+
+    return run
+
+
+def _tell(asked: pd.DataFrame, shorter: pd.DataFrame) -> pd.DataFrame:
+    keys, lp = _joined(shorter["keys"], np.uint64), _joined(shorter["lp"], float)
+    rows = [(a, r, lp[np.searchsorted(keys, np.frombuffer(k, np.uint64))].tobytes()) for a, r, k in zip(asked["asker"], asked["range"], asked["keys"], strict=True)]
+    return pd.DataFrame(rows, columns=["asker", "range", "lp"])
+
+
+def _grader(hot_sums: np.ndarray):
+    """Divergence tests and smoothing of the contexts of a range; those of hot contexts are finished when their gains are added up."""
+
+    def grade(mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(mine["suffixes"].iloc[0]):
+            return pd.DataFrame(columns=[c.split()[0] for c in _LEVEL.split(", ")])
+        row = mine.iloc[0]
+        contexts, runs, suffix = (np.frombuffer(row[c], t) for c, t in (("contexts", np.uint64), ("runs", np.uint32), ("suffixes", np.uint64)))
+        n, total = np.frombuffer(row["counts"], np.int64), np.frombuffer(row["totals"], float)
+        below = _joined(told.sort_values("range")["lp"], float)[np.unique(suffix, return_inverse=True)[1]]
+        at = np.repeat(np.arange(len(contexts)), runs)
+        hot, where = _within(hot_sums["key"], contexts)
+        whole = lambda own, name: np.where(hot, hot_sums[name][where], own) if len(hot_sums) else own
+        total = whole(total, "total")
+        spent, seen, symbols = whole(np.bincount(at, n - DISCOUNT), "spent"), whole(np.bincount(at, n), "seen"), whole(runs.astype(float), "symbols")
+        left = np.maximum(1.0 - spent / total, 1e-9)
+        p = (n - DISCOUNT) / total[at] + left[at] * 10.0**below
+        gain = np.bincount(at, n * (np.log(p) - below * _LN10))
+        kept = np.where(hot, _KEPT_LATER, _worth(gain, total, seen, symbols)).astype(np.uint8)
+        gains = np.zeros(int(hot.sum()), _GAINS)
+        gains["key"], gains["gain"] = contexts[hot], gain[hot]
+        out = {"range": row["range"], "contexts": contexts, "runs": runs, "suffixes": suffix, "lp": np.log10(p), "below": below, "weights": np.log10(left), "kept": kept, "gains": gains}
+        return pd.DataFrame([{k: v.tobytes() if isinstance(v, np.ndarray) else v for k, v in out.items()}])
+
+    return grade
+
+
+def _worth(gain: np.ndarray, total: np.ndarray, seen: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Whether contexts gain more by distributions of their own than these cost."""
+    left = np.maximum(1.0 - (seen - DISCOUNT * symbols) / total, 1e-9)
+    return gain + (total - seen) * np.log(left) > 0.5 * np.log(total) * symbols
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Structured rows added up by key."""
+    keys, where = np.unique(rows["key"], return_inverse=True)
+    out = np.zeros(len(keys), rows.dtype)
+    out["key"] = keys
+    for name in rows.dtype.names[1:]:
+        out[name] = np.bincount(where, rows[name], len(keys))
+    return out
+
+
+def _collected(table: DataFrame, column: str, kind: np.dtype) -> np.ndarray:
+    """What a packed column has about hot contexts: ``SALTS`` rows for each of them at most."""
+    return _joined((r[0] for r in table.select(column).filter(F.length(column) > 0).collect()), kind)
+
+
+def _hot_words(often: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            for row in _rows(batch):
+                yield _row(often=np.frombuffer(row["keys"], np.uint64)[np.frombuffer(row["counts"], np.int64) >= often])
+
+    return run
+
+
+def _modelled(hot: Broadcast, kept_hot: np.ndarray, bits: int):
+    """Of a level, what scoring asks for: n-grams with what they add to their suffix's probability (kind 1),
+    retained contexts with their weights (kind 2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            for row in _rows(batch):
+                context, _, keys, lp, below, weight, kept = _resolved(row, hot.value, kept_hot)
+                values = (lp - below - weight)[kept]
+                yield _row(range=row["range"], kind=1, keys=keys[kept], values=values)
+                contexts, first = np.unique(context[kept], return_index=True)
+                for k, part in _by_range(contexts, bits):
+                    yield _row(range=k, kind=2, keys=contexts[part], values=weight[kept][first][part])
+
+    return run
+
+
+def _merge_model(bits: int, map_bits: int):
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        number, out, every = group["range"].iloc[0], [], []
+        for kind in (1, 2):
+            part = group[group["kind"] == kind]
+            keys, first = np.unique(_joined(part["keys"], np.uint64), return_index=True)
+            every.append(keys)
+            out.append((number, kind, keys.tobytes(), _joined(part["values"], float)[first].tobytes(), None))
+        out.append((number, 0, None, None, _slice_of_map(np.concatenate(every), bits, map_bits)))
+        return pd.DataFrame(out, columns=["range", "kind", "keys", "values", "map"])
+
+    return merge
 
 
 def _learn(texts: DataFrame) -> Tree:
     spark = texts.sparkSession
-    counts = written(texts.select("train", "words", "codes", "sizes").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    shared = spark.sparkContext.broadcast
+    source = texts.select("train", "words", "codes", "sizes")
+    bits = _range_bits(int(texts.agg(F.sum(F.length("codes"))).first()[0] or 0) // 4)
+    counted = source.mapInArrow(_words_counted(bits), "range long, keys binary, counts binary")
+    packed = written(counted.groupBy("range").applyInPandas(_merge_words, _WORDS), "lm-words")
     release(spark)
-    totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    tree = Tree(counts, int(totals["n"] or 0), int(totals["v"]), [], [])
-    shorter = counts.select(F.col("word").alias("key"), "n", (F.log10(F.col("n") + 1.0) - tree.scale).alias("lp"))
-    bits = min(MAP_BITS - 3, _range_bits(tree.n))
-    map_bits = _map_bits(tree.n, bits)
+    totals = packed.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    tree = Tree(packed, int(totals["n"] or 0), int(totals["v"] or 0))
+    tree.bits = bits
+    map_bits, often = _map_bits(tree.n, bits), hot_count(tree.n)
+    shorter = packed.mapInArrow(_shorter_words(tree.scale), "range long, keys binary, lp binary")
+    hot = _joined((r[0] for r in packed.mapInArrow(_hot_words(often), "often binary").filter(F.length("often") > 0).collect()), np.uint64)
+    frequent = None
     for level in range(1, DEPTH + 1):
-        packed = texts.select("train", "words", "codes", "sizes").mapInArrow(_counter(level, list(tree.maps), bits), "range long, counts binary, contexts binary, suffixes binary")
-        merged = written(packed.groupBy("range").applyInPandas(_merger(bits, map_bits), _GRAMS), f"lm-grams-{level}")
+        tree.hot.append(shared(np.sort(hot)))
+        parts = source.mapInArrow(_grams_counted(frequent, list(tree.hot), bits), _PARTS)
+        grams = written(parts.groupBy("range").applyInPandas(_merger(tree.hot[-1], bits, map_bits, often), _GRAMS), f"lm-grams-{level}")
         release(spark)
-        tree.maps.append(spark.sparkContext.broadcast(_map_of(merged.filter("n = 0"), bits, map_bits)))
-        tree.levels.append(written(_level(merged.filter("n > 0").select("key", "context", "suffix", "n"), shorter), f"lm-level-{level}"))
-        discard(merged)
+        asked = grams.select("range", "suffixes").mapInArrow(_asks(bits), "range long, asker long, keys binary")
+        told = written(asked.groupBy("range").cogroup(shorter.groupBy("range")).applyInPandas(_tell, "asker long, range long, lp binary"), f"lm-told-{level}")
+        sums = _summed(_collected(grams, "sums", _SUMS))
+        mine = grams.select("range", "contexts", "runs", "suffixes", "counts", "totals")
+        graded = mine.groupBy("range").cogroup(told.groupBy("asker")).applyInPandas(_grader(sums), _LEVEL)
+        tree.levels.append(written(graded, f"lm-level-{level}"))
+        gains = _summed(_collected(tree.levels[-1], "gains", _GAINS))
+        its = sums[np.isin(sums["key"], gains["key"])]
+        tree.kept_hot.append(gains["key"][_worth(gains["gain"], its["total"], its["seen"], its["symbols"])])
+        if level < DEPTH:
+            frequent = shared(_map_of(grams.filter(F.length("map") > 0), bits, map_bits))
+            hot = _collected(grams, "often", np.dtype(np.uint64))
+            shorter = tree.levels[-1].mapInArrow(_shorter_level(tree.hot[-1], tree.kept_hot[-1]), "range long, keys binary, lp binary")
+        discard(told)
+        discard(grams)
         release(spark)
-        shorter = tree.levels[-1].select("key", "n", "lp")
+    model = None
+    for table_, hot_, kept_hot in zip(tree.levels, tree.hot, tree.kept_hot, strict=True):
+        one = table_.mapInArrow(_modelled(hot_, kept_hot, bits), "range long, kind long, keys binary, values binary")
+        model = one if model is None else model.unionByName(one)
+    tree.model = written(model.groupBy("range").applyInPandas(_merge_model(bits, map_bits), "range long, kind long, keys binary, values binary, map binary"), "lm-model")
+    tree.known = shared(_map_of(tree.model.filter("kind = 0"), bits, map_bits))
+    release(spark)
     return tree
 
 
@@ -401,74 +646,74 @@ def learn(train: DataFrame) -> tuple[Tree, DataFrame]:
 # -- scoring ----------------------------------------------------------------------------
 
 
-def _asked(shared: list[Broadcast], bits: int, depth: int):
-    """Distinct n-grams of each batch, packed by key range."""
+def _questions(found: _Batch, known: GramMap, hot: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The batch's words in order of their keys; for each level where n-grams end that the tree may know, and their keys; all these keys, sorted."""
+    ends = []
+    for there, _, _, keys in found.grams(hot):
+        there[there] = known.holds(keys[there])
+        at = np.flatnonzero(there)
+        ends.append((at, keys[at]))
+    every = np.unique(np.concatenate([np.empty(0, np.uint64), *(k for _, k in ends)]))
+    return np.argsort(found.words), ends, every
+
+
+def _asked(known: Broadcast, hot: list[Broadcast], bits: int):
+    """Distinct words and n-grams of each batch, packed by key range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = [m.value for m in shared]
-        for batch in batches:
-            for k in range(batch.num_rows):
-                number, *packed = (batch.column(c)[k].as_py() for c in ("batch", "words", "codes", "sizes"))
-                found = _Batch(*packed)
-                keys = [found.words]
-                for level, (_, own, _, _) in enumerate(found.grams(maps, depth), 1):
-                    own = np.unique(own)
-                    keys.append(own[in_map(maps[level - 1], own)])
-                every = np.unique(np.concatenate(keys))
-                which = _range_of(every, bits)
-                order = np.argsort(which, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(which[order])) + 1) if len(order) else ():
-                    yield pa.RecordBatch.from_arrays([pa.array([int(which[part[0]])]), pa.array([number]), pa.array([every[part].tobytes()], pa.binary())], ["range", "batch", "keys"])
+        for batch in sliced(batches, 1):
+            number, *packed = (batch.column(c)[0].as_py() for c in ("batch", "words", "codes", "sizes"))
+            found = _Batch(*packed)
+            order, _, grams = _questions(found, known.value, [h.value for h in hot])
+            words = found.words[order]
+            nothing = np.empty(0, np.uint64)
+            rows = {k: (words[part], nothing) for k, part in _by_range(words, bits)}
+            for k, part in _by_range(grams, bits):
+                rows[k] = rows.get(k, (nothing, nothing))[0], grams[part]
+            for k, (w, g) in rows.items():
+                yield _row(range=k, batch=number, words=w, grams=g)
 
     return run
 
 
 def _answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """For each batch the keys that are known, with what they add as n-grams and as contexts."""
+    """Counts of words, what n-grams add to probabilities, and what words and n-grams add as contexts."""
     value = {}
-    for kind in (0, 1):
+    for kind, type_ in ((0, np.int64), (1, float), (2, float)):
         part = known[known["kind"] == kind]
-        order = np.argsort(part["key"].to_numpy(np.int64))
-        value[kind] = part["key"].to_numpy(np.int64)[order], part["value"].to_numpy(float)[order]
+        value[kind] = _joined(part["keys"], np.uint64), _joined(part["values"], type_)
+
+    def of(kind: int, keys: np.ndarray, type_: type) -> bytes:
+        have, at = _within(value[kind][0], keys)
+        return np.where(have, value[kind][1][at] if len(value[kind][1]) else 0, 0).astype(type_).tobytes()
+
     out = []
-    for batch, packed in zip(asked["batch"], asked["keys"], strict=True):
-        keys = np.frombuffer(packed, np.int64)
-        columns, hit = [], np.zeros(len(keys), bool)
-        for kind in (0, 1):
-            have, at = _within(value[kind][0], keys)
-            columns.append(np.where(have, value[kind][1][at] if len(value[kind][1]) else 0.0, np.nan if kind == 0 else 0.0))
-            hit |= have
-        if hit.any():
-            out.append((batch, keys[hit].tobytes(), columns[0][hit].tobytes(), columns[1][hit].tobytes()))
-    return pd.DataFrame(out, columns=["batch", "keys", "own", "next"])
-
-
-def _score(found: _Batch, keys: np.ndarray, own: np.ndarray, following: np.ndarray, maps: list[np.ndarray], depth: int, scale: float) -> tuple[np.ndarray, ...]:
-    """n_tokens, n_known, base_score and score of each text of a batch.
-
-    ``own`` is what an n-gram adds as a symbol in its context (NaN: nothing stored), ``following``
-    what it adds to each symbol that it is a context of.
-    """
-    known, at = _within(keys, found.words)
-    add, weight = (np.where(known, x[at] if len(x) else 0.0, 0.0) for x in (own, following))
-    known &= ~np.isnan(add)
-    base = np.where(known, add, -scale)[found.codes]
+    for number, batch, *keys in zip(*(asked[c] for c in ("range", "batch", "words", "grams")), strict=True):
+        words, grams = (np.frombuffer(k, np.uint64) for k in keys)
+        out.append((batch, number, of(0, words, np.int64), of(2, words, np.float32), of(1, grams, np.float32), of(2, grams, np.float32)))
+    return pd.DataFrame(out, columns=["batch", "range", "counts", "after", "own", "next"])
+
+
+def _score(found: _Batch, counts: np.ndarray, after: np.ndarray, own: np.ndarray, following: np.ndarray, known: GramMap, hot: list[np.ndarray], scale: float) -> tuple[np.ndarray, ...]:
+    """n_tokens, n_known, base_score and score of each text of a batch, from the answers to its questions."""
+    order, ends, grams = _questions(found, known, hot)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    n, weight = counts[place], after[place].astype(float)
+    base = (np.log10(n + 1.0) - scale)[found.codes]
     score = base.copy()
-    inner = found.places > 0
-    score[inner] += weight[found.codes][np.flatnonzero(inner) - 1]
-    for level, (ends, grams, _, _) in enumerate(found.grams(maps, depth), 1):
-        use = in_map(maps[level - 1], grams)
-        ends, grams = ends[use], grams[use]
-        have, at = _within(keys, grams)
-        ends, at = ends[have], at[have]
-        score[ends] += np.nan_to_num(own[at])
-        if level < depth:
-            last = ends + 1 < len(score)
-            ends, at = ends[last], at[last]
-            same = found.places[ends + 1] > 0
-            score[ends[same] + 1] += following[at[same]]
+    inner = np.flatnonzero(found.places > 0)
+    score[inner] += weight[found.codes[inner - 1]]
+    for level, (at, keys) in enumerate(ends, 1):
+        where = np.searchsorted(grams, keys)
+        score[at] += own[where]
+        if level < len(ends):
+            last = at + 1 < len(score)
+            at, where = at[last], where[last]
+            same = found.places[at + 1] > 0
+            score[at[same] + 1] += following[where[same]]
     summed = lambda x: np.add.reduceat(x, found.starts)
-    return found.sizes, summed(known[found.codes].astype(np.int64)), summed(base), summed(score)
+    return found.sizes, summed((n > 0)[found.codes].astype(np.int64)), summed(base), summed(score)
 
 
 _ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -477,42 +722,31 @@ _ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 def _score_encoded(texts: DataFrame, tree: Tree) -> DataFrame:
     spark = texts.sparkSession
     row = T.StructType(texts.schema["rows"].dataType.elementType.fields[:-1])
-    names, depth, scale = row.names, len(tree.levels), tree.scale
-    bits = _range_bits(tree.n)
-    maps = tree.maps
-    valued = lambda rows, key, value, kind: rows.select(F.col(key).alias("key"), value.alias("value"), F.lit(kind).alias("kind"))
-    known = valued(tree.counts, "word", F.log10(F.col("n") + 1.0) - scale, 0)
-    for level in tree.levels:
-        kept = level.filter("kept")
-        known = known.unionByName(valued(kept, "key", F.col("lp") - F.col("below") - F.col("weight"), 0))
-        known = known.unionByName(valued(kept.groupBy("context").agg(F.first("weight").alias("weight")), "context", F.col("weight"), 1))
-
-    @F.pandas_udf("long")
-    def range_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(_range_of(keys.to_numpy(np.int64), bits))
-
-    asked = texts.select("batch", "words", "codes", "sizes").mapInArrow(_asked(maps, bits, depth), "range long, batch long, keys binary")
+    names, scale, bits = row.names, tree.scale, tree.bits
+    hot, known_map = list(tree.hot), tree.known
+    words = tree.packed.select("range", F.lit(0).cast("long").alias("kind"), "keys", F.col("counts").alias("values"))
+    known = tree.model.filter("kind > 0").select("range", "kind", "keys", "values").unionByName(words)
+    asked = texts.select("batch", "words", "codes", "sizes").mapInArrow(_asked(known_map, hot, bits), "range long, batch long, words binary, grams binary")
     answers = written(
-        asked.groupBy("range").cogroup(known.withColumn("range", range_of("key")).groupBy("range")).applyInPandas(_answer, "batch long, keys binary, own binary, next binary"),
+        asked.groupBy("range").cogroup(known.groupBy("range")).applyInPandas(_answer, "batch long, range long, counts binary, after binary, own binary, next binary"),
         "lm-answers",
     )
     release(spark)
-    packed = answers.groupBy("batch").agg(F.collect_list(F.struct("keys", "own", "next")).alias("answers"))
+    parts = ("range", "counts", "after", "own", "next")
+    packed = answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("answers"))
     schema = T.StructType([*row.fields, T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                got = batch.column("answers")[k].as_py() or []
-                keys, own, following = (np.concatenate([np.empty(0, t), *(np.frombuffer(x[c], t) for x in got)]) for c, t in (("keys", np.int64), ("own", float), ("next", float)))
-                order = np.argsort(keys)
-                found = _Batch(*(batch.column(c)[k].as_py() for c in ("words", "codes", "sizes")))
-                scores = _score(found, keys[order], own[order], following[order], [m.value for m in maps], depth, scale)
-                rows = batch.column("rows")[k].values
-                columns = [rows.field(j) for j in range(len(names))]
-                whole = pa.RecordBatch.from_arrays([*columns, *map(pa.array, scores)], schema.names)
-                for i in range(0, whole.num_rows, 10_000):
-                    yield whole.slice(i, 10_000)
+        for batch in sliced(batches, 1):
+            got = batch.column("answers")[0].as_py() or []
+            told = (_joined((x[c] for x in got), t) for c, t in zip(parts[1:], (np.int64, np.float32, np.float32, np.float32), strict=True))
+            found = _Batch(*(batch.column(c)[0].as_py() for c in ("words", "codes", "sizes")))
+            scores = _score(found, *told, known_map.value, [h.value for h in hot], scale)
+            rows = batch.column("rows")[0].values
+            columns = [rows.field(j) for j in range(len(names))]
+            whole = pa.RecordBatch.from_arrays([*columns, *map(pa.array, scores)], schema.names)
+            for i in range(0, whole.num_rows, 10_000):
+                yield whole.slice(i, 10_000)
 
     joined = texts.select("batch", "rows", "words", "codes", "sizes").join(packed, "batch", "left")
     scored = joined.mapInArrow(run, schema)

@@ -51,6 +51,35 @@ def test_pieces_of_a_long_text(monkeypatch):
     assert dict(zip(*langid.counted(text), strict=True)) == dict(zip(*whole, strict=True))
 
 
+def test_any_cut_of_a_text_gives_the_same_counts():
+    text = "Straße, naïve ΑΣ'Α 12 words--and ÄÖ\n\nx İstanbul e\u0301te " * 3
+    whole = dict(zip(*langid.counted(text), strict=True))
+    for piece in range(1, len(text) + 2):
+        assert dict(zip(*langid.counted(text, piece), strict=True)) == whole
+
+
+def plain_profiles(docs, size):
+    by = {}
+    for d in docs:
+        if d["text"] is not None and d["lang"] is not None and zlib.crc32(str(d["doc_id"]).encode()) % 4 != 2:
+            by.setdefault(d["lang"], Counter()).update(plain_grams(d["text"]))
+    order = lambda c: sorted(c, key=lambda g: (-c[g], sum(ord(x) << 21 * k for k, x in enumerate(reversed(g)))))[:size]
+    return order, {lang: {g: k for k, g in enumerate(order(c))} for lang, c in by.items()}
+
+
+def test_predictions_are_those_of_the_definition(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    order, profiles = plain_profiles(docs, langid.PROFILE)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.op8_language_id(spark, SMALL).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        mine = order(plain_grams(d["text"] or ""))
+        off = {lang: sum(abs(p[g] - k) if g in p else langid.PROFILE for k, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(sorted(off), key=off.__getitem__) if mine else "und"
+        want = round(1 - off[best] / (langid.PROFILE * len(mine)), 9) if mine else 0.0
+        assert got[d["doc_id"]] == (best, pytest.approx(want))
+
+
 def test_language_accuracy_and_odd_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.op8_language_id(spark, "/root/testdata/sf0.01")
@@ -158,8 +187,11 @@ def plain_tree(texts, depth):
     return kept, lambda t: sum(lp(tuple(t[max(0, i - depth) : i + 1])) for i in range(len(t)))
 
 
-def test_scores_are_those_of_the_definition(spark, monkeypatch):
+@pytest.mark.parametrize("often", [None, 12])
+def test_scores_are_those_of_the_definition(spark, monkeypatch, often):
     monkeypatch.setattr(lm, "BATCH_BYTES", 2_000)
+    if often:  # contexts seen so often are spread over ranges
+        monkeypatch.setattr(lm, "hot_count", lambda _: often)
     rng = np.random.default_rng(8)
     texts = []
     for _ in range(150):
