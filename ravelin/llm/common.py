@@ -112,9 +112,11 @@ def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished jobs.
 
     Spark deletes a shuffle once the driver's garbage collector finds that nothing
-    refers to it; a long program that waits for that by chance fills the disks.
+    refers to it; a long program that waits for that by chance fills the disks.  Spark's listeners
+    hold the last query that ended, so an empty one follows it.
     """
     gc.collect()
+    spark.sql("SELECT 1").collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -52,11 +52,13 @@ MIN_COUNT = 2
 DISCOUNT = 0.7
 END = b"\n"  # no word holds white space
 #: Bytes and texts of a batch at most (one text at least).
-BATCH_BYTES, BATCH_TEXTS = 8_000_000, 50_000
+BATCH_BYTES, BATCH_TEXTS = 12_000_000, 50_000
 #: Distinct n-grams that one merge task gets on average; n-grams that a task holds unsorted.
 PER_RANGE, HELD = 2_000_000, 2_000_000
 #: Ranges of a context that is seen very often.
 SALTS = 64
+#: Parts of the key ranges that are asked one after another, each half of the shuffled data.
+ASK_PASSES = 2
 #: log2 of the bits of a map of n-grams, and of the number of ranges, at most.
 MAP_BITS, RANGE_BITS = 27, 20
 _BITS = np.int64(21)
@@ -65,6 +67,22 @@ _LOW = np.uint64((1 << 40) - 1)
 _LN10 = float(np.log(10.0))
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """An array as bytes: first bytes of all its numbers, then second ones and so on, compressed."""
+    if not len(x):
+        return b""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type | np.dtype) -> np.ndarray:
+    if not data:
+        return np.empty(0, kind)
+    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    columns = np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(columns.T).view(kind).ravel()
+
+
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
@@ -82,9 +100,9 @@ def encoded(docs: DataFrame, train: Column) -> DataFrame:
     names = [c for c in docs.columns if c != "text"]
     rows = docs.select(*names, "text", train.alias("__train"))
     row = docs.select(*names).schema.add("__at", T.IntegerType())
-    schema = T.StructType([T.StructField("rows", T.ArrayType(row)), *(T.StructField(c, T.BinaryType()) for c in ("train", "words", "codes", "sizes"))])
+    schema = T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("symbols", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("train", "words", "codes", "sizes"))])
 
-    def packed(parts: list[pa.RecordBatch], texts: list[bytes]) -> pa.RecordBatch:
+    def batch_of(parts: list[pa.RecordBatch], texts: list[bytes]) -> pa.RecordBatch:
         numbers: defaultdict[bytes, int] = defaultdict()
         numbers.default_factory = numbers.__len__
         codes, sizes = [], []
@@ -93,12 +111,16 @@ def encoded(docs: DataFrame, train: Column) -> DataFrame:
             codes.append(np.array(symbols, np.uint32))
             sizes.append(len(symbols))
         hashes = np.fromiter(map(word_hash, numbers), np.uint64, len(numbers))
+        codes = np.concatenate(codes)
+        order = np.argsort(-np.bincount(codes), kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
         whole = pa.Table.from_batches(parts).combine_chunks()
         columns = [whole.column(k).chunk(0) for k in range(len(names))] + [pa.array(range(len(texts)), pa.int32())]
         values = pa.StructArray.from_arrays(columns, [*names, "__at"])
         trains = np.array(whole.column("__train").to_pylist(), bool)
-        binary = [pa.array([x.tobytes()], pa.binary()) for x in (trains, hashes, np.concatenate(codes), np.array(sizes, np.int64))]
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(texts)], values), *binary], schema.names)
+        binary = [pa.array([_packed(x)], pa.binary()) for x in (trains, hashes[order], rank[codes], np.array(sizes, np.int64))]
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(texts)], values), pa.array([len(codes)], pa.int64()), *binary], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, texts, held = [], [], 0
@@ -108,14 +130,14 @@ def encoded(docs: DataFrame, train: Column) -> DataFrame:
                 if texts and (held + len(text) > BATCH_BYTES or len(texts) >= BATCH_TEXTS):
                     if k > start:
                         parts.append(batch.slice(start, k - start))
-                    yield packed(parts, texts)
+                    yield batch_of(parts, texts)
                     parts, texts, held, start = [], [], 0, k
                 texts.append(text)
                 held += len(text)
             if batch.num_rows > start:
                 parts.append(batch.slice(start))
         if texts:
-            yield packed(parts, texts)
+            yield batch_of(parts, texts)
 
     return written(rows.mapInArrow(run, schema).withColumn("batch", F.monotonically_increasing_id()), "lm-texts")
 
@@ -124,9 +146,9 @@ class _Batch:
     """Symbols of a batch's texts: the keys of words, each one's place in its text, the texts' starts."""
 
     def __init__(self, words: bytes, codes: bytes, sizes: bytes):
-        self.words = np.frombuffer(words, np.uint64)
-        self.codes = np.frombuffer(codes, np.uint32)
-        self.sizes = np.frombuffer(sizes, np.int64)
+        self.words = _unpacked(words, np.uint64)
+        self.codes = _unpacked(codes, np.uint32)
+        self.sizes = _unpacked(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.places = np.arange(len(self.codes)) - np.repeat(self.starts, self.sizes)
 
@@ -228,12 +250,17 @@ def _within(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _row(**columns) -> pa.RecordBatch:
     """One row of numbers and packed arrays."""
-    arrays = [pa.array([v], pa.int64()) if isinstance(v, int) else pa.array([v.tobytes()], pa.binary()) for v in columns.values()]
+    arrays = [pa.array([v], pa.int64()) if isinstance(v, int) else pa.array([_packed(v)], pa.binary()) for v in columns.values()]
     return pa.RecordBatch.from_arrays(arrays, list(columns))
 
 
-def _joined(packed, kind: type) -> np.ndarray:
-    return np.concatenate([np.empty(0, kind), *(np.frombuffer(x, kind) for x in packed)])
+def _joined(packed, kind: type | np.dtype) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *(_unpacked(x, kind) for x in packed)])
+
+
+def _frame(row: dict) -> pd.DataFrame:
+    """As ``_row``, for pandas."""
+    return pd.DataFrame([{k: _packed(v) if isinstance(v, np.ndarray) else v for k, v in row.items()}])
 
 
 # -- counting ------------------------------------------------------------------------
@@ -257,7 +284,7 @@ def _counter(of_batch, out):
         for batch in sliced(batches, 1):
             train, *packed = (batch.column(c)[0].as_py() for c in ("train", "words", "codes", "sizes"))
             found = _Batch(*packed)
-            held.append(of_batch(found, np.repeat(np.frombuffer(train, bool), found.sizes)))
+            held.append(of_batch(found, np.repeat(_unpacked(train, bool), found.sizes)))
             n += len(held[-1][0])
             if n > HELD:
                 held = [_add(*map(np.concatenate, zip(*held, strict=True)))]
@@ -285,8 +312,7 @@ def _words_counted(bits: int):
 
 def _merge_words(group: pd.DataFrame) -> pd.DataFrame:
     keys, counts = _add(_joined(group["keys"], np.uint64), _joined(group["counts"], np.int64))
-    row = {"range": group["range"].iloc[0], "keys": keys.tobytes(), "counts": counts.tobytes(), "n": int(counts.sum()), "v": len(keys)}
-    return pd.DataFrame([row])
+    return _frame({"range": group["range"].iloc[0], "keys": keys, "counts": counts, "n": int(counts.sum()), "v": len(keys)})
 
 
 _WORDS = "range long, keys binary, counts binary, n long, v long"
@@ -324,7 +350,7 @@ _SUMS = np.dtype([("key", "u8"), ("total", "f8"), ("spent", "f8"), ("seen", "f8"
 
 def _merger(hot: Broadcast, bits: int, map_bits: int, often: int):
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        context = np.concatenate([np.repeat(np.frombuffer(c, np.uint64), np.frombuffer(r, np.uint32)) for c, r in zip(group["contexts"], group["runs"], strict=True)])
+        context = np.concatenate([np.repeat(_unpacked(c, np.uint64), _unpacked(r, np.uint32)) for c, r in zip(group["contexts"], group["runs"], strict=True)])
         suffix = _joined(group["suffixes"], np.uint64)
         keys, counts, context, suffix = _add(gram_key(context, suffix, hot.value), _joined(group["counts"], np.int64), context, suffix)
         every, where = np.unique(context, return_inverse=True)
@@ -339,8 +365,7 @@ def _merger(hot: Broadcast, bits: int, map_bits: int, often: int):
         for name, x in (("spent", n - DISCOUNT), ("seen", n), ("symbols", np.ones(len(n)))):
             sums[name] = np.bincount(at, x, len(every))[parts]
         row = {"range": group["range"].iloc[0], "contexts": contexts, "runs": runs, "suffixes": suffix[order], "counts": n, "totals": totals[_runs(at)[0]], "sums": sums}
-        row |= {"often": keys[order][n >= often]}
-        return pd.DataFrame([{k: v.tobytes() if isinstance(v, np.ndarray) else v for k, v in row.items()} | {"map": _slice_of_map(keys[order], bits, map_bits)}])
+        return _frame(row | {"often": keys[order][n >= often], "map": _slice_of_map(keys[order], bits, map_bits)})
 
     return merge
 
@@ -402,7 +427,7 @@ class Tree:
         def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, np.int64))], ["word", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_unpacked(keys, np.int64)), pa.array(_unpacked(counts, np.int64))], ["word", "n"])
 
         return self.packed.select("keys", "counts").mapInArrow(unpack, "word long, n long")
 
@@ -452,10 +477,10 @@ _GAINS = np.dtype([("key", "u8"), ("gain", "f8")])
 def _resolved(row, hot: np.ndarray, kept_hot: np.ndarray) -> tuple[np.ndarray, ...]:
     """context, suffix, key, log10 probability in the context and by the suffix, weight, and whether
     the context is retained, of each n-gram in a row of a level."""
-    contexts, runs, weights, flags = (np.frombuffer(row[c], t) for c, t in (("contexts", np.uint64), ("runs", np.uint32), ("weights", float), ("kept", np.uint8)))
+    contexts, runs, weights, flags = (_unpacked(row[c], t) for c, t in (("contexts", np.uint64), ("runs", np.uint32), ("weights", float), ("kept", np.uint8)))
     kept = np.where(flags == _KEPT_LATER, _within(kept_hot, contexts)[0], flags == 1)
-    context, suffix = np.repeat(contexts, runs), np.frombuffer(row["suffixes"], np.uint64)
-    lp, below = np.frombuffer(row["lp"], float), np.frombuffer(row["below"], float)
+    context, suffix = np.repeat(contexts, runs), _unpacked(row["suffixes"], np.uint64)
+    lp, below = _unpacked(row["lp"], float), _unpacked(row["below"], float)
     return context, suffix, gram_key(context, suffix, hot), lp, below, np.repeat(weights, runs), np.repeat(kept, runs)
 
 
@@ -468,7 +493,7 @@ def _shorter_words(scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             for row in _rows(batch):
-                yield _row(range=row["range"], keys=np.frombuffer(row["keys"], np.uint64), lp=np.log10(np.frombuffer(row["counts"], np.int64) + 1.0) - scale)
+                yield _row(range=row["range"], keys=_unpacked(row["keys"], np.uint64), lp=np.log10(_unpacked(row["counts"], np.int64) + 1.0) - scale)
 
     return run
 
@@ -490,7 +515,7 @@ def _asks(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             for row in _rows(batch):
-                keys = np.unique(np.frombuffer(row["suffixes"], np.uint64))
+                keys = np.unique(_unpacked(row["suffixes"], np.uint64))
                 for k, part in _by_range(keys, bits):
                     yield _row(range=k, asker=row["range"], keys=keys[part])
 
@@ -499,7 +524,7 @@ def _asks(bits: int):
 
 def _tell(asked: pd.DataFrame, shorter: pd.DataFrame) -> pd.DataFrame:
     keys, lp = _joined(shorter["keys"], np.uint64), _joined(shorter["lp"], float)
-    rows = [(a, r, lp[np.searchsorted(keys, np.frombuffer(k, np.uint64))].tobytes()) for a, r, k in zip(asked["asker"], asked["range"], asked["keys"], strict=True)]
+    rows = [(a, r, _packed(lp[np.searchsorted(keys, _unpacked(k, np.uint64))])) for a, r, k in zip(asked["asker"], asked["range"], asked["keys"], strict=True)]
     return pd.DataFrame(rows, columns=["asker", "range", "lp"])
 
 
@@ -510,8 +535,8 @@ def _grader(hot_sums: np.ndarray):
         if not len(mine) or not len(mine["suffixes"].iloc[0]):
             return pd.DataFrame(columns=[c.split()[0] for c in _LEVEL.split(", ")])
         row = mine.iloc[0]
-        contexts, runs, suffix = (np.frombuffer(row[c], t) for c, t in (("contexts", np.uint64), ("runs", np.uint32), ("suffixes", np.uint64)))
-        n, total = np.frombuffer(row["counts"], np.int64), np.frombuffer(row["totals"], float)
+        contexts, runs, suffix = (_unpacked(row[c], t) for c, t in (("contexts", np.uint64), ("runs", np.uint32), ("suffixes", np.uint64)))
+        n, total = _unpacked(row["counts"], np.int64), _unpacked(row["totals"], float)
         below = _joined(told.sort_values("range")["lp"], float)[np.unique(suffix, return_inverse=True)[1]]
         at = np.repeat(np.arange(len(contexts)), runs)
         hot, where = _within(hot_sums["key"], contexts)
@@ -524,8 +549,7 @@ def _grader(hot_sums: np.ndarray):
         kept = np.where(hot, _KEPT_LATER, _worth(gain, total, seen, symbols)).astype(np.uint8)
         gains = np.zeros(int(hot.sum()), _GAINS)
         gains["key"], gains["gain"] = contexts[hot], gain[hot]
-        out = {"range": row["range"], "contexts": contexts, "runs": runs, "suffixes": suffix, "lp": np.log10(p), "below": below, "weights": np.log10(left), "kept": kept, "gains": gains}
-        return pd.DataFrame([{k: v.tobytes() if isinstance(v, np.ndarray) else v for k, v in out.items()}])
+        return _frame({"range": row["range"], "contexts": contexts, "runs": runs, "suffixes": suffix, "lp": np.log10(p), "below": below, "weights": np.log10(left), "kept": kept, "gains": gains})
 
     return grade
 
@@ -555,7 +579,7 @@ def _hot_words(often: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             for row in _rows(batch):
-                yield _row(often=np.frombuffer(row["keys"], np.uint64)[np.frombuffer(row["counts"], np.int64) >= often])
+                yield _row(often=_unpacked(row["keys"], np.uint64)[_unpacked(row["counts"], np.int64) >= often])
 
     return run
 
@@ -569,10 +593,10 @@ def _modelled(hot: Broadcast, kept_hot: np.ndarray, bits: int):
             for row in _rows(batch):
                 context, _, keys, lp, below, weight, kept = _resolved(row, hot.value, kept_hot)
                 values = (lp - below - weight)[kept]
-                yield _row(range=row["range"], kind=1, keys=keys[kept], values=values)
+                yield _row(range=row["range"], kind=1, keys=keys[kept], values=values.astype(np.float32))
                 contexts, first = np.unique(context[kept], return_index=True)
                 for k, part in _by_range(contexts, bits):
-                    yield _row(range=k, kind=2, keys=contexts[part], values=weight[kept][first][part])
+                    yield _row(range=k, kind=2, keys=contexts[part], values=weight[kept][first][part].astype(np.float32))
 
     return run
 
@@ -584,18 +608,19 @@ def _merge_model(bits: int, map_bits: int):
             part = group[group["kind"] == kind]
             keys, first = np.unique(_joined(part["keys"], np.uint64), return_index=True)
             every.append(keys)
-            out.append((number, kind, keys.tobytes(), _joined(part["values"], float)[first].tobytes(), None))
+            out.append((number, kind, _packed(keys), _packed(_joined(part["values"], np.float32)[first]), None))
         out.append((number, 0, None, None, _slice_of_map(np.concatenate(every), bits, map_bits)))
         return pd.DataFrame(out, columns=["range", "kind", "keys", "values", "map"])
 
     return merge
 
 
-def _learn(texts: DataFrame) -> Tree:
+def _learn(texts: DataFrame, views: bool = True) -> Tree:
+    """The tree; without ``views`` its levels' own tables go once the model is made."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast
     source = texts.select("train", "words", "codes", "sizes")
-    bits = _range_bits(int(texts.agg(F.sum(F.length("codes"))).first()[0] or 0) // 4)
+    bits = _range_bits(int(texts.agg(F.sum("symbols")).first()[0] or 0))
     counted = source.mapInArrow(_words_counted(bits), "range long, keys binary, counts binary")
     packed = written(counted.groupBy("range").applyInPandas(_merge_words, _WORDS), "lm-words")
     release(spark)
@@ -613,6 +638,7 @@ def _learn(texts: DataFrame) -> Tree:
         release(spark)
         asked = grams.select("range", "suffixes").mapInArrow(_asks(bits), "range long, asker long, keys binary")
         told = written(asked.groupBy("range").cogroup(shorter.groupBy("range")).applyInPandas(_tell, "asker long, range long, lp binary"), f"lm-told-{level}")
+        release(spark)
         sums = _summed(_collected(grams, "sums", _SUMS))
         mine = grams.select("range", "contexts", "runs", "suffixes", "counts", "totals")
         graded = mine.groupBy("range").cogroup(told.groupBy("asker")).applyInPandas(_grader(sums), _LEVEL)
@@ -627,12 +653,14 @@ def _learn(texts: DataFrame) -> Tree:
         discard(told)
         discard(grams)
         release(spark)
-    model = None
-    for table_, hot_, kept_hot in zip(tree.levels, tree.hot, tree.kept_hot, strict=True):
-        one = table_.mapInArrow(_modelled(hot_, kept_hot, bits), "range long, kind long, keys binary, values binary")
-        model = one if model is None else model.unionByName(one)
-    tree.model = written(model.groupBy("range").applyInPandas(_merge_model(bits, map_bits), "range long, kind long, keys binary, values binary, map binary"), "lm-model")
+    parts = [t.mapInArrow(_modelled(h, k, bits), "range long, kind long, keys binary, values binary") for t, h, k in zip(tree.levels, tree.hot, tree.kept_hot, strict=True)]
+    model = reduce(DataFrame.unionByName, parts).groupBy("range").applyInPandas(_merge_model(bits, map_bits), "range long, kind long, keys binary, values binary, map binary")
+    tree.model = written(model, "lm-model")
     tree.known = shared(_map_of(tree.model.filter("kind = 0"), bits, map_bits))
+    if not views:
+        for t in tree.levels:
+            discard(t)
+    del parts, model, counted, shorter, asked, graded, mine
     release(spark)
     return tree
 
@@ -646,10 +674,13 @@ def learn(train: DataFrame) -> tuple[Tree, DataFrame]:
 # -- scoring ----------------------------------------------------------------------------
 
 
-def _questions(found: _Batch, known: GramMap, hot: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """The batch's words in order of their keys; for each level where n-grams end that the tree may know, and their keys; all these keys, sorted."""
+def _questions(found: _Batch, known: GramMap, hot: list[np.ndarray], part: int | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The batch's words in order of their keys; for each level where n-grams end that the tree may know, and their keys; all these keys, sorted.
+    With ``part``, those of one part of the ranges."""
     ends = []
     for there, _, _, keys in found.grams(hot):
+        if part is not None:
+            there &= _range_of(keys, known.bits) % ASK_PASSES == part
         there[there] = known.holds(keys[there])
         at = np.flatnonzero(there)
         ends.append((at, keys[at]))
@@ -657,15 +688,16 @@ def _questions(found: _Batch, known: GramMap, hot: list[np.ndarray]) -> tuple[np
     return np.argsort(found.words), ends, every
 
 
-def _asked(known: Broadcast, hot: list[Broadcast], bits: int):
-    """Distinct words and n-grams of each batch, packed by key range."""
+def _asked(known: Broadcast, hot: list[Broadcast], bits: int, turn: int):
+    """Distinct words and n-grams of each batch, packed by key range, for one part of the ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             number, *packed = (batch.column(c)[0].as_py() for c in ("batch", "words", "codes", "sizes"))
             found = _Batch(*packed)
-            order, _, grams = _questions(found, known.value, [h.value for h in hot])
+            order, _, grams = _questions(found, known.value, [h.value for h in hot], turn)
             words = found.words[order]
+            words = words[_range_of(words, bits) % ASK_PASSES == turn]
             nothing = np.empty(0, np.uint64)
             rows = {k: (words[part], nothing) for k, part in _by_range(words, bits)}
             for k, part in _by_range(grams, bits):
@@ -679,17 +711,17 @@ def _asked(known: Broadcast, hot: list[Broadcast], bits: int):
 def _answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """Counts of words, what n-grams add to probabilities, and what words and n-grams add as contexts."""
     value = {}
-    for kind, type_ in ((0, np.int64), (1, float), (2, float)):
+    for kind, type_ in ((0, np.int64), (1, np.float32), (2, np.float32)):
         part = known[known["kind"] == kind]
         value[kind] = _joined(part["keys"], np.uint64), _joined(part["values"], type_)
 
     def of(kind: int, keys: np.ndarray, type_: type) -> bytes:
         have, at = _within(value[kind][0], keys)
-        return np.where(have, value[kind][1][at] if len(value[kind][1]) else 0, 0).astype(type_).tobytes()
+        return _packed(np.where(have, value[kind][1][at] if len(value[kind][1]) else 0, 0).astype(type_))
 
     out = []
     for number, batch, *keys in zip(*(asked[c] for c in ("range", "batch", "words", "grams")), strict=True):
-        words, grams = (np.frombuffer(k, np.uint64) for k in keys)
+        words, grams = (_unpacked(k, np.uint64) for k in keys)
         out.append((batch, number, of(0, words, np.int64), of(2, words, np.float32), of(1, grams, np.float32), of(2, grams, np.float32)))
     return pd.DataFrame(out, columns=["batch", "range", "counts", "after", "own", "next"])
 
@@ -719,19 +751,29 @@ def _score(found: _Batch, counts: np.ndarray, after: np.ndarray, own: np.ndarray
 _ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def _score_encoded(texts: DataFrame, tree: Tree) -> DataFrame:
+def _score_encoded(texts: DataFrame, tree: Tree, only_use: bool = False) -> DataFrame:
+    """The scores; with ``only_use`` the tree's tables go when all questions are answered."""
     spark = texts.sparkSession
     row = T.StructType(texts.schema["rows"].dataType.elementType.fields[:-1])
     names, scale, bits = row.names, tree.scale, tree.bits
     hot, known_map = list(tree.hot), tree.known
-    words = tree.packed.select("range", F.lit(0).cast("long").alias("kind"), "keys", F.col("counts").alias("values"))
-    known = tree.model.filter("kind > 0").select("range", "kind", "keys", "values").unionByName(words)
-    asked = texts.select("batch", "words", "codes", "sizes").mapInArrow(_asked(known_map, hot, bits), "range long, batch long, words binary, grams binary")
-    answers = written(
-        asked.groupBy("range").cogroup(known.groupBy("range")).applyInPandas(_answer, "batch long, range long, counts binary, after binary, own binary, next binary"),
-        "lm-answers",
-    )
-    release(spark)
+
+    def answered(turn: int) -> DataFrame:
+        its = F.col("range") % ASK_PASSES == turn
+        words = tree.packed.filter(its).select("range", F.lit(0).cast("long").alias("kind"), "keys", F.col("counts").alias("values"))
+        known = tree.model.filter(its & (F.col("kind") > 0)).select("range", "kind", "keys", "values").unionByName(words)
+        asked = texts.select("batch", "words", "codes", "sizes").mapInArrow(_asked(known_map, hot, bits, turn), "range long, batch long, words binary, grams binary")
+        told = asked.groupBy("range").cogroup(known.groupBy("range"))
+        return written(told.applyInPandas(_answer, "batch long, range long, counts binary, after binary, own binary, next binary"), "lm-answers")
+
+    answers = []
+    for turn in range(ASK_PASSES):
+        answers.append(answered(turn))
+        release(spark)
+    answers = reduce(DataFrame.unionByName, answers)
+    if only_use:
+        discard(tree.model)
+        discard(tree.packed)
     parts = ("range", "counts", "after", "own", "next")
     packed = answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("answers"))
     schema = T.StructType([*row.fields, T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
@@ -762,4 +804,4 @@ def score_texts(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
     texts = encoded(docs, ~F.col("held_out"))
-    return _score_encoded(texts, _learn(texts))
+    return _score_encoded(texts, _learn(texts, views=False), only_use=True)
