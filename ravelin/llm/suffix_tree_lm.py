@@ -57,6 +57,8 @@ BATCH_BYTES, BATCH_TEXTS = 12_000_000, 50_000
 PER_RANGE, HELD = 2_000_000, 2_000_000
 #: Ranges of a context that is seen very often.
 SALTS = 64
+#: Frequent n-grams and contexts that every task has at hand, at most (16 bytes each).
+CACHE = 1 << 20
 #: Parts of the key ranges that are asked one after another, each half of the shuffled data.
 ASK_PASSES = 2
 #: log2 of the bits of a map of n-grams, and of the number of ranges, at most.
@@ -175,8 +177,13 @@ def gram_key(context: np.ndarray, suffix: np.ndarray, hot: np.ndarray) -> np.nda
     pair = _mixed(context * np.uint64(0xD6E8FEB86659FD93) + (suffix ^ np.uint64(0xA0761D6478BD642F)))
     lead = context
     if len(hot):
-        salt = (pair % np.uint64(SALTS) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        lead = np.where(_within(hot, context)[0], context ^ salt, context)
+        # most contexts' last bits are those of no hot one
+        maybe = np.zeros(1 << 16, bool)
+        maybe[hot & np.uint64(0xFFFF)] = True
+        at = np.flatnonzero(maybe[context & np.uint64(0xFFFF)])
+        at = at[_within(hot, context[at])[0]]
+        lead = context.copy()
+        lead[at] ^= (pair[at] % np.uint64(SALTS) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     return (_mixed(lead) & ~_LOW) | (pair & _LOW)
 
 
@@ -403,7 +410,7 @@ class Tree:
 
     ``counts`` has the words and their counts, ``levels`` a table for each length of context, ``hot`` the contexts
     that are spread over ranges, ``model`` what scoring asks for: of each range the retained contexts and
-    their n-grams, ``known`` a map of all of these.  ``words``, ``root``, ``one`` and ``two``
+    their n-grams, ``known`` a map of all of these, ``cache`` the most frequent of them.  ``words``, ``root``, ``one`` and ``two``
     gather the first levels of a small tree, to look at.
     """
 
@@ -415,6 +422,7 @@ class Tree:
         self.bits = _range_bits(n)
         self.model: DataFrame | None = None
         self.known: Broadcast | None = None
+        self.cache: Broadcast | None = None
 
     @property
     def scale(self) -> float:
@@ -469,7 +477,7 @@ class Tree:
         return _scored(self.one, context, symbol, self.root[symbol])
 
 
-_LEVEL = "range long, contexts binary, runs binary, suffixes binary, lp binary, below binary, weights binary, kept binary, gains binary"
+_LEVEL = "range long, contexts binary, runs binary, suffixes binary, lp binary, below binary, weights binary, kept binary, gains binary, counts binary, totals binary"
 _KEPT_LATER = 2
 _GAINS = np.dtype([("key", "u8"), ("gain", "f8")])
 
@@ -549,7 +557,7 @@ def _grader(hot_sums: np.ndarray):
         kept = np.where(hot, _KEPT_LATER, _worth(gain, total, seen, symbols)).astype(np.uint8)
         gains = np.zeros(int(hot.sum()), _GAINS)
         gains["key"], gains["gain"] = contexts[hot], gain[hot]
-        return _frame({"range": row["range"], "contexts": contexts, "runs": runs, "suffixes": suffix, "lp": np.log10(p), "below": below, "weights": np.log10(left), "kept": kept, "gains": gains})
+        return _frame({"range": row["range"], "contexts": contexts, "runs": runs, "suffixes": suffix, "lp": np.log10(p), "below": below, "weights": np.log10(left), "kept": kept, "gains": gains, "counts": n, "totals": total})
 
     return grade
 
@@ -584,37 +592,72 @@ def _hot_words(often: int):
     return run
 
 
+_MODEL = "range long, keys binary, own binary, next binary, counts binary, map binary, lengths binary"
+
+
 def _modelled(hot: Broadcast, kept_hot: np.ndarray, bits: int):
-    """Of a level, what scoring asks for: n-grams with what they add to their suffix's probability (kind 1),
-    retained contexts with their weights (kind 2)."""
+    """Of a level, what scoring asks for: n-grams with what they add to their suffix's probability,
+    and retained contexts with their weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             for row in _rows(batch):
                 context, _, keys, lp, below, weight, kept = _resolved(row, hot.value, kept_hot)
-                values = (lp - below - weight)[kept]
-                yield _row(range=row["range"], kind=1, keys=keys[kept], values=values.astype(np.float32))
+                n, total = _unpacked(row["counts"], np.int64), _unpacked(row["totals"], float).astype(np.int64)
+                own = (lp - below - weight)[kept].astype(np.float32)
+                yield _row(range=row["range"], keys=keys[kept], own=own, next=np.zeros_like(own), counts=n[kept])
                 contexts, first = np.unique(context[kept], return_index=True)
+                after = weight[kept][first].astype(np.float32)
+                total = np.repeat(total, _unpacked(row["runs"], np.uint32))[kept][first]
                 for k, part in _by_range(contexts, bits):
-                    yield _row(range=k, kind=2, keys=contexts[part], values=weight[kept][first][part].astype(np.float32))
+                    yield _row(range=k, keys=contexts[part], own=np.zeros_like(after[part]), next=after[part], counts=total[part])
 
     return run
 
 
 def _merge_model(bits: int, map_bits: int):
+    """A range of the model: its keys in order, each with what it adds as an n-gram and as a context, and how often
+    it occurs; its part of the map; how many keys have counts of 1, 2, ... binary digits."""
+
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        number, out, every = group["range"].iloc[0], [], []
-        for kind in (1, 2):
-            part = group[group["kind"] == kind]
-            keys, first = np.unique(_joined(part["keys"], np.uint64), return_index=True)
-            every.append(keys)
-            out.append((number, kind, _packed(keys), _packed(_joined(part["values"], np.float32)[first]), None))
-        out.append((number, 0, None, None, _slice_of_map(np.concatenate(every), bits, map_bits)))
-        return pd.DataFrame(out, columns=["range", "kind", "keys", "values", "map"])
+        keys, where = np.unique(_joined(group["keys"], np.uint64), return_inverse=True)
+        row = {"range": group["range"].iloc[0], "keys": keys}
+        for name, kind in (("own", np.float32), ("next", np.float32), ("counts", np.int64)):
+            row[name] = np.zeros(len(keys), kind)
+            values = _joined(group[name], kind)
+            used = values != 0  # a hot context comes from several ranges, with one weight
+            row[name][where[used]] = values[used]
+        digits = np.frexp(row["counts"].astype(float))[1]
+        return _frame(row | {"map": _slice_of_map(keys, bits, map_bits), "lengths": np.bincount(digits, minlength=64)})
 
     return merge
 
 
+class Cache(NamedTuple):
+    """The model's most frequent keys, ``CACHE`` at most, which tasks have at hand."""
+
+    keys: np.ndarray
+    own: np.ndarray
+    next: np.ndarray
+
+
+def _cache_of(model: DataFrame) -> Cache:
+    lengths = sum((_unpacked(r[0], np.int64) for r in model.select("lengths").collect()), np.zeros(64, np.int64))
+    more = np.cumsum(lengths[::-1])[::-1]  # keys whose counts have so many digits or more
+    digits = int(np.flatnonzero(more <= CACHE)[0])
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            for row in _rows(batch):
+                use = np.frexp(_unpacked(row["counts"], np.int64).astype(float))[1] >= digits
+                yield _row(keys=_unpacked(row["keys"], np.uint64)[use], own=_unpacked(row["own"], np.float32)[use], next=_unpacked(row["next"], np.float32)[use])
+
+    rows = model.select("keys", "own", "next", "counts").mapInArrow(frequent, "keys binary, own binary, next binary").collect()
+    keys, own, following = (_joined((r[k] for r in rows), t) for k, t in enumerate((np.uint64, np.float32, np.float32)))
+    order = np.argsort(keys)
+    return Cache(keys[order], own[order], following[order])
+
+
 def _learn(texts: DataFrame, views: bool = True) -> Tree:
     """The tree; without ``views`` its levels' own tables go once the model is made."""
     spark = texts.sparkSession
@@ -646,6 +689,8 @@ def _learn(texts: DataFrame, views: bool = True) -> Tree:
         gains = _summed(_collected(tree.levels[-1], "gains", _GAINS))
         its = sums[np.isin(sums["key"], gains["key"])]
         tree.kept_hot.append(gains["key"][_worth(gains["gain"], its["total"], its["seen"], its["symbols"])])
+        if frequent is not None:
+            frequent.destroy()  # its files, one an executor
         if level < DEPTH:
             frequent = shared(_map_of(grams.filter(F.length("map") > 0), bits, map_bits))
             hot = _collected(grams, "often", np.dtype(np.uint64))
@@ -653,10 +698,11 @@ def _learn(texts: DataFrame, views: bool = True) -> Tree:
         discard(told)
         discard(grams)
         release(spark)
-    parts = [t.mapInArrow(_modelled(h, k, bits), "range long, kind long, keys binary, values binary") for t, h, k in zip(tree.levels, tree.hot, tree.kept_hot, strict=True)]
-    model = reduce(DataFrame.unionByName, parts).groupBy("range").applyInPandas(_merge_model(bits, map_bits), "range long, kind long, keys binary, values binary, map binary")
+    parts = [t.mapInArrow(_modelled(h, k, bits), "range long, keys binary, own binary, next binary, counts binary") for t, h, k in zip(tree.levels, tree.hot, tree.kept_hot, strict=True)]
+    model = reduce(DataFrame.unionByName, parts).groupBy("range").applyInPandas(_merge_model(bits, map_bits), _MODEL)
     tree.model = written(model, "lm-model")
-    tree.known = shared(_map_of(tree.model.filter("kind = 0"), bits, map_bits))
+    tree.known = shared(_map_of(tree.model, bits, map_bits))
+    tree.cache = shared(_cache_of(tree.model))
     if not views:
         for t in tree.levels:
             discard(t)
@@ -674,34 +720,51 @@ def learn(train: DataFrame) -> tuple[Tree, DataFrame]:
 # -- scoring ----------------------------------------------------------------------------
 
 
-def _questions(found: _Batch, known: GramMap, hot: list[np.ndarray], part: int | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """The batch's words in order of their keys; for each level where n-grams end that the tree may know, and their keys; all these keys, sorted.
-    With ``part``, those of one part of the ranges."""
-    ends = []
-    for there, _, _, keys in found.grams(hot):
+class _Questions:
+    """What a batch asks: its words in order of their keys, and the n-grams that the tree may know but tasks don't,
+    sorted; of one part of the ranges, if that is given."""
+
+    def __init__(self, found: _Batch, known: GramMap, cache: Cache, hot: list[np.ndarray], part: int | None = None):
+        self.ends, keys = [], [np.empty(0, np.uint64)]  # where n-grams end, level by level
+        for there, _, _, grams in found.grams(hot):
+            if part is not None:
+                there &= _range_of(grams, known.bits) % ASK_PASSES == part
+            there[there] = known.holds(grams[there])
+            self.ends.append(np.flatnonzero(there))
+            keys.append(grams[self.ends[-1]])
+        self.keys = np.concatenate(keys)
+        self.every = np.unique(self.keys)
+        self.at_hand, self.place = _within(cache.keys, self.every)
+        self.grams = self.every[~self.at_hand]
+        self.order = np.argsort(found.words)
+        self.words = found.words[self.order]
         if part is not None:
-            there &= _range_of(keys, known.bits) % ASK_PASSES == part
-        there[there] = known.holds(keys[there])
-        at = np.flatnonzero(there)
-        ends.append((at, keys[at]))
-    every = np.unique(np.concatenate([np.empty(0, np.uint64), *(k for _, k in ends)]))
-    return np.argsort(found.words), ends, every
-
-
-def _asked(known: Broadcast, hot: list[Broadcast], bits: int, turn: int):
+            self.words = self.words[_range_of(self.words, known.bits) % ASK_PASSES == part]
+
+    def values(self, told: np.ndarray, cached: np.ndarray) -> list[np.ndarray]:
+        """For each level the values of the n-grams that end there."""
+        every = np.zeros(len(self.every))
+        every[~self.at_hand] = told
+        if len(cached):
+            every[self.at_hand] = cached[self.place[self.at_hand]]
+        order = np.argsort(self.keys)
+        ordered = self.keys[order]
+        each = np.empty(len(order))
+        each[order] = every[np.cumsum(np.append(False, ordered[1:] != ordered[:-1]))] if len(order) else 0
+        return np.split(each, np.cumsum([len(x) for x in self.ends])[:-1])
+
+
+def _asked(known: Broadcast, cache: Broadcast, hot: list[Broadcast], bits: int, turn: int):
     """Distinct words and n-grams of each batch, packed by key range, for one part of the ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             number, *packed = (batch.column(c)[0].as_py() for c in ("batch", "words", "codes", "sizes"))
-            found = _Batch(*packed)
-            order, _, grams = _questions(found, known.value, [h.value for h in hot], turn)
-            words = found.words[order]
-            words = words[_range_of(words, bits) % ASK_PASSES == turn]
+            asks = _Questions(_Batch(*packed), known.value, cache.value, [h.value for h in hot], turn)
             nothing = np.empty(0, np.uint64)
-            rows = {k: (words[part], nothing) for k, part in _by_range(words, bits)}
-            for k, part in _by_range(grams, bits):
-                rows[k] = rows.get(k, (nothing, nothing))[0], grams[part]
+            rows = {k: (asks.words[part], nothing) for k, part in _by_range(asks.words, bits)}
+            for k, part in _by_range(asks.grams, bits):
+                rows[k] = rows.get(k, (nothing, nothing))[0], asks.grams[part]
             for k, (w, g) in rows.items():
                 yield _row(range=k, batch=number, words=w, grams=g)
 
@@ -710,40 +773,38 @@ def _asked(known: Broadcast, hot: list[Broadcast], bits: int, turn: int):
 
 def _answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """Counts of words, what n-grams add to probabilities, and what words and n-grams add as contexts."""
-    value = {}
-    for kind, type_ in ((0, np.int64), (1, np.float32), (2, np.float32)):
-        part = known[known["kind"] == kind]
-        value[kind] = _joined(part["keys"], np.uint64), _joined(part["values"], type_)
+    rows = [known[known["counts"].isna()], known[known["counts"].notna()]]
+    keys, numbers = _joined(rows[0]["keys"], np.uint64), _joined(rows[1]["keys"], np.uint64)
+    own, following = (_joined(rows[0][c], np.float32) for c in ("own", "next"))
+    counts = _joined(rows[1]["counts"], np.int64)
 
-    def of(kind: int, keys: np.ndarray, type_: type) -> bytes:
-        have, at = _within(value[kind][0], keys)
-        return _packed(np.where(have, value[kind][1][at] if len(value[kind][1]) else 0, 0).astype(type_))
+    def of(table: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[bytes]:
+        have, at = _within(table, wanted)
+        return [_packed(np.where(have, v[at], v.dtype.type(0)) if len(v) else np.zeros(len(wanted), v.dtype)) for v in values]
 
     out = []
-    for number, batch, *keys in zip(*(asked[c] for c in ("range", "batch", "words", "grams")), strict=True):
-        words, grams = (_unpacked(k, np.uint64) for k in keys)
-        out.append((batch, number, of(0, words, np.int64), of(2, words, np.float32), of(1, grams, np.float32), of(2, grams, np.float32)))
+    for number, batch, *packed in zip(*(asked[c] for c in ("range", "batch", "words", "grams")), strict=True):
+        words, grams = (_unpacked(k, np.uint64) for k in packed)
+        out.append((batch, number, *of(numbers, words, counts), *of(keys, words, following), *of(keys, grams, own, following)))
     return pd.DataFrame(out, columns=["batch", "range", "counts", "after", "own", "next"])
 
 
-def _score(found: _Batch, counts: np.ndarray, after: np.ndarray, own: np.ndarray, following: np.ndarray, known: GramMap, hot: list[np.ndarray], scale: float) -> tuple[np.ndarray, ...]:
+def _score(found: _Batch, counts: np.ndarray, after: np.ndarray, own: np.ndarray, following: np.ndarray, asks: _Questions, cache: Cache, scale: float) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base_score and score of each text of a batch, from the answers to its questions."""
-    order, ends, grams = _questions(found, known, hot)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(asks.order), np.int64)
+    place[asks.order] = np.arange(len(asks.order))
     n, weight = counts[place], after[place].astype(float)
     base = (np.log10(n + 1.0) - scale)[found.codes]
     score = base.copy()
     inner = np.flatnonzero(found.places > 0)
     score[inner] += weight[found.codes[inner - 1]]
-    for level, (at, keys) in enumerate(ends, 1):
-        where = np.searchsorted(grams, keys)
-        score[at] += own[where]
-        if level < len(ends):
-            last = at + 1 < len(score)
-            at, where = at[last], where[last]
-            same = found.places[at + 1] > 0
-            score[at[same] + 1] += following[where[same]]
+    for at, x in zip(asks.ends, asks.values(own, cache.own), strict=True):
+        score[at] += x
+    for at, x in list(zip(asks.ends, asks.values(following, cache.next), strict=True))[:-1]:
+        last = at + 1 < len(score)
+        at, x = at[last], x[last]
+        same = found.places[at + 1] > 0
+        score[at[same] + 1] += x[same]
     summed = lambda x: np.add.reduceat(x, found.starts)
     return found.sizes, summed((n > 0)[found.codes].astype(np.int64)), summed(base), summed(score)
 
@@ -756,13 +817,13 @@ def _score_encoded(texts: DataFrame, tree: Tree, only_use: bool = False) -> Data
     spark = texts.sparkSession
     row = T.StructType(texts.schema["rows"].dataType.elementType.fields[:-1])
     names, scale, bits = row.names, tree.scale, tree.bits
-    hot, known_map = list(tree.hot), tree.known
+    hot, known_map, cache = list(tree.hot), tree.known, tree.cache
 
     def answered(turn: int) -> DataFrame:
         its = F.col("range") % ASK_PASSES == turn
-        words = tree.packed.filter(its).select("range", F.lit(0).cast("long").alias("kind"), "keys", F.col("counts").alias("values"))
-        known = tree.model.filter(its & (F.col("kind") > 0)).select("range", "kind", "keys", "values").unionByName(words)
-        asked = texts.select("batch", "words", "codes", "sizes").mapInArrow(_asked(known_map, hot, bits, turn), "range long, batch long, words binary, grams binary")
+        words = tree.packed.filter(its).select("range", "keys", "counts")
+        known = tree.model.filter(its).select("range", "keys", "own", "next").unionByName(words, allowMissingColumns=True)
+        asked = texts.select("batch", "words", "codes", "sizes").mapInArrow(_asked(known_map, cache, hot, bits, turn), "range long, batch long, words binary, grams binary")
         told = asked.groupBy("range").cogroup(known.groupBy("range"))
         return written(told.applyInPandas(_answer, "batch long, range long, counts binary, after binary, own binary, next binary"), "lm-answers")
 
@@ -783,7 +844,8 @@ def _score_encoded(texts: DataFrame, tree: Tree, only_use: bool = False) -> Data
             got = batch.column("answers")[0].as_py() or []
             told = (_joined((x[c] for x in got), t) for c, t in zip(parts[1:], (np.int64, np.float32, np.float32, np.float32), strict=True))
             found = _Batch(*(batch.column(c)[0].as_py() for c in ("words", "codes", "sizes")))
-            scores = _score(found, *told, known_map.value, [h.value for h in hot], scale)
+            asks = _Questions(found, known_map.value, cache.value, [h.value for h in hot])
+            scores = _score(found, *told, asks, cache.value, scale)
             rows = batch.column("rows")[0].values
             columns = [rows.field(j) for j in range(len(names))]
             whole = pa.RecordBatch.from_arrays([*columns, *map(pa.array, scores)], schema.names)
