@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm import decontaminate, jaccard, langid, mixing, sharding
-from ravelin.llm.common import id_text, release, table, written
+from ravelin.llm.common import broadcast_if_small, id_text, release, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
     if ids.isEmpty():
         groups = written(jaccard.near_duplicates(docs.select("doc_id", "text")), "pipeline-groups")
-        gone = groups.filter("doc_id <> component_id").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        gone = written(groups.filter("doc_id <> component_id").select("doc_id"), "pipeline-gone")
+        return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
     groups = written(jaccard.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")), "pipeline-groups")
     named = rows.select("__row", "doc_id").join(groups.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
