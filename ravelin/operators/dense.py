@@ -22,14 +22,34 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
+#: Vectors and queries that are multiplied at once.
+ROWS = 2_000
+
+
+def _best(ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, matrix: np.ndarray, k: int, least: float | None, skip_self: bool) -> pa.Table:
+    """The ``k`` best rows for each query, and all that tie with the last of them."""
+    scores = np.round(rows @ matrix.T, 9)
+    if skip_self:
+        scores[ids[:, None] == qids[None, :]] = -np.inf
+    if least is not None:
+        scores[scores <= least] = -np.inf
+    keep = np.isfinite(scores)
+    if len(ids) > k:
+        keep &= scores >= np.partition(scores, len(ids) - k, axis=0)[len(ids) - k]
+    at, of = np.nonzero(keep)
+    return pa.table({"qid": qids[of], "id": ids[at], "score": scores[keep]})
+
+
 def vector_search(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = DEFAULT.prefetch,
     least: float | None = None,
     block: int = DEFAULT.query_block,
+    skip_self: bool = True,
 ) -> DataFrame:
-    """(qid, id, score, rk): for each query the ``k`` nearest vectors by cosine, itself left out.
+    """(qid, id, score, rk): for each query the ``k`` nearest vectors by cosine.  The vector that has the
+    query's id is left out, unless ``skip_self`` is false, as for queries that are no stored vectors.
 
     ``vectors`` has (id, embedding), ``queries`` (qid, embedding).  The query set is stated
     and goes in blocks of ``block`` rows; each task multiplies its vectors with the block and
@@ -58,18 +78,12 @@ def vector_search(
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                ids = batch.column(0).to_numpy()
-                scores = np.round(_unit(_matrix(batch.column(1))) @ matrix.T, 9)
-                scores[ids[:, None] == qids[None, :]] = -np.inf
-                if least is not None:
-                    scores[scores <= least] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids[:, None], scores.shape), -scores), axis=0)[:k]
-                top = np.take_along_axis(scores, order, axis=0)
-                keep = np.isfinite(top)
-                q = np.broadcast_to(qids[None, :], top.shape)
-                best.append(pa.table({"qid": q[keep], "id": ids[order][keep], "score": top[keep]}))
-            if best:
+                for lo in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(lo, ROWS)
+                    ids, rows = part.column(0).to_numpy(), _unit(_matrix(part.column(1)))
+                    best += [_best(ids, rows, qids[q : q + ROWS], matrix[q : q + ROWS], k, least, skip_self) for q in range(0, len(qids), ROWS)]
                 yield from pa.concat_tables(best).combine_chunks().to_batches()
+                best.clear()
 
         one = rows.mapInArrow(search, "qid long, id long, score double")
         found = one if found is None else found.unionByName(one)

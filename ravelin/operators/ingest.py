@@ -63,19 +63,23 @@ def metrics(current: DataFrame, previous: DataFrame, chunks: DataFrame, full: bo
 def ingest(files: DataFrame, chunk_store: SnapshotStore, state: SnapshotStore, full: bool = False, embed=None, config: Config = DEFAULT) -> dict[str, int]:
     """Bring the store in step with ``files`` (source, content); counts of what was done.
 
-    Unchanged files are not read again past their hash.  The chunk store's pointer moves
-    before the state's: a crash between them repeats work and loses none.
+    The listing with its hashes is written once, before any text is chunked, and all decisions come from
+    that table: a file that is edited meanwhile keeps its older hash and is done again by the next run.
+    The chunk store's pointer moves before the state's: a crash between them repeats work
+    and loses none.  Where nothing changed nothing is written.  A state that cannot be read counts as empty.
     """
-    current = hashed(files)
-    previous = chunk_store.spark.createDataFrame([], "source string, hash string") if full else state.read()
+    listed = state.stage(hashed(files))
+    current = state.read(listed)
+    previous = chunk_store.spark.createDataFrame([], "source string, hash string") if full else state.read_or_empty()
     changed = todo(current, previous, full)
     gone = deleted(current, previous)
-    new = stored(chunked(files.join(changed, "source", "left_semi"), config), embed)
-    if full:
-        chunk_store.write(new)
-    else:
-        kept = delete_sources(chunk_store.read(), changed.unionByName(gone), "metadata.source")
-        chunk_store.write(kept.unionByName(new))
     counts = {"processed": changed.count(), "skipped": 0 if full else skipped(current, previous).count(), "deleted": gone.count()}
-    state.write(current)
+    if full or counts["processed"] or counts["deleted"]:
+        new = stored(chunked(files.join(changed, "source", "left_semi"), config), embed)
+        if not full:
+            new = delete_sources(chunk_store.read(), changed.unionByName(gone), "metadata.source").unionByName(new)
+        chunk_store.write(new, "metadata.source")
+        state.commit(listed)
+    else:
+        state.drop(listed)
     return counts | {"chunks": chunk_store.count()}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.config import DEFAULT, NOT_FOUND
+from ravelin.functions.text import trimmed
 
 SYSTEM = (
     "Answer from the context below and from nothing else. If the context does not hold the answer, say so. "
@@ -55,7 +56,7 @@ def valid_questions(requests: DataFrame) -> DataFrame:
     r = requests.withColumn("__r", F.from_json("body", schema))
     empty = F.array().cast("array<struct<role: string, content: string>>")
     rest = [c for c in requests.columns if c != "body"]
-    return r.select(*rest, "__r.question", F.coalesce("__r.history", empty).alias("history")).filter(F.trim("question") != "")
+    return r.select(*rest, "__r.question", F.coalesce("__r.history", empty).alias("history")).filter(trimmed(F.col("question")) != "")
 
 
 def frames(cited: DataFrame, tokens: DataFrame) -> DataFrame:

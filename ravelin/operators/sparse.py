@@ -9,6 +9,10 @@ from ravelin.config import DEFAULT
 from ravelin.functions.text import term_index, tokens
 
 
+#: Terms of queries that are broadcast at most (some 40 bytes each).
+MAX_TERMS = 500_000
+
+
 def terms(docs: DataFrame, key: str, text: str = "text", keep_code: bool = False) -> DataFrame:
     """(key, term, n, tf): how often a term occurs in a text and its share of the text's terms.
 
@@ -33,6 +37,32 @@ def postings(docs: DataFrame, key: str, text: str = "text", vocabulary: int = DE
     )
 
 
+def postings_of(docs: DataFrame, asked: DataFrame, key: str, text: str = "text", vocabulary: int = DEFAULT.vocabulary) -> DataFrame:
+    """As ``postings``, of those term numbers only that ``asked`` (ix) has.
+
+    A first pass numbers the corpus's distinct terms and keeps those asked for; in a second one these
+    go to the terms where they are, before any is counted or shuffled, up to ``MAX_TERMS`` of them.
+    """
+    found = docs.select(key, tokens(F.col(text)).alias("__t"))
+    terms_ = found.select(F.explode("__t").alias("term")).distinct().select("term", term_index(F.col("term"), vocabulary).alias("ix"))
+    wanted = terms_.join(asked.select("ix").distinct(), "ix", "left_semi").persist()
+    small = wanted.count() <= MAX_TERMS
+    return (
+        found.select(key, F.size("__t").alias("total"), F.explode("__t").alias("term"))
+        .join(F.broadcast(wanted) if small else wanted, "term")
+        .groupBy(key, "ix", "total")
+        .agg(F.count("*").alias("n"))
+        .select(key, "ix", F.round(F.col("n") / F.col("total"), 12).alias("w"))
+    )
+
+
+def stored_postings(chunks: DataFrame, key: str = "id") -> DataFrame:
+    """(key, ix, w) of stored rows that hold a sparse vector: the index as it was written, nothing is tokenised again."""
+    entry = F.explode(F.arrays_zip("sparse.indices", "sparse.values")).alias("e")
+    entries = chunks.select(key, entry).select(key, F.col("e.indices").alias("ix"), F.col("e.values").alias("tf"))
+    return entries.groupBy(key, "ix").agg(F.round(F.sum("tf"), 12).alias("w"))
+
+
 def encoded(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, sparse): parallel arrays of term numbers and weights; empty for a text without terms."""
     rows = terms(docs, key, text).groupBy(key).agg(

@@ -28,8 +28,10 @@ def delete_sources(rows: DataFrame, sources: DataFrame, source: str = "source")
 class SnapshotStore:
     """Tables in a folder of any store Spark writes to.
 
-    Every write makes a new version beside the old ones and then moves a pointer to it,
-    so readers see a whole version or the one before, and a failed run changes nothing.
+    Every write makes a new version beside the old ones and then a pointer to it, a small file with the next
+    number.  The pointer with the highest number that is whole counts, so readers see a whole version or
+    the one before at any moment, and a failed run changes nothing.  Of two writers that
+    end at once, one gets an error.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
@@ -38,43 +40,70 @@ class SnapshotStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[str]:
+        """The pointers' names, the newest first."""
+        folder = self._path(self.root)
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted((n for n in names if n.startswith("current-")), reverse=True)
+
     @property
     def version(self) -> str | None:
-        pointer = f"{self.root}/CURRENT"
-        if not self._fs.exists(self._path(pointer)):
-            return None
-        return self.spark.read.text(pointer).first()["value"]
+        """The name of the current version; a pointer names its version, so it is never half-read."""
+        for pointer in self._pointers():
+            version = pointer.split("-", 2)[2]
+            if self._fs.exists(self._path(f"{self.root}/{version}/_SUCCESS")):
+                return version
+        return None
 
     def healthy(self) -> bool:
         """Whether the current version can be read (an absent store can)."""
         try:
-            self.read().limit(1).count()
+            self.read().write.format("noop").mode("overwrite").save()
         except Exception:  # whatever the store raises, the answer is no
             return False
         return True
 
-    def read(self) -> DataFrame:
-        version = self.version
+    def read(self, version: str | None = None) -> DataFrame:
+        """The rows of a version, by default the current one; none of an absent store."""
+        version = version or self.version
         if version is None:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/{version}")
 
+    def read_or_empty(self) -> DataFrame:
+        """The current rows, or none where they cannot be read."""
+        return self.read() if self.healthy() else self.spark.createDataFrame([], self.schema)
+
     def count(self) -> int:
         return self.read().count()
 
-    def write(self, rows: DataFrame, source: str | None = None) -> None:
-        """Make ``rows`` the current version; with ``source``, sorted by it within files, so that
-        a filter on it skips row groups."""
+    def stage(self, rows: DataFrame, sort_by: str | None = None) -> str:
+        """Write ``rows`` as a version that nobody reads yet; its name.  Sorted within files by ``sort_by``, which may
+        be a nested column, a filter on it skips row groups."""
         version = f"v-{uuid.uuid4().hex}"
-        names = self.spark.createDataFrame([], self.schema).columns
-        rows = rows.select(*names)
-        if source:
-            rows = rows.repartition(source).sortWithinPartitions(source)
+        rows = rows.select(*self.spark.createDataFrame([], self.schema).columns)
+        if sort_by:
+            rows = rows.repartitionByRange(F.col(sort_by)).sortWithinPartitions(F.col(sort_by))
         rows.write.parquet(f"{self.root}/{version}")
-        pointer, fresh = f"{self.root}/CURRENT", f"{self.root}/CURRENT-{version}"
-        self.spark.range(1).select(F.lit(version).alias("value")).coalesce(1).write.text(fresh)
-        self._fs.delete(self._path(pointer), True)
-        self._fs.rename(self._path(fresh), self._path(pointer))
+        return version
+
+    def commit(self, version: str) -> None:
+        """Make a staged version the current one; pointers before the last two go."""
+        old = self._pointers()
+        number = int(old[0].split("-", 2)[1]) + 1 if old else 0
+        if not self._fs.createNewFile(self._path(f"{self.root}/current-{number:012d}-{version}")):
+            raise FileExistsError(f"another writer committed to {self.root}")
+        for pointer in old[1:]:
+            self._fs.delete(self._path(f"{self.root}/{pointer}"), False)
+            self._fs.delete(self._path(f"{self.root}/{pointer.split('-', 2)[2]}"), True)
+
+    def drop(self, version: str) -> None:
+        """Delete a staged version."""
+        self._fs.delete(self._path(f"{self.root}/{version}"), True)
+
+    def write(self, rows: DataFrame, sort_by: str | None = None) -> None:
+        """Make ``rows`` the current version."""
+        self.commit(self.stage(rows, sort_by))
 
     def clear(self) -> None:
         self._fs.delete(self._path(self.root), True)

@@ -165,3 +165,10 @@ FROM benchmark LEFT JOIN n ON n.qid = item_id""",
     "embed_batches": f"""WITH {_SHORT} SELECT source, batch_no, count(*) AS n FROM (
   SELECT source, (row_number() OVER (PARTITION BY source ORDER BY section_ord) - 1) // 10 AS batch_no FROM short) GROUP BY ALL""",
 }
+SQL |= {
+    "stored_topk": SQL["sparse_topk"],
+    "cosine_above": f"WITH {_dense(5, 'WHERE score > 0.25').replace('v.vec_id <> q.vec_id', 'true')} SELECT qid, doc_id, score FROM dense",
+    "upsert_replacing": SQL["upsert"],
+    "ingested": f"""WITH {_FILES} SELECT source, 0::BIGINT AS stale FROM files
+WHERE regexp_replace(coalesce(content, ''), '[\\s\\x{{A0}}\\x{{FEFF}}]', '', 'g') <> ''""",
+}

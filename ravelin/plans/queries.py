@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ravelin import schemas
 from ravelin.config import DEFAULT
 from ravelin.functions.text import chunk_id, title_of, tokens
 from ravelin.functions.vectors import norm
@@ -77,11 +81,39 @@ def sparse_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sparse_topk(spark: SparkSession, d: str, k: int = DEFAULT.prefetch) -> DataFrame:
-    index = sparse.postings(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     asked = sparse.postings(questions(spark, d), "qid", "question")
+    index = sparse.postings_of(table(spark, d, "documents").select("doc_id", "text"), asked, "doc_id")
     return sparse.keyword_search(index, asked, "qid", "doc_id", k)
 
 
+def stored_topk(spark: SparkSession, d: str, k: int = DEFAULT.prefetch) -> DataFrame:
+    """``sparse_topk`` over an index in a store, as an ingest leaves it: a row a document with its sparse vector."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = store.SnapshotStore(spark, f"{_shared(spark)}/index-{uuid.uuid4().hex}", "doc_id long, sparse struct<indices: array<int>, values: array<double>>")
+    index.write(sparse.encoded(docs, "doc_id"))
+    asked = sparse.postings(questions(spark, d), "qid", "question")
+    return sparse.keyword_search(sparse.stored_postings(index.read(), "doc_id"), asked, "qid", "doc_id", k)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that all executors share; where the session names none, one of the driver's own."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
+
+
+def ingested(spark: SparkSession, d: str) -> DataFrame:
+    """Sources in a store after two ingests, and how many of their chunks are stale: the first has an older listing,
+    which lacks every tenth file and has others' older texts, the second the files as they are."""
+    root = f"{_shared(spark)}/ingest-{uuid.uuid4().hex}"
+    chunks = store.SnapshotStore(spark, f"{root}/chunks", schemas.STORED_CHUNK)
+    state = store.SnapshotStore(spark, f"{root}/state", schemas.FILE_STATE)
+    docs = table(spark, d, "documents").filter(F.col("doc_id") % 10 != 0)
+    older = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("# old"), "text")).otherwise(F.col("text"))
+    ingest.ingest(docs.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("source"), older.alias("content")), chunks, state)
+    ingest.ingest(files(spark, d), chunks, state)
+    stale = F.col("metadata.title").startswith("old").cast("long")
+    return chunks.read().groupBy(F.col("metadata.source").alias("source")).agg(F.sum(stale).alias("stale"))
+
+
 # -- dense ---------------------------------------------------------------------------
 
 
@@ -101,6 +133,12 @@ def dense_topk(spark: SparkSession, d: str, k: int = DEFAULT.prefetch, least: fl
     return found.withColumnRenamed("id", "doc_id")
 
 
+def cosine_above(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours whose cosine exceeds a bound that many have, the question's own vector among them."""
+    found = dense.vector_search(*_vectors(spark, d), k=DEFAULT.top_k, least=0.25, skip_self=False)
+    return found.select("qid", F.col("id").alias("doc_id"), "score")
+
+
 def legacy_cosine_filter(spark: SparkSession, d: str) -> DataFrame:
     return dense_topk(spark, d, DEFAULT.top_k, DEFAULT.min_cosine).select("qid", "doc_id", "score")
 
@@ -200,6 +238,14 @@ def upsert(spark: SparkSession, d: str) -> DataFrame:
     return store.upsert(old, new.join(changed, "source", "left_semi").select("id", "source", "content")).select("id", "source", "content")
 
 
+def upsert_replacing(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of changed files put in place of their old ones, which have the same ids."""
+    old = _rows(spark, d)
+    changed = ingest.todo(ingest.hashed(files(spark, d)), previous(spark, d))
+    new = old.withColumn("content", F.concat(F.lit("new:"), "content")).join(changed, "source", "left_semi")
+    return store.upsert(old, new.select("id", "source", "content")).select("id", "source", "content")
+
+
 def delete_by_source(spark: SparkSession, d: str) -> DataFrame:
     changed = ingest.todo(ingest.hashed(files(spark, d)), previous(spark, d))
     return store.delete_sources(_rows(spark, d), changed)

@@ -15,8 +15,10 @@ QUERIES = (
     q.term_numbers,
     q.sparse_vectors,
     q.sparse_topk,
+    q.stored_topk,
     q.vector_norms,
     q.dense_topk,
+    q.cosine_above,
     q.legacy_cosine_filter,
     q.rrf_fusion,
     q.hybrid_topk,
@@ -33,6 +35,8 @@ QUERIES = (
     q.diff_todo,
     q.diff_skipped,
     q.upsert,
+    q.upsert_replacing,
+    q.ingested,
     q.delete_by_source,
     q.dedupe_last_wins,
     q.chunk_count,

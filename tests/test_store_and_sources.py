@@ -53,6 +53,42 @@ def test_incremental_ingest(spark, tmp_path):
     assert chunks.count() == 0
 
 
+def test_a_crash_or_a_broken_state_loses_nothing(spark, tmp_path, monkeypatch):
+    listing = lambda *rows: spark.createDataFrame(rows, "source string, content string")
+    chunks, state = stores(spark, tmp_path)
+    ingest.ingest(listing(("a.md", "one"), ("b.md", "two")), chunks, state)
+    before, version = contents(chunks), chunks.version
+    ingest.ingest(listing(("a.md", "one"), ("b.md", "two")), chunks, state)
+    assert chunks.version == version  # nothing changed, nothing is written
+    for broken in (chunks, state):
+        with monkeypatch.context() as m:
+            m.setattr(broken, "commit", lambda _: (_ for _ in ()).throw(OSError("gone")))
+            with pytest.raises(OSError):
+                ingest.ingest(listing(("a.md", "other"), ("b.md", "two")), chunks, state)
+        assert broken is state or contents(chunks) == before
+    assert ingest.ingest(listing(("a.md", "other"), ("b.md", "two")), chunks, state)["processed"] == 1
+    assert [c for _, c in contents(chunks)] != [c for _, c in before] and chunks.count() == 2
+    for file in (tmp_path / "state" / state.version).glob("*.parquet"):
+        file.write_bytes(b"no table")
+    assert not state.healthy() and state.read_or_empty().count() == 0
+    assert ingest.ingest(listing(("a.md", "other"), ("b.md", "two")), chunks, state) == {"processed": 2, "skipped": 0, "deleted": 0, "chunks": 2}
+    with pytest.raises(FileExistsError):
+        monkeypatch.setattr(state, "_pointers", list)
+        monkeypatch.setattr(state._fs, "createNewFile", lambda _: False, raising=False)
+        state.commit("v-x")
+
+
+def test_vector_search_and_its_own_query(spark):
+    from ravelin.operators.dense import vector_search
+
+    rows = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(30)], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(5, [1.0, 5.0])], "qid long, embedding array<double>")
+    assert [r["id"] for r in vector_search(rows, asked, k=1, skip_self=False).collect()] == [5]
+    assert 5 not in {r["id"] for r in vector_search(rows, asked, k=3).collect()}
+    same = rows.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))
+    assert sorted(r["id"] for r in vector_search(same, asked, k=4, skip_self=False).collect()) == [0, 1, 2, 3]  # ties: smaller ids
+
+
 def test_keyed_changes(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "B"), (3, "c")], "id int, v string")
