@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import ascii_words, discard, id_text, release, sliced, table, text_bytes, written
+from ravelin.llm.common import ascii_words, discard, hand_back, id_text, release, sliced, table, text_bytes, written
 
 #: Words of the longest contexts.
 DEPTH = 3
@@ -59,8 +59,8 @@ PER_RANGE, HELD = 2_000_000, 2_000_000
 SALTS = 64
 #: Frequent n-grams and contexts that every task has at hand, at most (16 bytes each).
 CACHE = 1 << 20
-#: Parts of the key ranges that are asked one after another, each half of the shuffled data.
-ASK_PASSES = 2
+#: Parts of the key ranges that are asked one after another, each with its share of the shuffled data.
+ASK_PASSES = 3
 #: log2 of the bits of a map of n-grams, and of the number of ranges, at most.
 MAP_BITS, RANGE_BITS = 27, 20
 _BITS = np.int64(21)
@@ -267,6 +267,7 @@ def _joined(packed, kind: type | np.dtype) -> np.ndarray:
 
 def _frame(row: dict) -> pd.DataFrame:
     """As ``_row``, for pandas."""
+    hand_back()
     return pd.DataFrame([{k: _packed(v) if isinstance(v, np.ndarray) else v for k, v in row.items()}])
 
 
@@ -741,17 +742,22 @@ class _Questions:
         if part is not None:
             self.words = self.words[_range_of(self.words, known.bits) % ASK_PASSES == part]
 
+    @cached_property
+    def which(self) -> np.ndarray:
+        """For each n-gram in the texts its place among the distinct ones."""
+        order = np.argsort(self.keys)
+        ordered = self.keys[order]
+        out = np.empty(len(order), np.int32)
+        out[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1])) if len(order) else 0
+        return out
+
     def values(self, told: np.ndarray, cached: np.ndarray) -> list[np.ndarray]:
         """For each level the values of the n-grams that end there."""
-        every = np.zeros(len(self.every))
+        every = np.zeros(len(self.every), np.float32)
         every[~self.at_hand] = told
         if len(cached):
             every[self.at_hand] = cached[self.place[self.at_hand]]
-        order = np.argsort(self.keys)
-        ordered = self.keys[order]
-        each = np.empty(len(order))
-        each[order] = every[np.cumsum(np.append(False, ordered[1:] != ordered[:-1]))] if len(order) else 0
-        return np.split(each, np.cumsum([len(x) for x in self.ends])[:-1])
+        return np.split(every[self.which], np.cumsum([len(x) for x in self.ends])[:-1])
 
 
 def _asked(known: Broadcast, cache: Broadcast, hot: list[Broadcast], bits: int, turn: int):
@@ -786,6 +792,7 @@ def _answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     for number, batch, *packed in zip(*(asked[c] for c in ("range", "batch", "words", "grams")), strict=True):
         words, grams = (_unpacked(k, np.uint64) for k in packed)
         out.append((batch, number, *of(numbers, words, counts), *of(keys, words, following), *of(keys, grams, own, following)))
+    hand_back()
     return pd.DataFrame(out, columns=["batch", "range", "counts", "after", "own", "next"])
 
 
