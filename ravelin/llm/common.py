@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -25,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a local folder is made.
+    Only where the session has none and runs on one machine, as in tests, a local folder is made.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = _own_dir.setdefault("dir", "")
         if not path:
             path = _own_dir["dir"] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -5,7 +5,8 @@ for each range of quotients.  A filter keeps its remainders sorted within their
 quotient, so filters of a range merge without loss by merging sorted remainders and
 adding counts.  Fingerprints whose count exceeds one route their texts, and no
 others, to byte verification: a grouping on the whole text, combined in each task
-before its shuffle.
+before its shuffle.  Up to a million such fingerprints are broadcast, so that other texts stay
+where they are; more of them are joined by a shuffle.
 
 Of equal texts the row with the largest doc_id stays.  Null counts as the empty text.
 A null doc_id is smaller than any; rows that repeat a doc_id and text share one
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import table, written
+from ravelin.llm.common import broadcast_if_small, table, written
 
 #: Fingerprints that one merged filter holds on average.
 PER_RANGE = 250_000
@@ -130,8 +131,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"fp": F.xxhash64("text"), "sha": F.sha2("text", 256)})
     slim = written(rows.select("doc_id", "fp", "sha"), "dedup-fingerprints")
-    repeated = repeated_fingerprints(slim, slim.count())
-    suspects = rows.select("doc_id", "fp", "text").join(repeated.select("fp"), "fp", "left_semi")
+    repeated = written(repeated_fingerprints(slim, slim.count()).select("fp"), "dedup-repeated")
+    suspects = rows.select("doc_id", "fp", "text").join(broadcast_if_small(repeated), "fp", "left_semi")
     groups = (
         suspects.groupBy("text")
         .agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))

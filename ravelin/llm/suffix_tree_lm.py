@@ -60,7 +60,7 @@ SALTS = 64
 #: Frequent n-grams and contexts that every task has at hand, at most (16 bytes each).
 CACHE = 1 << 20
 #: Parts of the key ranges that are asked one after another, each with its share of the shuffled data.
-ASK_PASSES = 3
+ASK_PASSES = 2
 #: log2 of the bits of a map of n-grams, and of the number of ranges, at most.
 MAP_BITS, RANGE_BITS = 27, 20
 _BITS = np.int64(21)
