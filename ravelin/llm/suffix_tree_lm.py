@@ -20,8 +20,9 @@ fixed size tells (where it fills up, more n-grams are counted, none is lost); a
 asks the ranges of the suffixes for their probabilities, and tests and smooths its contexts.
 
 A text's score is a sum over its n-grams: each retained context that it holds adds the weight of its
-suffix's distribution, each n-gram stored there what it adds to that.  So a batch asks the
-ranges for its distinct n-grams once, and adds up the answers, which stand in the order of its questions.
+suffix's distribution (the end is never within a context, so a symbol follows it), each n-gram stored there what it
+adds to that.  Batches add up the most frequent n-grams themselves and send the others, each with its text,
+to their ranges, which answer with sums a text; no text is shuffled.
 
 Null and empty texts are one end symbol.  With no training texts all counts are 0.
 Rows that repeat are scored alike; null ids count as empty text where held-out rows are drawn.
@@ -52,15 +53,13 @@ MIN_COUNT = 2
 DISCOUNT = 0.7
 END = b"\n"  # no word holds white space
 #: Bytes and texts of a batch at most (one text at least).
-BATCH_BYTES, BATCH_TEXTS = 12_000_000, 50_000
+BATCH_BYTES, BATCH_TEXTS = 8_000_000, 50_000
 #: Distinct n-grams that one merge task gets on average; n-grams that a task holds unsorted.
 PER_RANGE, HELD = 2_000_000, 2_000_000
 #: Ranges of a context that is seen very often.
 SALTS = 64
-#: Frequent n-grams and contexts that every task has at hand, at most (16 bytes each).
+#: Frequent n-grams and contexts, and frequent words, that every task has at hand, at most (16 bytes each).
 CACHE = 1 << 20
-#: Parts of the key ranges that are asked one after another, each with its share of the shuffled data.
-ASK_PASSES = 2
 #: log2 of the bits of a map of n-grams, and of the number of ranges, at most.
 MAP_BITS, RANGE_BITS = 27, 20
 _BITS = np.int64(21)
@@ -593,7 +592,7 @@ def _hot_words(often: int):
     return run
 
 
-_MODEL = "range long, keys binary, own binary, next binary, counts binary, map binary, lengths binary"
+_MODEL = "range long, keys binary, adds binary, counts binary, map binary"
 
 
 def _modelled(hot: Broadcast, kept_hot: np.ndarray, bits: int):
@@ -617,46 +616,60 @@ def _modelled(hot: Broadcast, kept_hot: np.ndarray, bits: int):
 
 
 def _merge_model(bits: int, map_bits: int):
-    """A range of the model: its keys in order, each with what it adds as an n-gram and as a context, and how often
-    it occurs; its part of the map; how many keys have counts of 1, 2, ... binary digits."""
+    """A range of the model: its keys in order, each with what an occurrence adds to a text's score (as an n-gram, and as the
+    context of the symbol after it), and how often it occurs; its part of the map."""
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         keys, where = np.unique(_joined(group["keys"], np.uint64), return_inverse=True)
-        row = {"range": group["range"].iloc[0], "keys": keys}
+        values = {}
         for name, kind in (("own", np.float32), ("next", np.float32), ("counts", np.int64)):
-            row[name] = np.zeros(len(keys), kind)
-            values = _joined(group[name], kind)
-            used = values != 0  # a hot context comes from several ranges, with one weight
-            row[name][where[used]] = values[used]
-        digits = np.frexp(row["counts"].astype(float))[1]
-        return _frame(row | {"map": _slice_of_map(keys, bits, map_bits), "lengths": np.bincount(digits, minlength=64)})
+            values[name] = np.zeros(len(keys), kind)
+            found = _joined(group[name], kind)
+            used = found != 0  # a hot context comes from several ranges, with one weight
+            values[name][where[used]] = found[used]
+        row = {"range": group["range"].iloc[0], "keys": keys, "adds": values["own"] + values["next"], "counts": values["counts"]}
+        return _frame(row | {"map": _slice_of_map(keys, bits, map_bits)})
 
     return merge
 
 
 class Cache(NamedTuple):
-    """The model's most frequent keys, ``CACHE`` at most, which tasks have at hand."""
+    """The model's most frequent keys and the most frequent words, ``CACHE`` of each at most, which tasks have at hand."""
 
     keys: np.ndarray
-    own: np.ndarray
-    next: np.ndarray
+    adds: np.ndarray
+    words: np.ndarray
+    counts: np.ndarray
+
+
+def _most_frequent(packed: DataFrame, column: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and values of a packed table whose counts have so many binary digits that there are ``CACHE`` at most."""
 
+    def digits(row: dict) -> np.ndarray:
+        return np.frexp(_unpacked(row["counts"], np.int64).astype(float))[1]
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            for row in _rows(batch):
+                n = np.bincount(digits(row), minlength=65)
+                yield pa.RecordBatch.from_arrays([pa.array(range(65), pa.int64()), pa.array(n, pa.int64())], ["digits", "n"])
 
-def _cache_of(model: DataFrame) -> Cache:
-    lengths = sum((_unpacked(r[0], np.int64) for r in model.select("lengths").collect()), np.zeros(64, np.int64))
-    more = np.cumsum(lengths[::-1])[::-1]  # keys whose counts have so many digits or more
-    digits = int(np.flatnonzero(more <= CACHE)[0])
+    of = packed.select("counts").mapInArrow(lengths, "digits long, n long").groupBy("digits").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(65, np.int64)
+    n[[r["digits"] for r in of]] = [r["n"] for r in of]
+    least = int(np.flatnonzero(np.cumsum(n[::-1])[::-1] <= CACHE)[0])
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             for row in _rows(batch):
-                use = np.frexp(_unpacked(row["counts"], np.int64).astype(float))[1] >= digits
-                yield _row(keys=_unpacked(row["keys"], np.uint64)[use], own=_unpacked(row["own"], np.float32)[use], next=_unpacked(row["next"], np.float32)[use])
+                use = digits(row) >= least
+                yield _row(keys=_unpacked(row["keys"], np.uint64)[use], values=_unpacked(row[column], kind)[use])
 
-    rows = model.select("keys", "own", "next", "counts").mapInArrow(frequent, "keys binary, own binary, next binary").collect()
-    keys, own, following = (_joined((r[k] for r in rows), t) for k, t in enumerate((np.uint64, np.float32, np.float32)))
+    names = ["keys", *{column, "counts"}]
+    rows = packed.select(*names).mapInArrow(frequent, "keys binary, values binary").collect()
+    keys, values = _joined((r[0] for r in rows), np.uint64), _joined((r[1] for r in rows), kind)
     order = np.argsort(keys)
-    return Cache(keys[order], own[order], following[order])
+    return keys[order], values[order]
 
 
 def _learn(texts: DataFrame, views: bool = True) -> Tree:
@@ -703,7 +716,7 @@ def _learn(texts: DataFrame, views: bool = True) -> Tree:
     model = reduce(DataFrame.unionByName, parts).groupBy("range").applyInPandas(_merge_model(bits, map_bits), _MODEL)
     tree.model = written(model, "lm-model")
     tree.known = shared(_map_of(tree.model, bits, map_bits))
-    tree.cache = shared(_cache_of(tree.model))
+    tree.cache = shared(Cache(*_most_frequent(tree.model, "adds", np.float32), *_most_frequent(tree.packed, "counts", np.int64)))
     if not views:
         for t in tree.levels:
             discard(t)
@@ -721,99 +734,100 @@ def learn(train: DataFrame) -> tuple[Tree, DataFrame]:
 # -- scoring ----------------------------------------------------------------------------
 
 
-class _Questions:
-    """What a batch asks: its words in order of their keys, and the n-grams that the tree may know but tasks don't,
-    sorted; of one part of the ranges, if that is given."""
-
-    def __init__(self, found: _Batch, known: GramMap, cache: Cache, hot: list[np.ndarray], part: int | None = None):
-        self.ends, keys = [], [np.empty(0, np.uint64)]  # where n-grams end, level by level
-        for there, _, _, grams in found.grams(hot):
-            if part is not None:
-                there &= _range_of(grams, known.bits) % ASK_PASSES == part
-            there[there] = known.holds(grams[there])
-            self.ends.append(np.flatnonzero(there))
-            keys.append(grams[self.ends[-1]])
-        self.keys = np.concatenate(keys)
-        self.every = np.unique(self.keys)
-        self.at_hand, self.place = _within(cache.keys, self.every)
-        self.grams = self.every[~self.at_hand]
-        self.order = np.argsort(found.words)
-        self.words = found.words[self.order]
-        if part is not None:
-            self.words = self.words[_range_of(self.words, known.bits) % ASK_PASSES == part]
+#: What a text's known words and n-grams add up to: words known, logarithms of their counts, logarithms of weights.
+_TEXT = np.dtype([("text", "u4"), ("known", "i8"), ("base", "f8"), ("score", "f8")])
 
-    @cached_property
-    def which(self) -> np.ndarray:
-        """For each n-gram in the texts its place among the distinct ones."""
-        order = np.argsort(self.keys)
-        ordered = self.keys[order]
-        out = np.empty(len(order), np.int32)
-        out[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1])) if len(order) else 0
-        return out
-
-    def values(self, told: np.ndarray, cached: np.ndarray) -> list[np.ndarray]:
-        """For each level the values of the n-grams that end there."""
-        every = np.zeros(len(self.every), np.float32)
-        every[~self.at_hand] = told
-        if len(cached):
-            every[self.at_hand] = cached[self.place[self.at_hand]]
-        return np.split(every[self.which], np.cumsum([len(x) for x in self.ends])[:-1])
-
-
-def _asked(known: Broadcast, cache: Broadcast, hot: list[Broadcast], bits: int, turn: int):
-    """Distinct words and n-grams of each batch, packed by key range, for one part of the ranges."""
+
+def _questions(found: _Batch, known: GramMap, cache: Cache, hot: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """What tasks can add up of a batch's texts themselves; the other words and n-grams that the tree may know, sorted by key, each with its text."""
+    texts = np.repeat(np.arange(len(found.sizes), dtype=np.uint32), found.sizes)
+    sums = np.zeros(len(found.sizes), _TEXT)
+    sums["text"] = np.arange(len(sums))
+
+    def at_hand(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        have, at = _within(table, keys)
+        out = np.zeros(len(keys), values.dtype)
+        out[have] = values[at[have]]
+        return have, out
+
+    def add(name: str, which: np.ndarray, values: np.ndarray) -> None:
+        sums[name] += np.bincount(which, values, len(sums)).astype(sums[name].dtype)
+
+    def sorted_by_key(keys: list[np.ndarray], which: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, which = np.concatenate(keys), np.concatenate(which)
+        order = np.argsort(keys, kind="stable")
+        return keys[order], which[order]
+
+    have, counts = at_hand(cache.words, cache.counts, found.words)
+    add("known", texts, (counts > 0)[found.codes])
+    add("base", texts, np.log10(counts + 1.0)[found.codes])
+    rest = np.flatnonzero(~have[found.codes])
+    words = sorted_by_key([found.words[found.codes[rest]]], [texts[rest]])
+    # words as contexts, then n-grams level by level
+    have, adds = at_hand(cache.keys, cache.adds, found.words)
+    add("score", texts, adds[found.codes])
+    rest = np.flatnonzero((known.holds(found.words) & ~have)[found.codes])
+    keys, which = [found.words[found.codes[rest]]], [texts[rest]]
+    for there, _, _, grams in found.grams(hot):
+        at = np.flatnonzero(there)
+        at = at[known.holds(grams[at])]
+        at = at[np.argsort(grams[at])]
+        have, adds = at_hand(cache.keys, cache.adds, grams[at])
+        add("score", texts[at], adds)
+        keys.append(grams[at[~have]])
+        which.append(texts[at[~have]])
+    return sums, [words, sorted_by_key(keys, which)]
+
+
+_ASKED = "range long, batch long, words binary, word_texts binary, grams binary, gram_texts binary, sums binary"
+
+
+def _asked(known: Broadcast, cache: Broadcast, hot: list[Broadcast], bits: int):
+    """Words and n-grams of each batch with their texts, packed by key range, and what needs no answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, which = np.empty(0, np.uint64), np.empty(0, np.uint32)
         for batch in sliced(batches, 1):
             number, *packed = (batch.column(c)[0].as_py() for c in ("batch", "words", "codes", "sizes"))
-            asks = _Questions(_Batch(*packed), known.value, cache.value, [h.value for h in hot], turn)
-            nothing = np.empty(0, np.uint64)
-            rows = {k: (asks.words[part], nothing) for k, part in _by_range(asks.words, bits)}
-            for k, part in _by_range(asks.grams, bits):
-                rows[k] = rows.get(k, (nothing, nothing))[0], asks.grams[part]
-            for k, (w, g) in rows.items():
-                yield _row(range=k, batch=number, words=w, grams=g)
+            sums, asks = _questions(_Batch(*packed), known.value, cache.value, [h.value for h in hot])
+            rows: dict[int, list[np.ndarray]] = {}
+            for j, (every, texts) in enumerate(asks):
+                for k, part in _by_range(every, bits):
+                    rows.setdefault(k, [keys, which, keys, which])[2 * j : 2 * j + 2] = every[part], texts[part]
+            for k, (w, wt, g, gt) in rows.items():
+                yield _row(range=k, batch=number, words=w, word_texts=wt, grams=g, gram_texts=gt, sums=sums[:0])
+            some = int(_range_of(_mixed(np.array([number], np.uint64)), bits)[0])
+            yield _row(range=some, batch=number, words=keys, word_texts=which, grams=keys, gram_texts=which, sums=sums)
 
     return run
 
 
 def _answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """Counts of words, what n-grams add to probabilities, and what words and n-grams add as contexts."""
-    rows = [known[known["counts"].isna()], known[known["counts"].notna()]]
+    """For each batch what a range's words and n-grams add to its texts, summed by text."""
+    rows = [known[known["adds"].notna()], known[known["adds"].isna()]]
     keys, numbers = _joined(rows[0]["keys"], np.uint64), _joined(rows[1]["keys"], np.uint64)
-    own, following = (_joined(rows[0][c], np.float32) for c in ("own", "next"))
-    counts = _joined(rows[1]["counts"], np.int64)
-
-    def of(table: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[bytes]:
-        have, at = _within(table, wanted)
-        return [_packed(np.where(have, v[at], v.dtype.type(0)) if len(v) else np.zeros(len(wanted), v.dtype)) for v in values]
-
+    adds, counts = _joined(rows[0]["adds"], np.float32), _joined(rows[1]["counts"], np.int64)
     out = []
-    for number, batch, *packed in zip(*(asked[c] for c in ("range", "batch", "words", "grams")), strict=True):
-        words, grams = (_unpacked(k, np.uint64) for k in packed)
-        out.append((batch, number, *of(numbers, words, counts), *of(keys, words, following), *of(keys, grams, own, following)))
+    for number, batch, sums, *packed in zip(*(asked[c] for c in ("range", "batch", "sums", "words", "word_texts", "grams", "gram_texts")), strict=True):
+        if sums:
+            out.append((batch, -1, sums))
+            continue
+        words, word_texts, grams, gram_texts = (_unpacked(x, t) for x, t in zip(packed, (np.uint64, np.uint32) * 2, strict=True))
+        have, at = _within(numbers, words)
+        n, word_texts = counts[at[have]], word_texts[have]
+        have, at = _within(keys, grams)
+        more, gram_texts = adds[at[have]], gram_texts[have]
+        texts, where = np.unique(np.concatenate((word_texts, gram_texts)), return_inverse=True)
+        found = np.zeros(len(texts), _TEXT)
+        found["text"] = texts
+        of_words, of_grams = where[: len(n)], where[len(n) :]
+        found["known"] = np.bincount(of_words, minlength=len(texts))
+        found["base"] = np.bincount(of_words, np.log10(n + 1.0), len(texts))
+        found["score"] = np.bincount(of_grams, more, len(texts))
+        if len(found):
+            out.append((batch, number, _packed(found)))
     hand_back()
-    return pd.DataFrame(out, columns=["batch", "range", "counts", "after", "own", "next"])
-
-
-def _score(found: _Batch, counts: np.ndarray, after: np.ndarray, own: np.ndarray, following: np.ndarray, asks: _Questions, cache: Cache, scale: float) -> tuple[np.ndarray, ...]:
-    """n_tokens, n_known, base_score and score of each text of a batch, from the answers to its questions."""
-    place = np.empty(len(asks.order), np.int64)
-    place[asks.order] = np.arange(len(asks.order))
-    n, weight = counts[place], after[place].astype(float)
-    base = (np.log10(n + 1.0) - scale)[found.codes]
-    score = base.copy()
-    inner = np.flatnonzero(found.places > 0)
-    score[inner] += weight[found.codes[inner - 1]]
-    for at, x in zip(asks.ends, asks.values(own, cache.own), strict=True):
-        score[at] += x
-    for at, x in list(zip(asks.ends, asks.values(following, cache.next), strict=True))[:-1]:
-        last = at + 1 < len(score)
-        at, x = at[last], x[last]
-        same = found.places[at + 1] > 0
-        score[at[same] + 1] += x[same]
-    summed = lambda x: np.add.reduceat(x, found.starts)
-    return found.sizes, summed((n > 0)[found.codes].astype(np.int64)), summed(base), summed(score)
+    return pd.DataFrame(out, columns=["batch", "range", "sums"])
 
 
 _ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -823,44 +837,34 @@ def _score_encoded(texts: DataFrame, tree: Tree, only_use: bool = False) -> Data
     """The scores; with ``only_use`` the tree's tables go when all questions are answered."""
     spark = texts.sparkSession
     row = T.StructType(texts.schema["rows"].dataType.elementType.fields[:-1])
-    names, scale, bits = row.names, tree.scale, tree.bits
-    hot, known_map, cache = list(tree.hot), tree.known, tree.cache
-
-    def answered(turn: int) -> DataFrame:
-        its = F.col("range") % ASK_PASSES == turn
-        words = tree.packed.filter(its).select("range", "keys", "counts")
-        known = tree.model.filter(its).select("range", "keys", "own", "next").unionByName(words, allowMissingColumns=True)
-        asked = texts.select("batch", "words", "codes", "sizes").mapInArrow(_asked(known_map, cache, hot, bits, turn), "range long, batch long, words binary, grams binary")
-        told = asked.groupBy("range").cogroup(known.groupBy("range"))
-        return written(told.applyInPandas(_answer, "batch long, range long, counts binary, after binary, own binary, next binary"), "lm-answers")
-
-    answers = []
-    for turn in range(ASK_PASSES):
-        answers.append(answered(turn))
-        release(spark)
-    answers = reduce(DataFrame.unionByName, answers)
+    names, scale = row.names, tree.scale
+    known = tree.model.select("range", "keys", "adds").unionByName(tree.packed.select("range", "keys", "counts"), allowMissingColumns=True)
+    asked = texts.select("batch", "words", "codes", "sizes").mapInArrow(_asked(tree.known, tree.cache, list(tree.hot), tree.bits), _ASKED)
+    told = asked.groupBy("range").cogroup(known.groupBy("range")).applyInPandas(_answer, "batch long, range long, sums binary")
+    answers = written(told, "lm-answers")
+    release(spark)
     if only_use:
         discard(tree.model)
         discard(tree.packed)
-    parts = ("range", "counts", "after", "own", "next")
-    packed = answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("answers"))
+    packed = answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("range", "sums"))).alias("answers"))
     schema = T.StructType([*row.fields, T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
-            got = batch.column("answers")[0].as_py() or []
-            told = (_joined((x[c] for x in got), t) for c, t in zip(parts[1:], (np.int64, np.float32, np.float32, np.float32), strict=True))
-            found = _Batch(*(batch.column(c)[0].as_py() for c in ("words", "codes", "sizes")))
-            asks = _Questions(found, known_map.value, cache.value, [h.value for h in hot])
-            scores = _score(found, *told, asks, cache.value, scale)
+            sizes = _unpacked(batch.column("sizes")[0].as_py(), np.int64)
+            sums = np.zeros(len(sizes), _TEXT)
+            for x in batch.column("answers")[0]:
+                found = _unpacked(x["sums"].as_py(), _TEXT)
+                for name in ("known", "base", "score"):
+                    sums[name][found["text"]] += found[name]
+            base = sums["base"] - scale * sizes
             rows = batch.column("rows")[0].values
             columns = [rows.field(j) for j in range(len(names))]
-            whole = pa.RecordBatch.from_arrays([*columns, *map(pa.array, scores)], schema.names)
+            whole = pa.RecordBatch.from_arrays([*columns, *map(pa.array, (sizes, sums["known"].copy(), base, base + sums["score"]))], schema.names)
             for i in range(0, whole.num_rows, 10_000):
                 yield whole.slice(i, 10_000)
 
-    joined = texts.select("batch", "rows", "words", "codes", "sizes").join(packed, "batch", "left")
-    scored = joined.mapInArrow(run, schema)
+    scored = texts.select("batch", "rows", "sizes").join(packed, "batch").mapInArrow(run, schema)
     return scored.select(*names, "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
