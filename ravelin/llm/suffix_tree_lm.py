@@ -30,7 +30,6 @@ Rows that repeat are scored alike; null ids count as empty text where held-out r
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property, reduce
 from typing import NamedTuple
@@ -38,13 +37,14 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import ascii_words, discard, hand_back, id_text, release, sliced, table, text_bytes, written
+from ravelin.llm.common import discard, hand_back, id_text, release, sliced, table, written
 
 #: Words of the longest contexts.
 DEPTH = 3
@@ -60,6 +60,8 @@ PER_RANGE, HELD = 2_000_000, 2_000_000
 SALTS = 64
 #: Frequent n-grams and contexts, and frequent words, that every task has at hand, at most (16 bytes each).
 CACHE = 1 << 20
+#: Shares of the texts that ask one after another, so that the questions of one share at a time are on disk.
+ASK_PASSES = 2
 #: log2 of the bits of a map of n-grams, and of the number of ranges, at most.
 MAP_BITS, RANGE_BITS = 27, 20
 _BITS = np.int64(21)
@@ -103,42 +105,44 @@ def encoded(docs: DataFrame, train: Column) -> DataFrame:
     row = docs.select(*names).schema.add("__at", T.IntegerType())
     schema = T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("symbols", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("train", "words", "codes", "sizes"))])
 
-    def batch_of(parts: list[pa.RecordBatch], texts: list[bytes]) -> pa.RecordBatch:
-        numbers: defaultdict[bytes, int] = defaultdict()
-        numbers.default_factory = numbers.__len__
-        codes, sizes = [], []
-        for text in texts:
-            symbols = [*map(numbers.__getitem__, ascii_words(text)), numbers[END]]
-            codes.append(np.array(symbols, np.uint32))
-            sizes.append(len(symbols))
-        hashes = np.fromiter(map(word_hash, numbers), np.uint64, len(numbers))
-        codes = np.concatenate(codes)
+    def batch_of(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        n = len(whole)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(whole.column("text").chunk(0), "")))
+        every = split.flatten()
+        real = pc.greater(pc.binary_length(every), 0)  # white space at either side of a text leaves empty strings
+        of = np.repeat(np.arange(n), pc.list_value_length(split).to_numpy())[real.to_numpy(zero_copy_only=False)]
+        words = every.filter(real).dictionary_encode()
+        sizes = np.bincount(of, minlength=n) + 1
+        codes = np.full(len(of) + n, len(words.dictionary), np.uint32)  # the end, where no word is
+        codes[np.arange(len(of)) + of] = words.indices.to_numpy()
+        del split, every, real
+        hashes = np.fromiter(map(word_hash, [*words.dictionary.cast(pa.binary()).to_pylist(), END]), np.uint64, len(words.dictionary) + 1)
         order = np.argsort(-np.bincount(codes), kind="stable")  # frequent words get small numbers
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        whole = pa.Table.from_batches(parts).combine_chunks()
-        columns = [whole.column(k).chunk(0) for k in range(len(names))] + [pa.array(range(len(texts)), pa.int32())]
+        columns = [whole.column(k).chunk(0) for k in range(len(names))] + [pa.array(range(n), pa.int32())]
         values = pa.StructArray.from_arrays(columns, [*names, "__at"])
         trains = np.array(whole.column("__train").to_pylist(), bool)
-        binary = [pa.array([_packed(x)], pa.binary()) for x in (trains, hashes[order], rank[codes], np.array(sizes, np.int64))]
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(texts)], values), pa.array([len(codes)], pa.int64()), *binary], schema.names)
+        binary = [pa.array([_packed(x)], pa.binary()) for x in (trains, hashes[order], rank[codes], sizes)]
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, n], values), pa.array([len(codes)], pa.int64()), *binary], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, texts, held = [], [], 0
+        parts, n, held = [], 0, 0
         for batch in sliced(batches):
             start = 0
-            for k, text in enumerate(text_bytes(batch.column(len(names)))):
-                if texts and (held + len(text) > BATCH_BYTES or len(texts) >= BATCH_TEXTS):
+            for k, size in enumerate(pc.fill_null(pc.binary_length(batch.column(len(names))), 0).to_pylist()):
+                if n and (held + size > BATCH_BYTES or n >= BATCH_TEXTS):
                     if k > start:
                         parts.append(batch.slice(start, k - start))
-                    yield batch_of(parts, texts)
-                    parts, texts, held, start = [], [], 0, k
-                texts.append(text)
-                held += len(text)
+                    yield batch_of(parts)
+                    parts, n, held, start = [], 0, 0, k
+                n += 1
+                held += size
             if batch.num_rows > start:
                 parts.append(batch.slice(start))
-        if texts:
-            yield batch_of(parts, texts)
+        if n:
+            yield batch_of(parts)
 
     return written(rows.mapInArrow(run, schema).withColumn("batch", F.monotonically_increasing_id()), "lm-texts")
 
@@ -687,14 +691,24 @@ def _learn(texts: DataFrame, views: bool = True) -> Tree:
     map_bits, often = _map_bits(tree.n, bits), hot_count(tree.n)
     shorter = packed.mapInArrow(_shorter_words(tree.scale), "range long, keys binary, lp binary")
     hot = _joined((r[0] for r in packed.mapInArrow(_hot_words(often), "often binary").filter(F.length("often") > 0).collect()), np.uint64)
-    frequent = None
+    frequent, parts = None, []
+
+    def modelled(level: int) -> None:
+        its = tree.levels[level - 1]
+        rows = its.mapInArrow(_modelled(tree.hot[level - 1], tree.kept_hot[level - 1], bits), "range long, keys binary, own binary, next binary, counts binary")
+        parts.append(written(rows, f"lm-part-{level}"))
+        if not views:
+            discard(its)
+
     for level in range(1, DEPTH + 1):
         tree.hot.append(shared(np.sort(hot)))
-        parts = source.mapInArrow(_grams_counted(frequent, list(tree.hot), bits), _PARTS)
-        grams = written(parts.groupBy("range").applyInPandas(_merger(tree.hot[-1], bits, map_bits, often), _GRAMS), f"lm-grams-{level}")
+        found = source.mapInArrow(_grams_counted(frequent, list(tree.hot), bits), _PARTS)
+        grams = written(found.groupBy("range").applyInPandas(_merger(tree.hot[-1], bits, map_bits, often), _GRAMS), f"lm-grams-{level}")
         release(spark)
         asked = grams.select("range", "suffixes").mapInArrow(_asks(bits), "range long, asker long, keys binary")
         told = written(asked.groupBy("range").cogroup(shorter.groupBy("range")).applyInPandas(_tell, "asker long, range long, lp binary"), f"lm-told-{level}")
+        if level > 1:
+            modelled(level - 1)
         release(spark)
         sums = _summed(_collected(grams, "sums", _SUMS))
         mine = grams.select("range", "contexts", "runs", "suffixes", "counts", "totals")
@@ -712,15 +726,14 @@ def _learn(texts: DataFrame, views: bool = True) -> Tree:
         discard(told)
         discard(grams)
         release(spark)
-    parts = [t.mapInArrow(_modelled(h, k, bits), "range long, keys binary, own binary, next binary, counts binary") for t, h, k in zip(tree.levels, tree.hot, tree.kept_hot, strict=True)]
+    modelled(DEPTH)
     model = reduce(DataFrame.unionByName, parts).groupBy("range").applyInPandas(_merge_model(bits, map_bits), _MODEL)
     tree.model = written(model, "lm-model")
     tree.known = shared(_map_of(tree.model, bits, map_bits))
     tree.cache = shared(Cache(*_most_frequent(tree.model, "adds", np.float32), *_most_frequent(tree.packed, "counts", np.int64)))
-    if not views:
-        for t in tree.levels:
-            discard(t)
-    del parts, model, counted, shorter, asked, graded, mine
+    for t in parts:
+        discard(t)
+    del model, counted, shorter, asked, graded, mine, found
     release(spark)
     return tree
 
@@ -839,10 +852,14 @@ def _score_encoded(texts: DataFrame, tree: Tree, only_use: bool = False) -> Data
     row = T.StructType(texts.schema["rows"].dataType.elementType.fields[:-1])
     names, scale = row.names, tree.scale
     known = tree.model.select("range", "keys", "adds").unionByName(tree.packed.select("range", "keys", "counts"), allowMissingColumns=True)
-    asked = texts.select("batch", "words", "codes", "sizes").mapInArrow(_asked(tree.known, tree.cache, list(tree.hot), tree.bits), _ASKED)
-    told = asked.groupBy("range").cogroup(known.groupBy("range")).applyInPandas(_answer, "batch long, range long, sums binary")
-    answers = written(told, "lm-answers")
-    release(spark)
+    answers = []
+    for turn in range(ASK_PASSES):
+        asking = texts.select("batch", "words", "codes", "sizes").filter(F.pmod(F.xxhash64("batch"), F.lit(ASK_PASSES)) == turn)
+        asked = asking.mapInArrow(_asked(tree.known, tree.cache, list(tree.hot), tree.bits), _ASKED)
+        told = asked.groupBy("range").cogroup(known.groupBy("range")).applyInPandas(_answer, "batch long, range long, sums binary")
+        answers.append(written(told, "lm-answers"))
+        release(spark)
+    answers = reduce(DataFrame.unionByName, answers)
     if only_use:
         discard(tree.model)
         discard(tree.packed)
