@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import discard, release, table, text_bytes, written
+from ravelin.llm.common import broadcast_if_small, discard, release, table, text_bytes, written
 
 LENGTH, GRAM = 100, 32
 #: Contexts that are sorted at once, and positions of one gram beyond which its bucket is cut up.
@@ -340,8 +340,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block_
         raise ValueError(f"length must be over {GRAM} and at most {_OFFSET} bytes")
     spark = docs.sparkSession
     texts, facts = _keyed(docs)
-    firsts = facts.groupBy("sha").agg(F.min("key").alias("first"))
-    facts = written(facts.join(firsts, "sha"), "suffix-facts")
+    # texts that occur once are their own first
+    firsts = written(facts.groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "suffix-firsts")
+    facts = written(facts.join(broadcast_if_small(firsts), "sha", "left").withColumn("first", F.coalesce("first", "key")), "suffix-facts")
     later = facts.filter("key <> first").select("key").distinct()
     positions = written(texts.mapInArrow(_sampler(length), "gram long, key long, place long"), "suffix-sample")
     some = written(_repeated(positions), "suffix-repeated")
