@@ -187,9 +187,11 @@ def plain_tree(texts, depth):
     return kept, lambda t: sum(lp(tuple(t[max(0, i - depth) : i + 1])) for i in range(len(t)))
 
 
-@pytest.mark.parametrize("often", [None, 12])
-def test_scores_are_those_of_the_definition(spark, monkeypatch, often):
+@pytest.mark.parametrize(("often", "cache"), [(None, None), (12, None), (12, 20), (None, 0)])
+def test_scores_are_those_of_the_definition(spark, monkeypatch, often, cache):
     monkeypatch.setattr(lm, "BATCH_BYTES", 2_000)
+    if cache is not None:  # what tasks do not have at hand they ask for
+        monkeypatch.setattr(lm, "CACHE", cache)
     if often:  # contexts seen so often are spread over ranges
         monkeypatch.setattr(lm, "hot_count", lambda _: often)
     rng = np.random.default_rng(8)
@@ -203,8 +205,14 @@ def test_scores_are_those_of_the_definition(spark, monkeypatch, often):
     kept, score = plain_tree(texts, lm.DEPTH)
     assert {len(c) for c in kept} == {1, 2, 3}
     tree, counts = lm.learn(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
-    got = {r["doc_id"]: r["score"] for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), tree, counts).collect()}
-    assert got == {k: pytest.approx(score(words(t)) if t else score([b"\n"])) for k, t in rows}
+    rows.append((len(rows), " \t\x0b\n"))
+    found = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), tree, counts).collect()
+    assert {r["doc_id"]: r["score"] for r in found} == {k: pytest.approx(score(words(t))) for k, t in rows}
+    c = Counter(w for t in texts for w in words(t))
+    for r in found:
+        t = words(rows[r["doc_id"]][1])
+        assert (r["n_tokens"], r["n_known"]) == (len(t), sum(c[w] > 0 for w in t))
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (tree.n + tree.v + 1)) for w in t))
 
 
 def test_contexts_stay_learned_in_a_larger_corpus(spark):
