@@ -4,7 +4,9 @@ Writing: one gzip member a record, by Spark's own text sink, so that any store S
 writes to will do and retried tasks leave no half-written archive behind.  (The sink
 ends each row by a separator; it is set to a NUL byte, and each member is handed over
 without its last byte, which is NUL, the top byte of a size below 16 MB.  A larger
-member gets an empty one after it, whose size is 0.)  Of records with equal payloads
+member gets an empty one after it, whose size is 0.)  A row of the sink is a pack of
+members of about ``PACK_BYTES``, or one member that is larger, and an archive has
+``FILE_PACKS`` rows, so archives are cut by bytes.  Of records with equal payloads
 of ``REVISIT_BYTES`` or more, the smallest page_id is the response; others are revisits.
 
 Index: captures sorted by reversed-host URL key, in compressed blocks of
@@ -15,6 +17,9 @@ block, and reads the record by its file, offset and length alone.
 
 Null html is the empty payload.  A null url has the empty key; a null page_id stays
 null and is larger than any.  Rows that repeat are separate records with equal results.
+No pages give no archives and no rows.  Archives are read in chunks where Arrow opens the
+store, so neither they nor their number bound memory; else they come as whole files, which must be
+below 2 GB.  Columns other than page_id, url and html are not looked at.
 """
 
 from __future__ import annotations
@@ -35,11 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import release, shared_path, table, written
+from ravelin.llm.common import broadcast_if_small, release, shared_path, sliced, table, written
 
 REVISIT_BYTES = 100
-#: Records of an archive file, lines of an index block, lines of an index range.
-FILE_ROWS, BLOCK_ROWS, RANGE_ROWS = 5_000, 256, 50_000
+#: Bytes of a pack of members, packs of an archive file.
+PACK_BYTES, FILE_PACKS = 1 << 20, 128
+#: Lines of an index block, lines of an index range.
+BLOCK_ROWS, RANGE_ROWS = 256, 50_000
+#: Bytes of records that a task reads back, in the mean.
+READ_BYTES = 64 << 20
 #: The pages have no capture time; every record bears this one.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -119,27 +128,50 @@ def _packed(data: bytes) -> bytes:
     return member[:-1]
 
 
-def members(data: memoryview) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of each gzip member that has content."""
-    at = 0
-    while at < len(data):
-        unzip, start, out = zlib.decompressobj(31), at, []
+def members(chunks: Iterator[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member that has content, of an archive in chunks."""
+    at, data = 0, b""
+    while True:
+        unzip, used, out = zlib.decompressobj(31), 0, []
         while not unzip.eof:
-            if at >= len(data):
-                raise ValueError("archive ends within a record")
-            out.append(unzip.decompress(data[at : at + _CHUNK]))
-            at = min(at + _CHUNK, len(data))
-        at -= len(unzip.unused_data)
+            data = data or next(chunks, b"")
+            if not data:
+                if used:
+                    raise ValueError("archive ends within a record")
+                return
+            out.append(unzip.decompress(data))
+            used += len(data)
+            data = b""
+        data = unzip.unused_data
+        used -= len(data)
         if content := b"".join(out):
-            yield start, at - start, content
+            yield at, used, content
+        at += used
 
 
 def _write_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    """Packs of records: members with the NUL byte between them that each ends in."""
+    pack: list[bytes] = []
+    size = 0
+
+    def row() -> pa.RecordBatch:
+        nonlocal size
+        joined = pa.array([b"\0".join(pack)], pa.binary())
+        pack.clear()
+        size = 0
+        return pa.RecordBatch.from_arrays([joined], ["pack"])
+
+    for batch in sliced(batches):
         page_id, url, html, digest, first = (batch.column(k) for k in range(5))
         rows = zip(page_id.to_pylist(), url.to_pylist(), html.cast(pa.binary()).to_pylist(), digest.to_pylist(), first.to_pylist(), strict=True)
-        packed = [_packed(record(p, u, h, d, None if f is None or f == p else f)) for p, u, h, d, f in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["member"])
+        for p, u, h, d, f in rows:
+            member = _packed(record(p, u, h, d, None if f is None or f == p else f))
+            if pack and size + len(member) >= PACK_BYTES:
+                yield row()
+            pack.append(member)
+            size += len(member) + 1
+    if pack:
+        yield row()
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
@@ -150,12 +182,14 @@ def write_archives(pages: DataFrame, path: str) -> None:
     equal = (
         rows.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     )
+    # few payloads repeat: pages are not shuffled to meet them
+    equal = broadcast_if_small(written(equal, "warc-equal"))
     joined = rows.join(equal, "digest", "left").select("page_id", "url", "html", "digest", "first")
     (
-        joined.mapInArrow(_write_records, "member binary")
-        .select(F.col("member").cast("string"))
+        joined.mapInArrow(_write_records, "pack binary")
+        .select(F.col("pack").cast("string"))
         .write.option("lineSep", "\0")
-        .option("maxRecordsPerFile", FILE_ROWS)
+        .option("maxRecordsPerFile", FILE_PACKS)
         .text(path)
     )
 
@@ -163,19 +197,43 @@ def write_archives(pages: DataFrame, path: str) -> None:
 # -- index ---------------------------------------------------------------------------
 
 
+_CAPTURE_ARROW = pa.schema([("key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+_CAPTURE = "key string, file string, offset long, length long"
+
+
+def _places(file: str, chunks: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """Key and place of every record of an archive file."""
+    rows: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        arrays = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CAPTURE_ARROW, strict=True)]
+        rows.clear()
+        return pa.RecordBatch.from_arrays(arrays, schema=_CAPTURE_ARROW)
+
+    for offset, length, data in members(chunks):
+        headers, _ = parse(data)
+        page = headers.get("x-page-id")
+        rows.append((capture_key(headers.get("warc-target-uri"), None if page is None else int(page)), file, offset, length))
+        if len(rows) == 5_000:
+            yield batch()
+    if rows:
+        yield batch()
+
+
 def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Key and place of every record of whole archive files."""
-    names = ["key", "file", "offset", "length"]
+    """Of archive files that Arrow opens (path)."""
+    for batch in batches:
+        for file in batch.column(0).to_pylist():
+            with _open(file, stream=True) as source:
+                yield from _places(file, iter(lambda: source.read(_CHUNK), b""))
+
+
+def _captures_of_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of archive files that Spark's reader hands over whole (path, content)."""
     for batch in batches:
         for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows = []
-            for offset, length, data in members(memoryview(content.as_buffer())):
-                headers, _ = parse(data)
-                page = headers.get("x-page-id")
-                rows.append((capture_key(headers.get("warc-target-uri"), None if page is None else int(page)), file, offset, length))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names) if rows else pa.RecordBatch.from_pylist(
-                [], pa.schema([("key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-            )
+            data = memoryview(content.as_buffer())
+            yield from _places(file, (bytes(data[k : k + _CHUNK]) for k in range(0, len(data), _CHUNK)))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +266,9 @@ _BLOCK = "range string, block long, first_key string, last_key string, lines bin
 def build_index(spark: SparkSession, archives: str) -> DataFrame:
     """The index of all archive files in a folder: a table of blocks, whose column
     first_key is its directory."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives).select("path", "content")
-    captures = written(files.mapInArrow(_captures, "key string, file string, offset long, length long"), "warc-captures")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives)
+    found = files.select("path").mapInArrow(_captures, _CAPTURE) if _opens(archives) else files.select("path", "content").mapInArrow(_captures_of_contents, _CAPTURE)
+    captures = written(found, "warc-captures")
     ranges = max(1, -(-captures.count() // RANGE_ROWS))
     ordered = captures.repartitionByRange(ranges, "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
     return written(ordered.mapInArrow(_blocks, _BLOCK), "warc-index")
@@ -291,8 +350,6 @@ def _described(data: bytes) -> dict:
 
 def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Read each place (file, offset, length), opening a file once for places in order."""
-    from pyarrow import fs
-
     name, source = None, None
     for batch in batches:
         rows = []
@@ -300,8 +357,7 @@ def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if file != name:
                 if source is not None:
                     source.close()
-                store, path = fs.FileSystem.from_uri(file)
-                name, source = file, store.open_input_file(unquote(path))
+                name, source = file, _open(file)
             rows.append(_described(source.read_at(length, offset)))
         yield pa.RecordBatch.from_pylist(rows, _READ_ARROW)
 
@@ -311,6 +367,14 @@ def _read_slices(key: tuple, places: pd.DataFrame, files: pd.DataFrame) -> pd.Da
     return pd.DataFrame(rows, columns=_READ_ARROW.names).astype({k: "Int64" for k in ("page_id", "payload_bytes", "refers_to")})
 
 
+def _open(file: str, stream: bool = False):
+    """A file by its URI, to be read at places, or in order."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(file)
+    return (store.open_input_stream if stream else store.open_input_file)(unquote(path))
+
+
 def _opens(uri: str) -> bool:
     """Whether Arrow reads this kind of store; else whole files come through Spark."""
     from pyarrow import fs
@@ -327,7 +391,9 @@ def read_records(places: DataFrame, archives: str) -> DataFrame:
     spark = places.sparkSession
     at = places.select("file", "offset", "length")
     if _opens(archives):
-        ordered = at.repartition("file").sortWithinPartitions("file", "offset")
+        size = at.agg(F.sum("length")).first()[0] or 0
+        tasks = max(spark.sparkContext.defaultParallelism, -(-size // READ_BYTES))
+        ordered = at.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
         return ordered.mapInArrow(_read_ranges, _READ)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives)
     return (

@@ -169,3 +169,27 @@ def test_all_parts_of_an_article_stay(spark):
             rows.append((k, url, f"<body><div class=top>Welcome to all</div>{form.format(*parts)}<div class=end>All rights kept</div>", "", ""))
     got = {r["url"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert got == want
+
+
+def test_archives_are_cut_by_bytes_and_read_in_chunks(spark, monkeypatch):
+    import os
+
+    rows = [(k, f"http://x.org/{k}", os.urandom(2000).hex() * (1 + 40 * (k % 50 == 0)), "", "") for k in range(300)] + [(300, "http://x.org/300", None, "", "")]
+    path = shared_path(spark, "warc-test")
+    monkeypatch.setattr(warc, "FILE_PACKS", 1)
+    warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), path)
+    files = glob.glob(f"{path.removeprefix('file:')}/part-*")
+    data = [open(f, "rb").read() for f in files]
+    assert sum(gzip.decompress(d).count(b"WARC/1.1\r\n") for d in data) == 301
+    assert len(files) == 1 or max(map(len, data)) <= warc.PACK_BYTES + 1
+    for d in data:
+        whole = list(warc.members(iter([d])))
+        for size in (1, 7, 1000, len(d)):
+            assert list(warc.members(d[k : k + size] for k in range(0, len(d), size))) == whole
+        with pytest.raises(ValueError):
+            list(warc.members(iter([d[:-5]])))
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    assert sorted(files.mapInArrow(warc._captures_of_contents, warc._CAPTURE).collect()) == sorted(
+        files.select("path").mapInArrow(warc._captures, warc._CAPTURE).collect()
+    )
+    assert warc.build_index(spark, path).count() >= 2
