@@ -193,3 +193,71 @@ def test_archives_are_cut_by_bytes_and_read_in_chunks(spark, monkeypatch):
         files.select("path").mapInArrow(warc._captures, warc._CAPTURE).collect()
     )
     assert warc.build_index(spark, path).count() >= 2
+
+
+def valid_tokens(pages):
+    """Template tokens by the definition: equal vectors, enough pages and tokens, places in one order, no crossing."""
+    orders = [html_text.blocks_of(p)[1] for p in pages]
+    vectors = {t: tuple(o.count(t) for o in orders) for o in orders for t in o}
+    classes = {}
+    for t, v in vectors.items():
+        classes.setdefault(v, set()).add(t)
+    on = lambda v: sum(n > 0 for n in v)
+    classes = {v: c for v, c in classes.items() if on(v) >= max(html_text.MIN_PAGES, html_text.SUPPORT * len(pages)) and len(c) >= html_text.MIN_TOKENS}
+    good = set()
+    for v, c in classes.items():
+        places = {t: [] for t in c}
+        for o in orders:
+            if seen := [t for t in o if t in c]:
+                kept = set(seen[: len(c)]) == c and seen == seen[: len(c)] * (len(seen) // len(c))
+                x = [k for k, t in enumerate(o) if t in c]
+                for w, d in classes.items():
+                    y = [k for k, t in enumerate(o) if t in d]
+                    if on(v) < on(w) and max(v) == max(w) == 1 and y:
+                        inside = lambda a, b: not any(a[0] < k < a[-1] for k in b)
+                        kept &= inside(x, y) or inside(y, x)
+                for t in c:
+                    places[t].append(seen.index(t) if kept else None)
+        same = {t for t, p in places.items() if max(p.count(k) if k is not None else 0 for k in p) >= (1 - html_text.NOISE) * len(p)}
+        good |= same if len(same) >= html_text.MIN_TOKENS else set()
+    return good
+
+
+def test_classes_keep_one_order_and_nest(spark):
+    """Against the definition, on pages with and without article elements."""
+    pages = {"plain.org": [], "article.org": []}
+    for k in range(12):
+        swapped = ["<p>Left words</p>", "<p>Right words</p>"][:: 1 if k % 2 else -1]
+        story = f"<h1>Title {k}</h1><p>Story {k} begins here</p><p>and ends with {k * 7}</p>"
+        rows = "".join(f"<ul><li class=x>row <i>{k}.{j}</i></li></ul>" for j in range(k % 4))
+        some = "<section class=a><p>Crossing one</p></section>" if k < 5 else ""
+        more = "<section class=b><p>Crossing two</p></section>" if k < 5 else ""
+        for host, (start, end) in {"plain.org": ("<div class=body>", "</div>"), "article.org": ("<article>", "</article>")}.items():
+            pages[host].append(f"<body><div class=top>Welcome to all</div>{some}{start}{''.join(swapped)}{story}{rows}{end}{more}<div class=end>All rights kept</div></body>")
+    df = spark.createDataFrame([(h, p) for h, ps in pages.items() for p in ps], "host string, html string")
+    got = {r["host"]: r for r in html_text.templates(df).collect()}
+    for host, some in pages.items():
+        want = valid_tokens(some)
+        assert set(got[host]["tokens"]) == want
+        texts = {b.text for p in some for b in html_text.blocks_of(p)[0] if b.token in want}
+        assert {"Welcome to all", "All rights kept"} <= texts and not texts & {"Crossing one", "Story 1 begins here"}
+        # two texts that change places are no class of one order
+        assert not texts & {"Left words", "Right words"}
+
+
+def test_lists_of_cards_and_standing_lines_are_no_article(spark):
+    rows, want = [], {}
+    for k in range(12):
+        story = f"<article class=post><header><h1>Title {k}</h1><p>by no one</header><p class=share-price>Shares rose {k}</p><p>{'The long story and how it goes on ' * 20}{k}</p><p>Our paper is free for all</p></article>"
+        cards = f"<section class=more><article class=card><h4>See {k + 1}</h4></article></section>"
+        rows.append((k, f"http://one.org/{k}", f"<body><div class=top>Welcome to all</div>{story}{cards}<div class=end>All rights kept</div></body>", "", ""))
+        want[k] = f"Title {k}\nShares rose {k}\n{'The long story and how it goes on ' * 20}{k}"
+    assert {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()} == want
+
+
+def test_hosts_dealt_out_in_parts_give_the_same(spark, monkeypatch):
+    df = html_text.table(spark, SMALL, "pages")
+    want = sorted(map(str, html_text.extract(df).collect()))
+    monkeypatch.setattr(html_text, "MAX_TOKENS", 0)
+    monkeypatch.setattr(html_text, "PARTS", 3)
+    assert sorted(map(str, html_text.extract(df).collect())) == want
