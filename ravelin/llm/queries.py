@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_jaccard_join": "jaccard",
     "op10_html_extraction": "html_text",
+    "op11_importance_resampling": "importance",
     "op13_url_filters": "url_filter",
     "op2_lm_scoring": "suffix_tree_lm",
     "op3_exact_dedup": "exact_dedup",
