@@ -11,6 +11,7 @@ MODULES = {
     "op1_jaccard_join": "jaccard",
     "op10_html_extraction": "html_text",
     "op11_importance_resampling": "importance",
+    "op12_token_alignment": "token_align",
     "op13_url_filters": "url_filter",
     "op2_lm_scoring": "suffix_tree_lm",
     "op3_exact_dedup": "exact_dedup",
