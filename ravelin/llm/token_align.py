@@ -22,6 +22,7 @@ Columns other than id and text are not read.  An empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -43,6 +44,9 @@ LISTED = 1 << 12
 #: Pairs whose counts are broadcast at most, some 50 bytes each.
 MAX_PAIRS = 1_000_000
 
+# Fixed value: how byte-level tokenizers cut text before they merge.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _CUT = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 
 
@@ -74,16 +78,39 @@ class ByteSide:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            self.plan = json.load(file)
         to_byte = byte_of_character()
         vocabulary = self.model.get_vocab()
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, k in vocabulary.items():
             if all(c in to_byte for c in token):
                 self.bytes[k] = bytes(to_byte[c] for c in token)
+        self.quick = self._by_ranks()
         self.cuttable = True
 
+    def _by_ranks(self):
+        """The same encoding by ``tiktoken``, which takes a fifth of the time, where ranks say all that the file says: merges
+        come in the order of their ids, every other token is a byte, and text is cut by the usual pattern and not changed before."""
+        import tiktoken
+
+        model, cut = self.plan["model"], self.plan.get("pre_tokenizer") or {}
+        special = {t["id"] for t in self.plan.get("added_tokens") or []}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        made = [model["vocab"].get("".join(m), -1) for m in merges]
+        single = [k for token, k in model["vocab"].items() if len(token) == 1 and k not in special]
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not self.plan.get("normalizer")
+        ordered = all(x < y for x, y in zip(made, made[1:], strict=False)) and len(single) == 256 and (not made or max(single) < made[0])
+        kept = set(made) | set(single)
+        if not (plain and ordered and kept | special == set(range(len(self.bytes)))) or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+            return None
+        ranks = {self.bytes[k]: k for k in kept}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def encode(self, pieces: list[str], first: list[bool]) -> list[list[int]]:
         given = [" " + p if f else p for p, f in zip(pieces, first, strict=True)]
+        if self.quick is not None:
+            return [self.quick.encode_ordinary(p) for p in given]
         return [e.ids for e in self.model.encode_batch_fast(given, add_special_tokens=False)]
 
 

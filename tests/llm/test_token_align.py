@@ -125,6 +125,19 @@ def test_pieces_are_encoded_alike():
     assert "".join(chr(c) for c in sorted(map(ord, ta.byte_of_character()))[:3]) == '!"#' and len(ta.byte_of_character()) == 256
 
 
+def test_ranks_give_the_files_own_encoding():
+    """Of odd characters, white space, contractions and long words, and of the tables' texts."""
+    import pyarrow.parquet as pq
+
+    a, _ = ta.sides(ta.A_FILE, ta.B_FILE)
+    assert a.quick is not None
+    rng = random.Random(5)
+    some = "".join(chr(rng.randrange(1, 0xD800)) for _ in range(6000)) + "".join(chr(rng.randrange(0xE000, 0x11000)) for _ in range(2000))
+    texts = [t for t in ODD if t] + [some, *("".join(rng.choices("ab '\n\t\x0b\x1c\x85\xa0\u3000.\u2028sé1日😀'tre", k=60)) for _ in range(400))]
+    texts += [t for t in pq.read_table(f"{SMALL}/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    assert a.encode(texts, [True] * len(texts)) == [a.model.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
 def test_frequent_pairs(spark):
     counts = spark.createDataFrame([(k, n) for k, n in enumerate([1, 1, 1, 2, 3, 4, 9])], "pair long, n long")
     assert [ta.frequent_from(counts, m) for m in (0, 1, 2, 3, 4, 6, 7)] == [16, 8, 4, 4, 2, 2, 1]
