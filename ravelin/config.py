@@ -24,6 +24,8 @@ class Config:
     separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")
     vocabulary: int = 500_000
     batch: int = 10
+    #: Buckets of a chunk store: one should hold some hundred megabytes, at most what is worth rewriting for one file.
+    buckets: int = 64
     dim: int = 64
     prefetch: int = 20
     top_k: int = 5

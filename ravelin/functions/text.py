@@ -5,12 +5,19 @@ Lengths and substrings count code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ravelin.config import CHUNK_NAMESPACE, DEFAULT, STOPWORDS
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it occurs there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$", "")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ravelin.config import DEFAULT, Config
-from ravelin.functions.text import chunk_id, trimmed
+from ravelin.functions.text import chunk_id, let, trimmed
 
 
 def sections(docs: DataFrame) -> DataFrame:
@@ -50,58 +51,76 @@ def sections(docs: DataFrame) -> DataFrame:
     )
 
 
-def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at the coarsest separator that does, each
-    starting with up to ``overlap`` characters of whole units of the one before."""
-    for depth, mark in enumerate(separators):
-        if mark in text:
-            break
-    else:
-        return [text[i : i + size].strip() for i in range(0, len(text), size) if text[i : i + size].strip()]
-    head, *tail = text.split(mark)
-    units = [u for u in (head, *(mark + t for t in tail)) if u]
-    pieces: list[str] = []
-    window: list[str] = []
-    held = 0
-
-    def emit() -> None:
-        if piece := "".join(window).strip():
-            pieces.append(piece)
-
-    for unit in units:
-        if len(unit) >= size:
-            emit()
-            window.clear()
-            held = 0
-            pieces += split_text(unit, size, overlap, separators[depth + 1 :])
-            continue
-        if held + len(unit) > size:
-            emit()
-            while window and (held > overlap or held + len(unit) > size):
-                held -= len(window.pop(0))
-        window.append(unit)
-        held += len(unit)
-    emit()
-    return pieces
+def _packed(units: Column, size: int, overlap: int) -> Column:
+    """Units of text as parts (t, open): neighbours joined up to ``size`` characters, each part starting with up to ``overlap``
+    characters of whole units of the one before; a unit of ``size`` or more stands alone and is open to a finer cut.
 
+    A fold over the units' lengths: ``start`` is the first unit of the part that grows, ``held`` its length.
+    """
+    span = "array<struct<start: int, end: int, open: boolean>>"
 
-def chunks(parts: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(source, title, section_ord, section_title, chunk_index, content) of ``sections``' rows.
+    def ranges(lengths: Column) -> Column:
+        def spanned(start: Column, end: Column, is_open: bool) -> Column:
+            return F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(is_open).alias("open")))
+
+        def state(out: Column, start: Column, held: Column) -> Column:
+            return F.struct(out.alias("out"), start.alias("start"), held.alias("held"))
+
+        def closed(s: Column, i: Column) -> Column:
+            return F.when(s["start"] < i, F.concat(s["out"], spanned(s["start"], i, False))).otherwise(s["out"])
+
+        def step(s: Column, i: Column) -> Column:
+            n = F.element_at(lengths, i + 1)
+            left = F.aggregate(  # units leave the part's front until the next one fits
+                F.slice(lengths, s["start"] + 1, i - s["start"]),
+                F.struct(s["start"].alias("start"), s["held"].alias("held")),
+                lambda w, m: F.when(
+                    (w["held"] > overlap) | (w["held"] + n > size), F.struct((w["start"] + 1).alias("start"), (w["held"] - m).alias("held"))
+                ).otherwise(w),
+            )
+            return (
+                F.when(n >= size, state(F.concat(closed(s, i), spanned(i, i + 1, True)), i + 1, F.lit(0)))
+                .when(s["held"] + n > size, let(left, lambda w: state(closed(s, i), w["start"], w["held"] + n)))
+                .otherwise(state(s["out"], s["start"], s["held"] + n))
+            )
+
+        begin = state(F.array().cast(span), F.lit(0), F.lit(0))
+        return F.aggregate(F.sequence(F.lit(0), F.size(lengths) - 1), begin, step, lambda s: closed(s, F.size(lengths)))
+
+    joined = lambda r: F.array_join(F.slice(units, r["start"] + 1, r["end"] - r["start"]), "")
+    return let(F.transform(units, F.length), lambda n: F.transform(ranges(n), lambda r: F.struct(joined(r).alias("t"), r["open"].alias("open"))))
 
-    A section of up to ``max_chunk`` characters is one chunk and never leaves the JVM;
-    longer ones are split.  Every chunk is led by its section's path.
+
+def split(text: Column, config: Config = DEFAULT) -> Column:
+    """Trimmed pieces of at most ``max_chunk`` characters of a text that is longer than that, in order.
+
+    The text is cut at the first separator that occurs in it; what is still too long is cut at the next one that
+    occurs there, and by length in the end.  All in the row, without Python and without a shuffle.
     """
-    size, overlap, separators = config.max_chunk, config.overlap, config.separators
+    size = config.max_chunk
+
+    def finer(p: Column, mark: str) -> Column:
+        pieces = F.split(p["t"], re.escape(mark), -1)
+        units = F.filter(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(mark), x))), lambda u: u != "")
+        return F.when(p["open"] & F.contains(p["t"], F.lit(mark)), let(units, lambda u: _packed(u, size, config.overlap))).otherwise(F.array(p))
+
+    def level(parts: Column, mark: str) -> Column:
+        return F.flatten(F.transform(parts, lambda p: finer(p, mark)))
+
+    parts = reduce(level, config.separators, F.array(F.struct(text.alias("t"), F.lit(True).alias("open"))))
+    cut = lambda t: F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / size).cast("int")), lambda k: F.substr(t, k * size + 1, F.lit(size)))
+    pieces = F.flatten(F.transform(parts, lambda p: F.when(p["open"] & (F.length(p["t"]) > 0), cut(p["t"])).otherwise(F.array(p["t"]))))
+    return F.filter(F.transform(pieces, trimmed), lambda x: x != "")
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap, separators))
 
-    short = F.length("content") <= size
-    columns = ["source", "title", "section_ord", "heading_path"]
-    one = parts.filter(short).select(*columns, F.lit(0).alias("chunk_index"), "content")
-    many = parts.filter(~short).select(*columns, F.posexplode(split("content")).alias("chunk_index", "content"))
-    return one.unionByName(many).select(
+def chunks(parts: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(source, title, section_ord, section_title, chunk_index, content) of ``sections``' rows.
+
+    A section of up to ``max_chunk`` characters is one chunk; longer ones are split.  Every
+    chunk is led by its section's path.
+    """
+    pieces = F.when(F.length("content") <= config.max_chunk, F.array("content")).otherwise(split(F.col("content"), config))
+    return parts.select("source", "title", "section_ord", "heading_path", F.posexplode(pieces).alias("chunk_index", "content")).select(
         "source",
         "title",
         "section_ord",

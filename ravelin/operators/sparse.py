@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.config import DEFAULT
-from ravelin.functions.text import term_index, tokens
+from ravelin.functions.text import let, term_index, tokens
 
 
 #: Terms of queries that are broadcast at most (some 40 bytes each).
@@ -63,16 +63,32 @@ def stored_postings(chunks: DataFrame, key: str = "id") -> DataFrame:
     return entries.groupBy(key, "ix").agg(F.round(F.sum("tf"), 12).alias("w"))
 
 
-def encoded(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, sparse): parallel arrays of term numbers and weights; empty for a text without terms."""
-    rows = terms(docs, key, text).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(term_index(F.col("term")).alias("ix"), "term", "tf"))).alias("e")
-    )
-    sparse = F.struct(F.transform("e", lambda x: x["ix"]).alias("indices"), F.transform("e", lambda x: x["tf"]).alias("values"))
+def encoded_text(text: F.Column, vocabulary: int = DEFAULT.vocabulary) -> F.Column:
+    """(sparse, terms): a text's term numbers, ascending, with their shares of its terms, and how many terms it has.
+
+    Made in the row: the numbers of all tokens are sorted, and a number's share is the length of its run.
+    Terms that share a number add up.
+    """
+
+    def runs(ix: F.Column) -> F.Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(ix)), lambda i: (i == 1) | (F.get(ix, i - 1) != F.get(ix, i - 2)))
+        return let(
+            starts,
+            lambda s: F.struct(
+                F.transform(s, lambda i: F.get(ix, i - 1)).alias("indices"),
+                F.transform(s, lambda i, k: F.round((F.coalesce(F.get(s, k + 1), F.size(ix) + 1) - i) / F.size(ix), 12)).alias("values"),
+            ),
+        )
+
+    numbers = F.array_sort(F.transform(tokens(text), lambda t: term_index(t, vocabulary)))
     empty = F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values"))
-    return docs.select(key).join(rows.select(key, sparse.alias("sparse")), key, "left").select(
-        key, F.coalesce("sparse", empty).alias("sparse")
-    )
+    vector = lambda ix: F.when(F.size(ix) == 0, empty).otherwise(runs(ix))
+    return let(numbers, lambda ix: F.struct(vector(ix).alias("sparse"), F.size(ix).alias("terms")))
+
+
+def encoded(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, sparse) of every row, without a shuffle."""
+    return docs.select(key, encoded_text(F.col(text))["sparse"].alias("sparse"))
 
 
 def top_k(scores: DataFrame, group: str, key: str, k: int) -> DataFrame:

@@ -12,7 +12,7 @@ from ravelin import schemas
 from ravelin.config import DEFAULT
 from ravelin.functions.text import chunk_id, title_of, tokens
 from ravelin.functions.vectors import norm
-from ravelin.operators import chunking, dense, fusion, ingest, prompt, sparse, store
+from ravelin.operators import bm25, chunking, dense, fusion, ingest, ivf, jsonstore, postings, prompt, sparse, store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    """documents as files (source, content)."""
+    """documents as files (source, content), with their numbers."""
     return table(spark, d, "documents").select(
-        F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("source"), F.col("text").alias("content")
+        F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("source"), F.col("text").alias("content"), "doc_id"
     )
 
 
@@ -87,29 +87,57 @@ def sparse_topk(spark: SparkSession, d: str, k: int = DEFAULT.prefetch) -> DataF
 
 
 def stored_topk(spark: SparkSession, d: str, k: int = DEFAULT.prefetch) -> DataFrame:
-    """``sparse_topk`` over an index in a store, as an ingest leaves it: a row a document with its sparse vector."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    index = store.SnapshotStore(spark, f"{_shared(spark)}/index-{uuid.uuid4().hex}", "doc_id long, sparse struct<indices: array<int>, values: array<double>>")
-    index.write(sparse.encoded(docs, "doc_id"))
-    asked = sparse.postings(questions(spark, d), "qid", "question")
-    return sparse.keyword_search(sparse.stored_postings(index.read(), "doc_id"), asked, "qid", "doc_id", k)
+    """``sparse_topk`` over an index of postings in blocks, of which those of other terms and of hopeless texts are not read."""
+    found = postings.search(built_index(spark, d, f"{_shared(spark)}/index-{uuid.uuid4().hex}"), asked_terms(spark, d), k)
+    return found.withColumnRenamed("id", "doc_id")
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that all executors share; where the session names none, one of the driver's own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
+def asked_terms(spark: SparkSession, d: str) -> DataFrame:
+    return sparse.postings(questions(spark, d), "qid", "question")
 
 
-def ingested(spark: SparkSession, d: str) -> DataFrame:
-    """Sources in a store after two ingests, and how many of their chunks are stale: the first has an older listing,
-    which lacks every tenth file and has others' older texts, the second the files as they are."""
+def built_index(spark: SparkSession, d: str, root: str) -> store.SnapshotStore:
+    """The documents' postings in blocks."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = postings.index_store(spark, root, "bigint")
+    postings.build(index, sparse.encoded(docs, "id"))
+    return index
+
+
+def bm25_topk(spark: SparkSession, d: str, k: int = DEFAULT.prefetch) -> DataFrame:
+    """Chunks by BM25 after the two ingests of ``ingested``; document frequencies follow the second one by what it changes."""
+    chunks, sums = _two_ingests(spark, d)
+    texts = chunks.read().select("id", "sparse", "terms")
+    return bm25.search(texts, sums.read(), asked_terms(spark, d), k)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that all executors share; only on one machine, where the session names none, one of the driver's own."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return path.rstrip("/")
+
+
+def _two_ingests(spark: SparkSession, d: str) -> tuple[store.SnapshotStore, bm25.TermSums]:
+    """A store after two ingests: the first has an older listing, which lacks every tenth file and
+    has others' older texts, the second the files as they are."""
     root = f"{_shared(spark)}/ingest-{uuid.uuid4().hex}"
-    chunks = store.SnapshotStore(spark, f"{root}/chunks", schemas.STORED_CHUNK)
+    chunks = store.SnapshotStore(spark, f"{root}/chunks", schemas.STORED_CHUNK, "metadata.source", DEFAULT.buckets)
     state = store.SnapshotStore(spark, f"{root}/state", schemas.FILE_STATE)
     docs = table(spark, d, "documents").filter(F.col("doc_id") % 10 != 0)
     older = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("# old"), "text")).otherwise(F.col("text"))
-    ingest.ingest(docs.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("source"), older.alias("content")), chunks, state)
-    ingest.ingest(files(spark, d), chunks, state)
+    sums = bm25.TermSums(spark, f"{root}/sums")
+    ingest.ingest(docs.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("source"), older.alias("content")), chunks, state, sums=sums)
+    ingest.ingest(files(spark, d), chunks, state, sums=sums)
+    return chunks, sums
+
+
+def ingested(spark: SparkSession, d: str) -> DataFrame:
+    """Sources in a store after two ingests, and how many of their chunks are stale."""
+    chunks, _ = _two_ingests(spark, d)
     stale = F.col("metadata.title").startswith("old").cast("long")
     return chunks.read().groupBy(F.col("metadata.source").alias("source")).agg(F.sum(stale).alias("stale"))
 
@@ -133,6 +161,45 @@ def dense_topk(spark: SparkSession, d: str, k: int = DEFAULT.prefetch, least: fl
     return found.withColumnRenamed("id", "doc_id")
 
 
+def built_lists(spark: SparkSession, d: str, root: str) -> ivf.InvertedLists:
+    """The vectors in as many inverted lists as the square root of their number."""
+    vectors = _vectors(spark, d)[0]
+    lists = ivf.InvertedLists(spark, root, max(1, round(vectors.count() ** 0.5)), "bigint")
+    lists.build(vectors)
+    return lists
+
+
+def ann_topk(spark: SparkSession, d: str, k: int = DEFAULT.prefetch) -> DataFrame:
+    """``dense_topk`` by inverted lists: scores are exact, some neighbours may be missed."""
+    lists = built_lists(spark, d, f"{_shared(spark)}/lists-{uuid.uuid4().hex}")
+    return lists.search(_vectors(spark, d)[1], k).withColumnRenamed("id", "doc_id")
+
+
+def stored_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search of one store that holds both vectors of each document, under its content's id."""
+    root = f"{_shared(spark)}/hybrid-{uuid.uuid4().hex}"
+    docs = files(spark, d).select("doc_id", "source", F.coalesce("content", F.lit("")).alias("content"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = docs.join(v, "doc_id", "left").select(
+        chunk_id(F.col("source"), F.col("content")).alias("id"), "content", "embedding", sparse.encoded_text(F.col("content")).alias("e"), "source"
+    )
+    chunks = store.SnapshotStore(spark, f"{root}/chunks", schemas.STORED_CHUNK, "metadata.source", DEFAULT.buckets)
+    none = F.lit(None).cast("string")
+    chunks.write(
+        rows.select(
+            "id", "content", "embedding", "e.sparse", "e.terms",
+            F.struct("source", none.alias("title"), none.alias("section_title"), F.lit(0).alias("chunk_index")).alias("metadata"),
+        )
+    )
+    index = postings.index_store(spark, f"{root}/index")
+    postings.build(index, chunks.read().select("id", "sparse"))
+    asked = _vectors(spark, d)[1]
+    by_vector = dense.vector_search(chunks.read().select("id", "embedding"), asked, skip_self=False)
+    by_words = postings.search(index, asked_terms(spark, d))
+    named = lambda hits: hits.withColumnRenamed("id", "doc_id")
+    return fusion.best_fused(fusion.fused(named(by_vector), named(by_words)))
+
+
 def cosine_above(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours whose cosine exceeds a bound that many have, the question's own vector among them."""
     found = dense.vector_search(*_vectors(spark, d), k=DEFAULT.top_k, least=0.25, skip_self=False)
@@ -182,12 +249,11 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_chunks(spark: SparkSession, d: str) -> DataFrame:
-    short = chunking.sections(markdown(spark, d)).filter(F.length("content") <= DEFAULT.max_chunk)
-    return chunking.chunks(short).select("source", "section_title", "chunk_index", "content")
+    return _chunks(spark, d).select("source", "section_title", "chunk_index", "content")
 
 
 def all_section_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of all sections: unlike ``section_chunks``, which SQL can say, of long ones too."""
+    """``section_chunks`` with the sections' numbers."""
     return _chunks(spark, d).select("source", "section_title", "section_ord", "chunk_index", "content")
 
 
@@ -203,7 +269,7 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 def sub_split(spark: SparkSession, d: str) -> DataFrame:
     docs = files(spark, d).select("source", title_of(F.col("content"), F.col("source")).alias("title"), "content")
     made = chunking.chunks(chunking.sections(docs))
-    return made.select("source", "section_title", "chunk_index", F.length("content").cast("long").alias("n_chars"))
+    return made.select("source", "section_title", "section_ord", "chunk_index", F.length("content").cast("long").alias("n_chars"), "content")
 
 
 # -- store and ingest ----------------------------------------------------------------
@@ -257,28 +323,37 @@ def dedupe_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return store.last_wins(said, "id", ["conv_id", "turn"])
 
 
-def chunk_count(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunks(chunking.sections(markdown(spark, d)).filter(F.length("content") <= DEFAULT.max_chunk)).agg(
-        F.count("*").alias("chunks")
+def json_store_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Messages by text in a JSON store, merged in two halves: a text keeps the place where it was first said, with who said it last."""
+    said = table(spark, d, "conversations").select(
+        F.md5(F.coalesce("text", F.lit(""))).alias("id"), "conv_id", "turn", "role", (F.col("conv_id") * 1000 + F.col("turn")).alias("position")
     )
+    rows = jsonstore.JsonStore(spark, f"{_shared(spark)}/json-{uuid.uuid4().hex}", "id string, conv_id long, turn long, role string")
+    rows.upsert(said.filter("conv_id % 2 = 0"))
+    rows.upsert(said.filter("conv_id % 2 = 1"))
+    return rows.positioned().select("id", "position", "conv_id", "turn", "role")
 
 
-def all_chunk_count(spark: SparkSession, d: str) -> DataFrame:
+def chunk_count(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).agg(F.count("*").alias("chunks"))
 
 
-def changed_chunk_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """``ingest_metrics`` with the chunks that an ingest makes: of the changed files only, repeated ones too."""
+def all_chunk_count(spark: SparkSession, d: str) -> DataFrame:
+    """``chunk_count`` under its older name."""
+    return chunk_count(spark, d)
+
+
+def ingest_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """What an ingest of the files over the earlier listing does, with the chunks that it makes: of the changed files only, repeated ones too."""
     current, old = ingest.hashed(files(spark, d)), previous(spark, d)
     changed = files(spark, d).join(ingest.todo(current, old), "source", "left_semi")
     docs = changed.select("source", title_of(F.col("content"), F.col("source")).alias("title"), "content")
     return ingest.metrics(current, old, chunking.chunks(chunking.sections(docs)))
 
 
-def ingest_metrics(spark: SparkSession, d: str) -> DataFrame:
-    current = ingest.hashed(files(spark, d))
-    made = files(spark, d).filter(F.length("content") > 0)
-    return ingest.metrics(current, previous(spark, d), made)
+def changed_chunk_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """``ingest_metrics`` under its older name."""
+    return ingest_metrics(spark, d)
 
 
 # -- prompts -------------------------------------------------------------------------
@@ -319,16 +394,12 @@ def not_found_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embed_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of each file's short sections in batches of ten, and their sizes."""
-    return _batches(chunking.chunks(chunking.sections(markdown(spark, d)).filter(F.length("content") <= DEFAULT.max_chunk)))
-
-
-def all_embed_batches(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of each file in batches of ten, and their sizes."""
-    return _batches(_chunks(spark, d))
-
-
-def _batches(made: DataFrame) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("source").orderBy("section_ord", "chunk_index"))
     batch = F.floor((n - 1) / DEFAULT.batch)
-    return made.select("source", batch.alias("batch_no")).groupBy("source", "batch_no").agg(F.count("*").alias("n"))
+    return _chunks(spark, d).select("source", batch.alias("batch_no")).groupBy("source", "batch_no").agg(F.count("*").alias("n"))
+
+
+def all_embed_batches(spark: SparkSession, d: str) -> DataFrame:
+    """``embed_batches`` under its older name."""
+    return embed_batches(spark, d)

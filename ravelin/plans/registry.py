@@ -16,8 +16,11 @@ QUERIES = (
     q.sparse_vectors,
     q.sparse_topk,
     q.stored_topk,
+    q.bm25_topk,
     q.vector_norms,
     q.dense_topk,
+    q.ann_topk,
+    q.stored_hybrid_topk,
     q.cosine_above,
     q.legacy_cosine_filter,
     q.rrf_fusion,
@@ -39,6 +42,7 @@ QUERIES = (
     q.ingested,
     q.delete_by_source,
     q.dedupe_last_wins,
+    q.json_store_merge,
     q.chunk_count,
     q.all_chunk_count,
     q.ingest_metrics,

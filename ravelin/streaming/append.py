@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.operators.ingest import chunked, stored
-from ravelin.operators.store import SnapshotStore, delete_sources
+from ravelin.operators.store import SnapshotStore
 from ravelin.sources.files import PATTERN, below
 
 
@@ -14,7 +14,8 @@ def append_new_files(spark: SparkSession, root: str, store: SnapshotStore, check
     """Chunk and store the files that have come since the last call, and return.
 
     A file stream tracks paths: it sees neither changes to a file nor deletions, which are the
-    snapshot diff's work.  A batch that is run again replaces what it wrote before.
+    snapshot diff's work.  A batch rewrites the buckets of its files only; one that is run again
+    replaces what it wrote before.
     """
     files = (
         spark.readStream.schema("value string")
@@ -27,8 +28,6 @@ def append_new_files(spark: SparkSession, root: str, store: SnapshotStore, check
     )
 
     def write(batch: DataFrame, _: int) -> None:
-        new = stored(chunked(batch), embed)
-        kept = delete_sources(store.read(), batch.select("source"), "metadata.source")
-        store.write(kept.unionByName(new))
+        store.replace_sources(batch.select("source"), stored(chunked(batch), embed))
 
     files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -30,13 +30,13 @@ def test_chunks_of_all_sections_against_brute_force(spark):
     from collections import Counter
 
     from ravelin.config import DEFAULT
-    from ravelin.operators import chunking
+    from tests.splitter import split_text
 
     q = registry.queries()
     want = []
     for r in q["sections"](spark, MIDDLE).collect():
         text, size = r["content"], DEFAULT.max_chunk
-        parts = [text] if len(text) <= size else chunking.split_text(text, size, DEFAULT.overlap, DEFAULT.separators)
+        parts = [text] if len(text) <= size else split_text(text, size, DEFAULT.overlap, DEFAULT.separators)
         want += [(r["source"], r["heading_path"], r["section_ord"], k, f"{r['heading_path']}\n\n{x}") for k, x in enumerate(parts)]
     assert any(w[3] > 0 for w in want)
     assert sorted(map(tuple, q["all_section_chunks"](spark, MIDDLE).collect())) == sorted(want)

