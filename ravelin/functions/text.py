@@ -6,6 +6,8 @@ Lengths and substrings count code points.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +20,10 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: Characters of a term that are hashed without a fold.
+SHORT = 12
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$", "")
@@ -27,21 +33,29 @@ def tokens(text: Column, keep_code: bool = False) -> Column:
     """Keyword tokens: lower case, code removed, ASCII letters and digits only, no stopwords or single characters."""
     plain = F.lower(F.coalesce(text, F.lit("")))
     if not keep_code:
-        plain = F.regexp_replace(F.regexp_replace(plain, r"```[\s\S]*?```", " "), "`[^`]+`", " ")
-    words = F.split(F.regexp_replace(plain, r"[^a-z0-9\s]", " "), r"\s+")
+        cut = F.regexp_replace(F.regexp_replace(plain, r"```[\s\S]*?```", " "), "`[^`]+`", " ")
+        plain = F.when(F.contains(plain, F.lit("`")), cut).otherwise(plain)
+    words = F.split(plain, "[^a-z0-9]+")
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))
 
 
 def term_index(term: Column, vocabulary: int = DEFAULT.vocabulary) -> Column:
-    """The term's number: a multiplicative hash in 32-bit arithmetic, folded to the vocabulary's size."""
+    """The term's number: a multiplicative hash in 32-bit arithmetic, folded to the vocabulary's size.
+
+    Terms of up to ``SHORT`` characters are summed up in one expression, each character times its power of 33; others are
+    folded character by character, which Spark does not compile.
+    """
     wrap = 1 << 32
-    hashed = F.aggregate(
-        F.split(term, ""),
-        F.lit(5381).cast("long"),
-        lambda h, c: (h * 33 + F.ascii(c)) % wrap,
-        lambda h: F.abs(F.when(h >= wrap // 2, h - wrap).otherwise(h)),
-    )
-    return (hashed % vocabulary).cast("int")
+    power = [pow(33, k, wrap) for k in range(SHORT + 1)]
+
+    def summed(padded: Column) -> Column:
+        terms = [F.ascii(F.substring(padded, SHORT - k, 1)) * F.lit(power[k]).cast("long") for k in range(SHORT)]
+        return reduce(add, terms) + F.lit(5381).cast("long") * F.element_at(F.array(*[F.lit(p).cast("long") for p in power]), F.length(term) + 1)
+
+    short = summed(F.lpad(term, SHORT, "\0")) % wrap
+    long = F.aggregate(F.split(term, ""), F.lit(5381).cast("long"), lambda h, c: (h * 33 + F.ascii(c)) % wrap)
+    hashed = F.when(F.length(term) <= SHORT, short).otherwise(long)
+    return (F.abs(F.when(hashed >= wrap // 2, hashed - wrap).otherwise(hashed)) % vocabulary).cast("int")
 
 
 def chunk_id(source: Column, content: Column) -> Column:

@@ -19,6 +19,7 @@ def one(spark, value, column):
 
 def test_tokens_and_numbers(spark):
     words = ["windowfold", "keeps", "late", "events", "sorted"]
+    long = ["x" * 12, "y" * 13, "z" * 40, "a", "0", "zz99zz99zz99"]
     assert one(spark, "windowFold keeps the late events sorted", tokens) == words
 
     def number(term):
@@ -27,7 +28,7 @@ def test_tokens_and_numbers(spark):
             h = (h * 33 + ord(c)) & 0xFFFFFFFF
         return abs(h - 2**32 if h >= 2**31 else h) % 500_000
 
-    assert {t: one(spark, t, term_index) for t in words} == {t: number(t) for t in words}
+    assert {t: one(spark, t, term_index) for t in words + long} == {t: number(t) for t in words + long}
     assert one(spark, "`code` kept ```x\ny``` a étion 漢字", tokens) == ["kept", "tion"]
     assert one(spark, None, tokens) == []
 
