@@ -22,7 +22,7 @@ from ravelin.operators.store import SnapshotStore
 RANGE_TEXTS = 512
 #: Ranges that a query scores before it skips any.
 FIRST = 4
-#: Blocks of a search, some 40 bytes each, up to which their list is broadcast to the postings; beyond, they are shuffled.
+#: Blocks of a search, some 40 bytes each, up to which their list is held by the driver and broadcast to the postings; beyond, they are shuffled.
 MAX_BLOCKS = 200_000
 #: Rows of queries' terms up to which these are broadcast.
 MAX_TERMS = 500_000
@@ -68,7 +68,9 @@ class Search:
         self.asked = asked if local is None else F.broadcast(local)
         wanted = (asked if local is None else local).select(index.bucket_of(F.col("ix")).alias("b")).distinct()
         self.index = index.read(sorted(r["b"] for r in wanted.collect()))  # as many numbers as buckets, at most
-        self.heads = self.index.select("ix", "range", "max_w").join(self.asked, "ix")
+        heads = self.index.select("ix", "range", "max_w").join(self.asked, "ix")
+        local = _small(heads, MAX_BLOCKS)
+        self.heads = heads if local is None else local  # few blocks: their weights are read once
 
     def bounds(self) -> DataFrame:
         """(qid, range, most): what a text of the range can score."""

@@ -264,6 +264,11 @@ SELECT id, min(position) AS position, arg_max(conv_id, position) AS conv_id, arg
 FROM placed GROUP BY id""",
 }
 SQL |= {"all_chunk_count": SQL["chunk_count"], "all_embed_batches": SQL["embed_batches"], "changed_chunk_metrics": SQL["ingest_metrics"]}
+SQL |= {
+    "request_questions": f"""WITH h AS (SELECT conv_id AS qid, list(text ORDER BY turn) AS h FROM conversations GROUP BY conv_id)
+SELECT qid, h[1] AS question, len(h) - 1 AS n_history, CASE WHEN len(h) > 1 THEN h[-1] END AS last FROM h
+WHERE regexp_replace(coalesce(h[1], ''), '{_SPACE}', '', 'g') <> ''""",
+}
 SQL |= {
     "stored_topk": SQL["sparse_topk"],
     "cosine_above": f"WITH {_dense(5, 'WHERE score > 0.25').replace('v.vec_id <> q.vec_id', 'true')} SELECT qid, doc_id, score FROM dense",

@@ -376,6 +376,15 @@ def prompt_messages(spark: SparkSession, d: str) -> DataFrame:
     return prompt.messages(q)
 
 
+def request_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Requests as JSON, one a conversation with its first message as the question and the rest as history, read back; blank questions are left out."""
+    m = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
+    said = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("qid")).agg(F.transform(F.array_sort(F.collect_list(m)), lambda x: x["m"]).alias("h"))
+    body = F.to_json(F.struct(F.get("h", F.lit(0))["content"].alias("question"), F.slice("h", 2, F.size("h")).alias("history")))
+    read = prompt.valid_questions(said.select("qid", body.alias("body")))
+    return read.select("qid", "question", F.size("history").cast("long").alias("n_history"), F.get(F.col("history"), F.size("history") - 1)["content"].alias("last"))
+
+
 def sse_frames(spark: SparkSession, d: str) -> DataFrame:
     """Event frames of an answer that repeats the question word by word."""
     words = questions(spark, d).select("qid", F.posexplode(F.split("question", " ")).alias("pos", "token"))

@@ -50,6 +50,7 @@ QUERIES = (
     q.history_window,
     q.context_join,
     q.prompt_messages,
+    q.request_questions,
     q.sse_frames,
     q.sse_fold,
     q.not_found_fallback,
