@@ -13,6 +13,8 @@ from ravelin.functions.text import term_index, tokens
 
 #: Terms of queries that are broadcast at most (some 40 bytes each).
 MAX_TERMS = 500_000
+#: Parts that a heavy term's postings are dealt out in.
+WAYS = 64
 
 
 def terms(docs: DataFrame, key: str, text: str = "text", keep_code: bool = False) -> DataFrame:
@@ -117,17 +119,41 @@ def top_k(scores: DataFrame, group: str, key: str, k: int) -> DataFrame:
     return scores.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k)
 
 
-def keyword_search(index: DataFrame, queries: DataFrame, qid: str, key: str, k: int = DEFAULT.prefetch) -> DataFrame:
+def heavy_terms(index: DataFrame, share: float) -> DataFrame:
+    """(ix) of the terms that have more than ``share`` of all postings: 1 / share of them at most."""
+    counts = index.groupBy("ix").agg(F.count("*").alias("n"))
+    total = index.agg(F.count("*").alias("total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).filter(F.col("n") > share * F.col("total")).select("ix")
+
+
+def salted(index: DataFrame, queries: DataFrame, key: str, ways: int = WAYS) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``salt`` to join on besides ix: postings of heavy terms are dealt out in ``ways`` parts by
+    their texts, and the queries' rows of such terms go to all parts; light terms stay as they are."""
+    heavy = F.broadcast(heavy_terms(index, 1 / (2 * ways)).withColumn("__heavy", F.lit(True)))
+    part = F.when(F.col("__heavy"), F.pmod(F.xxhash64(key), F.lit(ways))).otherwise(F.lit(0))
+    parts = F.explode(F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0))))
+    return (
+        index.join(heavy, "ix", "left").withColumn("salt", part.cast("int")).drop("__heavy"),
+        queries.join(heavy, "ix", "left").withColumn("salt", parts).drop("__heavy"),
+    )
+
+
+def keyword_search(index: DataFrame, queries: DataFrame, qid: str, key: str, k: int = DEFAULT.prefetch, most: int = MAX_TERMS) -> DataFrame:
     """(qid, key, score, rk): the texts that share terms with a query, by dot product.
 
     ``index`` is the corpus's postings, ``queries`` the queries' own.  Scores are rounded to 9
     digits before they are ranked; what is added first keeps the rounding of exact halves
-    from depending on the order of addition.
+    from depending on the order of addition.  Up to ``most`` rows of queries go to the postings by broadcast; beyond, both
+    sides are shuffled by term, and terms that many texts have by term and part.
     """
     q = queries.select(qid, "ix", F.col("w").alias("qw"))
+    if q.limit(most + 1).count() <= most:
+        met = index.join(F.broadcast(q), "ix")
+    else:
+        postings_, q = salted(index, q, key)
+        met = postings_.join(q, ["ix", "salt"])
     scores = (
-        index.join(q, "ix")
-        .groupBy(qid, key)
+        met.groupBy(qid, key)
         .agg(F.round(F.sum(F.col("qw") * F.col("w")) + 1e-12, 9).alias("score"))
     )
     return top_k(scores, qid, key, k).select(qid, key, "score", "rk")

@@ -74,6 +74,20 @@ def test_blocks_are_skipped(spark, tmp_path):
     assert heavy < 60  # a term of every text is split over all ranges
 
 
+def test_a_word_in_every_text_fills_no_task(spark):
+    rows = [(k, f"everywhere {' '.join(f'w{(k * 7 + j) % 900}' for j in range(2))}") for k in range(3000)]
+    index = sparse.postings(spark.createDataFrame(rows, "id long, text string"), "id").cache()
+    asked = sparse.postings(spark.createDataFrame([(1, "everywhere w5 w9"), (2, "w700"), (3, "everywhere")], "qid long, text string"), "qid")
+    assert [r["ix"] for r in sparse.heavy_terms(index, 0.1).collect()] == [spark.range(1).select(_ix("everywhere").alias("i")).first()["i"]]
+    parts, _ = sparse.salted(index, asked, "id")
+    sizes = lambda df, *by: sorted(r["count"] for r in df.repartition(8, *by).groupBy(F.spark_partition_id()).count().collect())
+    plain, dealt = sizes(index, "ix"), sizes(parts, "ix", "salt")
+    assert plain[-1] > 2 * plain[4] and dealt[-1] <= 2 * dealt[4] and sum(dealt) == sum(plain)
+    for k in (4, 10_000):
+        assert hits(sparse.keyword_search(index, asked, "qid", "id", k, most=0)) == hits(sparse.keyword_search(index, asked, "qid", "id", k))
+    index.unpersist()
+
+
 def _ix(term):
     from ravelin.functions.text import term_index
 
