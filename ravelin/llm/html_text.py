@@ -63,7 +63,7 @@ MAX_TOKENS, PARTS = 1_000_000, 64
 
 # Elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea select title head canvas audio video".split())
+RAW = frozenset("script style noscript template iframe object svg annotation textarea select title head canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -83,6 +83,8 @@ LAYOUT_WORDS = frozenset("container content layout main page wrap wrapper".split
 STATE_WORDS = frozenset("allow closed disabled elementor enabled has have hide no not open with without".split())
 #: What is left of a class's name that says that a paragraph or the like is furniture.
 PART_WORDS = frozenset("bar block box button count counts item label line link links list note row slot text title unit".split())
+#: What may stand beside words of furniture in the name of furniture within an article.
+PLACE_WORDS = frozenset("area article articles bottom buttons container content inline inner left post posts right section sections stories top wrap wrapper".split())
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th b i em strong span a".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 COMMENT_WORDS = frozenset("comment comments reply replies respond".split())
@@ -123,14 +125,17 @@ class Block:
 NONE, HEAD, SIDE, NAMED, FIXED = range(5)
 
 
-def _kind_of(name: str, tag: str) -> int:
-    """What one class or id says of its element."""
+def _kind_of(name: str, tag: str, inside: bool) -> int:
+    """What one class or id says of its element.  Within an article, and of elements that hold running text, only a name that says nothing
+    else makes furniture: ``promo-box`` does, ``promotion-history`` does not."""
     words = _WORDS.findall(name)
     named = CHROME_WORDS.intersection(words)
     if not named or tag in ("html", "body", "main") or not STATE_WORDS.isdisjoint(words):
         return NONE
     if tag in TEXT_TAGS and not (CHROME_WORDS | COMMENT_PARTS | PART_WORDS).issuperset(words):
         return NONE
+    if inside and tag != "article" and not (CHROME_WORDS | COMMENT_PARTS | PART_WORDS | PLACE_WORDS).issuperset(words):
+        return NONE
     if tag == "article":
         return NAMED if named & COMMENT_WORDS and COMMENT_PARTS.issuperset(words) else NONE
     if not named <= SIDE_WORDS:
@@ -138,7 +143,7 @@ def _kind_of(name: str, tag: str) -> int:
     return NONE if words[0] not in SIDE_WORDS and not LAYOUT_WORDS.isdisjoint(words) else SIDE
 
 
-def _attributes(tag: str, rest: str) -> tuple[str, int]:
+def _attributes(tag: str, rest: str, inside: bool) -> tuple[str, int]:
     """The element's name in paths, with its classes, and what kind of page furniture it is."""
     chrome = FIXED if tag in CHROME_TAGS else NONE
     name = tag
@@ -150,7 +155,7 @@ def _attributes(tag: str, rest: str) -> tuple[str, int]:
             if key == "role" and value in CHROME_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
                 chrome = FIXED
             if key in ("class", "id"):
-                chrome = max([chrome, *(_kind_of(x, tag) for x in value.split())])
+                chrome = max([chrome, *(_kind_of(x, tag, inside) for x in value.split())])
     return name, chrome
 
 
@@ -234,7 +239,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
             elif tag != "wbr":
                 pieces.append(" ")
             continue
-        name, chrome = _attributes(tag, found[3])
+        name, chrome = _attributes(tag, found[3], stack[-1][2])
         if tag in BLOCK:
             flush()
             if tag in ENDS:
@@ -244,7 +249,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
         if tag == "main" and up < FIXED or tag == "article" and up == SIDE:
             doubtful = tag == "article"
             up = NONE
-        if tag == "header" and in_main and up == NONE and _attributes("div", found[3])[1] == NONE:
+        if tag == "header" and in_main and up == NONE and _attributes("div", found[3], True)[1] == NONE:
             chrome = HEAD
         elif tag in HEADINGS and up == HEAD:
             up = NONE

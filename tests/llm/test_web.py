@@ -141,6 +141,22 @@ def test_classes_around_and_of_articles():
     assert text("<article class='post comments-open'><p>x<article class=comment><p>no</article><p>y</article>") == ["x", "y"]
 
 
+def test_sections_of_an_article_stay_whatever_their_names(spark):
+    """Words of furniture within longer names, with and without a template, and formulas."""
+    names = ("social-history", "promotion-history", "related-work", "recipe-menu", "consent-decree", "shared-widget-theory")
+    parts = "".join(f"<section class='{n}' id='{n}-1'><h2>On {n}</h2><p>Paragraph of {n}</p></section>" for n in names)
+    furniture = "".join(f"<div class='{n}'><p>no</p></div>" for n in ("promo-box", "related-posts", "share-buttons", "ad", "comments-area", "newsletter signup", "social"))
+    body = f"<article><h1>T</h1>{parts}{furniture}<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p></article>"
+    want = ["T", *(x for n in names for x in (f"On {n}", f"Paragraph of {n}")), "so x=1 holds"]
+    assert html_text.article(body, set(), None) == want
+    page = lambda k: f"<body><div class=top>Welcome to all</div>{body.replace('Paragraph of', f'Page {k} on')}<div class=end>All rights kept</div>"
+    rows = [(k, f"http://w.org/{k}", page(k), "", "") for k in range(9)]
+    for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect():
+        lines = r["text"].split("\n")
+        assert [x for x in lines if x.startswith("Page")] == [f"Page {r['page_id']} on {n}" for n in names]
+        assert not {"no", "Welcome to all", "All rights kept"} & set(lines)
+
+
 def test_copies_outside_of_article_elements_stay(spark):
     def page(k, body):
         return (k, f"http://one.org/{k}", f"<html><body><div class=top>Welcome to our site</div><div class=body>{body}</div><div class=end>All rights kept</div></body></html>", "", "")
