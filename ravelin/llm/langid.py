@@ -36,6 +36,9 @@ from ravelin.llm.common import id_text, sliced, table, without, written
 PROFILE = 600
 MAX_LANGUAGES = 2_000
 UNKNOWN = "und"
+#: Score below which a text is in none of the learned languages: labelled texts of all lengths score 0.38 and more, strings of random letters
+#: 0.2 and less, texts in scripts that no profile has 0.
+LEAST_SCORE = 0.25
 #: Texts are worked through in pieces of so many characters, to bound memory; results do not depend on it.
 PIECE = 1_000_000
 #: N-grams kept in a task before they are added up.

@@ -136,7 +136,8 @@ def mix(
     epochs: float = EPOCHS,
     seed: str = "mix",
 ) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with size, source_size, target, copies, taken."""
+    """``docs`` (doc_id, text, source, ...) with size, source_size, target, copies, taken, which replace columns of
+    these names; all others pass through.  Very long texts are counted where they are."""
     added = ("size", "source_size", "target", "copies", "taken")
     kept = [c for c in docs.columns if c not in added]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -144,15 +145,15 @@ def mix(
     rows = docs.select(*kept, size.alias("size"), key.alias("__key"))
     slim = written(rows.select("source", "size", F.col("__key").alias("key")), "mix-keys")
     cuts = written(source_cuts(slim, weights, share, epochs), "mix-cuts")
-    cuts = cuts.withColumnRenamed("source", "__source")
+    cuts = cuts.select(*[F.col(c).alias(f"__{c}") for c in cuts.columns])
     if cuts.count() <= MAX_BROADCAST_SOURCES:
         cuts = F.broadcast(cuts)
-    copies = F.col("epochs_full") + (F.col("__key") < F.col("cut_key")).cast("long")
+    copies = F.col("__epochs_full") + (F.col("__key") < F.col("__cut_key")).cast("long")
     return rows.join(cuts, F.col("source").eqNullSafe(F.col("__source"))).select(
         *kept,
         "size",
-        "source_size",
-        "target",
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
     )

@@ -55,3 +55,13 @@ def test_run_and_odd_rows(spark, tmp_path):
         got = corpus_pipeline.run(spark, str(folder)).collect()
         assert len({(r["doc_id"], r["shard"]) for r in got}) <= 2 and bool(got) == bool(part)
         assert langid.UNKNOWN not in {r["lang"] for r in got}
+
+
+def test_texts_in_no_learned_language_go(spark):
+    learned = spark.read.parquet(f"{SMALL}/documents.parquet")
+    junk = {9001: "xq zzk wvx qqj kzx vvw xqz jjq", 9002: "Το κείμενο αυτό είναι στα ελληνικά", 9003: "这 是 中文 文本", 9004: "?!", 9005: None}
+    more = spark.createDataFrame([(k, t, None, "s", 1) for k, t in junk.items()], learned.schema)
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, learned.unionByName(more), SMALL).collect()}
+    assert not set(junk) & set(kept) and set(kept.values()) <= {r["lang"] for r in learned.collect()}
+    clean = {r["doc_id"] for r in learned.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert set(kept) == clean
