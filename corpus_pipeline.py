@@ -2,7 +2,9 @@
 
 Every stage takes the documents that its predecessor kept and, but for the last one,
 returns the columns of documents; each stage's result is written as Parquet and read
-again as the next one's input.
+again as the next one's input.  Columns besides those of documents pass through the first four stages as they are,
+whatever their names; the last one adds shard.  Null, empty and very long texts, ties and repeated rows go as each operator's
+docstring says; without documents there are no rows, without benchmark items or labels nothing is cut or learned.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from ravelin.llm.common import broadcast_if_small, id_text, release, table, writ
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no language is found; a missing label becomes the predicted one.
+    """Drop documents that are in none of the learned languages: without a letter, or farther from every profile than any text
+    in its language is (``langid.LEAST_SCORE``).  A missing label becomes the predicted one.
 
     Where no row is labelled nothing can be learned: all documents with a letter stay as they are.
     """
@@ -25,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify(docs.select("text", F.struct(*docs.columns).alias("__row")), profiles)
     label = F.coalesce("__row.lang", "lang_pred")
     rest = [F.col(f"__row.{c}") if c != "lang" else label.alias("lang") for c in docs.columns]
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*rest)
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.LEAST_SCORE)).select(*rest)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +57,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's budget takes it, which may be never."""
-    mixed = mixing.mix(docs)
+    mixed = mixing.mix(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("__whole")))
     again = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return mixed.filter("copies > 0").select(*docs.columns, again.alias("__copy")).select(*docs.columns)
+    taken = mixed.filter("copies > 0").select("__whole", again.alias("__copy"))
+    return taken.select(*[F.col("__whole").getField(c).alias(c) for c in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
