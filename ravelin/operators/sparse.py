@@ -49,8 +49,11 @@ def postings_of(docs: DataFrame, asked: DataFrame, key: str, text: str = "text",
     """
     found = docs.select(key, tokens(F.col(text)).alias("__t"))
     terms_ = found.select(F.explode("__t").alias("term")).distinct().select("term", term_index(F.col("term"), vocabulary).alias("ix"))
-    wanted = terms_.join(asked.select("ix").distinct(), "ix", "left_semi").persist()
-    small = wanted.count() <= MAX_TERMS
+    wanted = terms_.join(asked.select("ix").distinct(), "ix", "left_semi")
+    local = wanted.limit(MAX_TERMS + 1).toArrow()  # the first pass; it is done again only where there are more
+    small = local.num_rows <= MAX_TERMS
+    if small:
+        wanted = docs.sparkSession.createDataFrame(local, wanted.schema)
     return (
         found.select(key, F.size("__t").alias("total"), F.explode("__t").alias("term"))
         .join(F.broadcast(wanted) if small else wanted, "term")
@@ -122,8 +125,7 @@ def top_k(scores: DataFrame, group: str, key: str, k: int) -> DataFrame:
 def heavy_terms(index: DataFrame, share: float) -> DataFrame:
     """(ix) of the terms that have more than ``share`` of all postings: 1 / share of them at most."""
     counts = index.groupBy("ix").agg(F.count("*").alias("n"))
-    total = index.agg(F.count("*").alias("total"))  # one row
-    return counts.crossJoin(F.broadcast(total)).filter(F.col("n") > share * F.col("total")).select("ix")
+    return counts.filter(F.col("n") > share * index.count()).select("ix")
 
 
 def salted(index: DataFrame, queries: DataFrame, key: str, ways: int = WAYS) -> tuple[DataFrame, DataFrame]:

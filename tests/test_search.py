@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ravelin.operators import bm25, dense, ivf, postings, sparse
 from ravelin.plans import queries, registry
-from tests.compare import SMALL
 
 MIDDLE, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
