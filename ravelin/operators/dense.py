@@ -38,7 +38,7 @@ class Best:
     it has doubled, so a task holds and sends k rows a query.
     """
 
-    def __init__(self, qids: pa.Array, matrix: np.ndarray, k: int, least: float | None, skip_self: bool):
+    def __init__(self, qids: pa.Array, matrix: np.ndarray | None, k: int, least: float | None, skip_self: bool):
         self.qids, self.matrix, self.k, self.least, self.skip_self = qids, matrix, k, least, skip_self
         self.bound = np.full(len(qids), -np.inf)
         self.held: list[pa.Table] = []
@@ -47,7 +47,7 @@ class Best:
     def meet(self, ids: pa.Array, rows: np.ndarray, of: np.ndarray) -> None:
         """Score vectors against the queries numbered ``of``."""
         scores = np.round(rows @ self.matrix[of].T, 9)
-        keep = scores >= self.bound[of]
+        keep = np.ones(scores.shape, bool)
         if self.least is not None:
             keep &= scores > self.least
         if self.skip_self:
@@ -55,6 +55,11 @@ class Best:
             for at, q in enumerate(same):
                 if q is not None:
                     keep[at, q] = False
+        self.offer(ids, scores, of, keep)
+
+    def offer(self, ids: pa.Array, scores: np.ndarray, of: np.ndarray, keep: np.ndarray) -> None:
+        """Take from scores, a row an id and a column a query numbered ``of``, what is marked in ``keep`` and among the best."""
+        keep &= scores >= self.bound[of]
         scores[~keep] = -np.inf
         if len(ids) > self.k:
             keep &= scores >= np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k]

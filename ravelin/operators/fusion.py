@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.config import DEFAULT
-from ravelin.functions.text import excerpt
-from ravelin.operators.sparse import top_k
+from ravelin.functions.text import excerpt, title_of
+from ravelin.operators.sparse import MAX_TERMS, small, top_k
 
 
 def fused(dense: DataFrame, sparse: DataFrame, k: int = DEFAULT.rrf_k) -> DataFrame:
@@ -36,6 +36,13 @@ def scoring_at_least(hits: DataFrame, least: float = DEFAULT.min_score) -> DataF
     return hits.filter((F.col("score") >= least) & ~F.isnan("score"))
 
 
+def with_texts(hits: DataFrame, docs: DataFrame, most: int = MAX_TERMS) -> DataFrame:
+    """Hits with the columns of their ``docs`` (doc_id, ...): up to ``most`` hits go to the texts, so these are not shuffled."""
+    local = small(hits, most)
+    return docs.join(hits if local is None else F.broadcast(local), "doc_id")
+
+
 def citations(hits: DataFrame, docs: DataFrame, size: int = DEFAULT.excerpt) -> DataFrame:
-    """(qid, rk, title, source, score, excerpt): texts are joined to the few hits that are left."""
-    return hits.join(docs, "doc_id").select("qid", "rk", "title", "source", "score", excerpt(F.col("content"), size).alias("excerpt"))
+    """(qid, rk, title, source, score, excerpt) of hits in ``docs`` (doc_id, source, content): titles and excerpts are made of hits' texts only."""
+    title = title_of(F.col("content"), F.col("source")).alias("title")
+    return with_texts(hits, docs).select("qid", "rk", title, "source", "score", excerpt(F.col("content"), size).alias("excerpt"))

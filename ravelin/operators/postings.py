@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.config import DEFAULT
-from ravelin.operators.sparse import top_k
+from ravelin.operators.sparse import small, top_k
 from ravelin.operators.store import SnapshotStore
 
 RANGE_TEXTS = 512
@@ -52,24 +52,18 @@ def build(index: SnapshotStore, vectors: DataFrame, range_texts: int = RANGE_TEX
     index.write(blocks(vectors, range_texts))
 
 
-def _small(rows: DataFrame, most: int) -> DataFrame | None:
-    """``rows`` as a local table, if there are ``most`` at most."""
-    found = rows.limit(most + 1).toArrow()
-    return rows.sparkSession.createDataFrame(found, rows.schema) if found.num_rows <= most else None
-
-
 class Search:
     """A search of an index by weighted terms (qid, ix, w)."""
 
     def __init__(self, index: SnapshotStore, asked: DataFrame, k: int = DEFAULT.prefetch, first: int = FIRST):
         self.k, self.first = k, first
         asked = asked.select("qid", "ix", F.col("w").alias("qw"))
-        local = _small(asked, MAX_TERMS)
+        local = small(asked, MAX_TERMS)
         self.asked = asked if local is None else F.broadcast(local)
         wanted = (asked if local is None else local).select(index.bucket_of(F.col("ix")).alias("b")).distinct()
         self.index = index.read(sorted(r["b"] for r in wanted.collect()))  # as many numbers as buckets, at most
         heads = self.index.select("ix", "range", "max_w").join(self.asked, "ix")
-        local = _small(heads, MAX_BLOCKS)
+        local = small(heads, MAX_BLOCKS)
         self.heads = heads if local is None else local  # few blocks: their weights are read once
 
     def bounds(self) -> DataFrame:
@@ -79,7 +73,7 @@ class Search:
     def _scores(self, wanted: DataFrame) -> DataFrame:
         """(qid, id, score) of all texts of the ranges in ``wanted`` (qid, range), each scored whole."""
         at = self.heads.join(wanted, ["qid", "range"], "left_semi").select("ix", "range", "qid", "qw")
-        local = _small(at, MAX_BLOCKS)
+        local = small(at, MAX_BLOCKS)
         met = self.index.select("ix", "range", "entries").join(at if local is None else F.broadcast(local), ["ix", "range"])
         rows = met.select("qid", "qw", F.explode("entries").alias("e"))
         return rows.groupBy("qid", F.col("e.id").alias("id")).agg(F.round(F.sum(F.col("qw") * F.col("e.w")) + 1e-12, 9).alias("score"))

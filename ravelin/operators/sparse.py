@@ -15,6 +15,8 @@ from ravelin.functions.text import term_index, tokens
 MAX_TERMS = 500_000
 #: Parts that a heavy term's postings are dealt out in.
 WAYS = 64
+#: Characters of a term that are numbered together with other terms'.
+LONG = 64
 
 
 def terms(docs: DataFrame, key: str, text: str = "text", keep_code: bool = False) -> DataFrame:
@@ -72,27 +74,55 @@ def stored_postings(chunks: DataFrame, key: str = "id") -> DataFrame:
 
 def term_number(term: str, vocabulary: int = DEFAULT.vocabulary) -> int:
     """``functions.text.term_index`` of one term."""
-    h = 5381
-    for c in term.encode():
-        h = (h * 33 + c) & 0xFFFFFFFF
-    return abs(h - (1 << 32) if h >= 1 << 31 else h) % vocabulary
+    return int(term_numbers(pa.array([term], pa.string()), vocabulary)[0])
+
+
+def term_numbers(terms_: pa.StringArray, vocabulary: int = DEFAULT.vocabulary) -> np.ndarray:
+    """``functions.text.term_index`` of each term, all terms a character at a time; the few longer than ``LONG`` one by one from there on."""
+    offsets = np.frombuffer(terms_.buffers()[1], np.int32)[terms_.offset : terms_.offset + len(terms_) + 1] if len(terms_) else np.zeros(1, np.int32)
+    data = np.frombuffer(terms_.buffers()[2], np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
+    sizes = np.diff(offsets)
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = offsets[:-1][order].astype(np.int64), sizes[order]
+    h = np.full(len(order), 5381, np.uint32)
+    for place in range(min(LONG, int(sizes[0]) if len(sizes) else 0)):
+        n = np.searchsorted(-sizes, -place)  # the terms that have a character there
+        h[:n] = h[:n] * np.uint32(33) + data[starts[:n] + place]
+    for k in range(np.searchsorted(-sizes, -LONG)):
+        value = int(h[k])
+        for c in data[starts[k] + LONG : starts[k] + sizes[k]].tolist():
+            value = (value * 33 + c) & 0xFFFFFFFF
+        h[k] = value
+    out = np.empty(len(order), np.int64)
+    out[order] = np.abs(h.view(np.int32).astype(np.int64)) % vocabulary
+    return out
+
+
+def numbered(tokens_: pa.ListArray, vocabulary: int = DEFAULT.vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many tokens each list has, and of each token its row and its term's number; a batch's distinct terms are numbered once."""
+    sizes = tokens_.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    terms_ = tokens_.flatten().dictionary_encode()
+    ix = term_numbers(terms_.dictionary, vocabulary)[terms_.indices.to_numpy()] if len(terms_) else np.zeros(0, np.int64)
+    return sizes, np.repeat(np.arange(len(tokens_)), sizes), ix
+
+
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves go up, as in SQL."""
+    return np.floor(x * 10.0**digits + 0.5) / 10.0**digits
 
 
 def encode_tokens(tokens_: pa.ListArray, vocabulary: int = DEFAULT.vocabulary) -> pa.StructArray:
     """(sparse, terms) of each list of tokens: term numbers, ascending, with their shares, and how many tokens there are.
 
-    A batch's distinct terms are numbered once; one sort of (row, number) then gives all rows' runs.
+    One sort of (row, number) gives all rows' runs.
     """
     n = len(tokens_)
-    sizes = tokens_.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    terms_ = tokens_.flatten().dictionary_encode()
-    numbers = np.fromiter((term_number(t, vocabulary) for t in terms_.dictionary.to_pylist()), np.int64, len(terms_.dictionary))
-    ix = numbers[terms_.indices.to_numpy()] if len(terms_) else np.zeros(0, np.int64)
-    keys, counts = np.unique(np.repeat(np.arange(n), sizes) * vocabulary + ix, return_counts=True)
+    sizes, row, ix = numbered(tokens_, vocabulary)
+    keys, counts = np.unique(row * vocabulary + ix, return_counts=True)
     row = keys // vocabulary
     ends = pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32())
     indices = pa.ListArray.from_arrays(ends, pa.array((keys % vocabulary).astype(np.int32)))
-    values = pa.ListArray.from_arrays(ends, pa.array(np.round(counts / sizes[row], 12)))
+    values = pa.ListArray.from_arrays(ends, pa.array(rounded(counts / sizes[row], 12)))
     sparse = pa.StructArray.from_arrays([indices, values], ["indices", "values"])
     return pa.StructArray.from_arrays([sparse, pa.array(sizes.astype(np.int32))], ["sparse", "terms"])
 
@@ -122,6 +152,17 @@ def top_k(scores: DataFrame, group: str, key: str, k: int) -> DataFrame:
     return scores.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k)
 
 
+def small(rows: DataFrame, most: int = MAX_TERMS) -> DataFrame | None:
+    """``rows`` as a local table, if there are ``most`` at most."""
+    found = rows.limit(most + 1).toArrow()
+    return rows.sparkSession.createDataFrame(found, rows.schema) if found.num_rows <= most else None
+
+
+def repeats(docs: DataFrame, key: str) -> bool:
+    """Whether several rows have one key; nothing but keys is read."""
+    return not docs.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
 def heavy_terms(index: DataFrame, share: float) -> DataFrame:
     """(ix) of the terms that have more than ``share`` of all postings: 1 / share of them at most."""
     counts = index.groupBy("ix").agg(F.count("*").alias("n"))

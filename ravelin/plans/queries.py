@@ -12,7 +12,7 @@ from ravelin import schemas
 from ravelin.config import DEFAULT
 from ravelin.functions.text import chunk_id, title_of, tokens
 from ravelin.functions.vectors import norm
-from ravelin.operators import bm25, chunking, dense, fusion, ingest, ivf, jsonstore, postings, prompt, sparse, store
+from ravelin.operators import bm25, chunking, dense, fusion, ingest, ivf, jsonstore, keyword, postings, prompt, sparse, store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,9 +81,7 @@ def sparse_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sparse_topk(spark: SparkSession, d: str, k: int = DEFAULT.prefetch) -> DataFrame:
-    asked = sparse.postings(questions(spark, d), "qid", "question")
-    index = sparse.postings_of(table(spark, d, "documents").select("doc_id", "text"), asked, "doc_id")
-    return sparse.keyword_search(index, asked, "qid", "doc_id", k)
+    return keyword.text_search(table(spark, d, "documents").select("doc_id", "text"), asked_terms(spark, d), "qid", "doc_id", k)
 
 
 def stored_topk(spark: SparkSession, d: str, k: int = DEFAULT.prefetch) -> DataFrame:
@@ -228,9 +226,7 @@ def min_score_filter(spark: SparkSession, d: str) -> DataFrame:
 def _library(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     source = F.concat("source", F.lit("/"), "doc_id", F.lit(".md"))
-    return docs.select("doc_id", source.alias("source"), F.col("text").alias("content")).withColumn(
-        "title", title_of(F.col("content"), F.col("source"))
-    )
+    return docs.select("doc_id", source.alias("source"), F.col("text").alias("content"))
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
@@ -364,14 +360,14 @@ def history_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_join(spark: SparkSession, d: str) -> DataFrame:
-    hits = hybrid_topk(spark, d).join(_library(spark, d).select("doc_id", "content"), "doc_id")
-    return prompt.context(hits)
+    return prompt.context(fusion.with_texts(hybrid_topk(spark, d), _library(spark, d).select("doc_id", "content")))
 
 
 def prompt_messages(spark: SparkSession, d: str) -> DataFrame:
     """For each question: its context, and as history the conversation of the same number."""
     turns = F.array_sort(F.collect_list(F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))))
-    told = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("qid")).agg(F.transform(turns, lambda x: x["m"]).alias("history"))
+    said = table(spark, d, "conversations").withColumnRenamed("conv_id", "qid").join(questions(spark, d).select("qid"), "qid", "left_semi")
+    told = said.groupBy("qid").agg(F.transform(turns, lambda x: x["m"]).alias("history"))
     q = questions(spark, d).join(told, "qid", "left").join(context_join(spark, d), "qid", "left")
     return prompt.messages(q)
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ravelin.operators import bm25, dense, ivf, postings, sparse
+from ravelin.operators import bm25, dense, ivf, keyword, postings, sparse
 from ravelin.plans import queries, registry
 
 MIDDLE, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -191,3 +191,36 @@ def test_sums_are_counted_anew_after_a_crash(spark, tmp_path):
     assert sums.version() == chunks.version
     got = {r["ix"]: r["n"] for r in sums.read().collect()}
     assert got[bm25.TEXTS] == 3 and got[bm25.LENGTH] == chunks.read().agg(F.sum("terms")).first()[0]
+
+
+def test_texts_are_scored_in_their_rows(spark, monkeypatch):
+    docs = texts_of(spark, 400)
+    asked = spark.createDataFrame([(1, "word1 word7 everywhere"), (2, "word59"), (3, "unheard"), (4, ""), (5, "word3 word3 word4")], "qid long, text string")
+    terms = sparse.postings(asked, "qid")
+    monkeypatch.setattr(keyword, "CELLS", 40)
+    for rows in (docs, docs.unionByName(docs.limit(30))):  # rows of one key add up
+        for k, block in ((3, 10_000), (500, 2)):
+            want = sparse.keyword_search(sparse.postings(rows, "id"), terms, "qid", "id", k)
+            assert hits(keyword.text_search(rows, terms, "qid", "id", k, block=block)) == hits(want)
+    assert hits(keyword.text_search(docs, terms.filter("qid = 4"), "qid", "id")) == []
+    assert hits(keyword.text_search(docs, terms, "qid", "id", most=2)) == hits(keyword.text_search(docs, terms, "qid", "id"))
+
+
+def test_no_text_or_posting_of_a_search_is_shuffled(spark):
+    for name in ("sparse_topk", "citations", "context_join"):
+        found = plan(registry.queries()[name](spark, MIDDLE))
+        assert "MapInArrow" in found or name != "sparse_topk"
+        for part in found.split("Exchange hashpartitioning")[1:]:
+            above_scan = part.split("FileScan")[0]
+            assert "MapInArrow" in above_scan or "BroadcastHashJoin" in above_scan or "FileScan" not in part
+
+
+def test_long_terms_are_numbered_as_sql_does(spark):
+    import pyarrow as pa
+
+    from ravelin.functions.text import term_index
+
+    found = ["ab", "router", "z9" * 40, "x" * 64, "y" * 65, "a" * 1000, "", "caf"]
+    want = spark.createDataFrame([(t,) for t in found], "t string").select(term_index(F.col("t")).alias("i")).collect()
+    assert sparse.term_numbers(pa.array(["left out", *found]).slice(1), 500_000).tolist() == [r["i"] for r in want]
+    assert sparse.term_numbers(pa.array([], pa.string()), 500_000).tolist() == []
