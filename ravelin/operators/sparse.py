@@ -146,6 +146,14 @@ def encoded(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, encoded_text(F.col(text))["sparse"].alias("sparse"))
 
 
+def vectors(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """As ``postings``, made in the rows without a shuffle, unless rows' keys repeat, whose weights add up."""
+    if repeats(docs, key):
+        return postings(docs, key, text)
+    entry = F.explode(F.arrays_zip("sparse.indices", "sparse.values")).alias("e")
+    return encoded(docs, key, text).select(key, entry).select(key, F.col("e.indices").alias("ix"), F.col("e.values").alias("w"))
+
+
 def top_k(scores: DataFrame, group: str, key: str, k: int) -> DataFrame:
     """The ``k`` best rows of each group, ranked from 1; ties by key.  Spark cuts to k before the shuffle."""
     order = Window.partitionBy(group).orderBy(F.desc("score"), key)

@@ -76,8 +76,8 @@ def term_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sparse_vectors(spark: SparkSession, d: str) -> DataFrame:
-    p = sparse.postings(table(spark, d, "documents"), "doc_id")
-    return p.select("doc_id", F.col("ix").cast("long").alias("ix"), F.round("w", 9).alias("w"))
+    p = sparse.vectors(table(spark, d, "documents"), "doc_id")
+    return p.select("doc_id", F.col("ix").cast("long").alias("ix"), (F.floor(F.col("w") * 1e9 + 0.5) / 1e9).alias("w"))  # as SQL rounds doubles
 
 
 def sparse_topk(spark: SparkSession, d: str, k: int = DEFAULT.prefetch) -> DataFrame:
