@@ -9,11 +9,14 @@ commits, it is counted anew.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.config import DEFAULT
-from ravelin.operators.sparse import top_k
+from ravelin.operators.keyword import Weights, in_blocks
+from ravelin.operators.sparse import repeats, top_k
 from ravelin.operators.store import SnapshotStore
 
 #: Rows of the table of sums that are no terms: texts, their terms together, and the version counted.
@@ -73,13 +76,27 @@ def weights(sums: DataFrame, asked: DataFrame) -> tuple[DataFrame, float]:
 def search(texts: DataFrame, sums: DataFrame, asked: DataFrame, k: int = DEFAULT.prefetch, k1: float = K1, b: float = B, most: int = 500_000) -> DataFrame:
     """(qid, id, score, rk) of the k best ``texts`` (id, sparse, terms) for ``asked`` (qid, ix).
 
-    Only entries of the queries' terms leave a text's row: these go to the texts by broadcast, up to ``most`` of them.
+    A text is scored in its row against all queries, whose terms go to the texts by broadcast, up to ``most`` of them; beyond, or where
+    ids repeat, entries of the queries' terms are shuffled.
     """
     found, mean = weights(sums, asked)
-    small = found.limit(most + 1).count() <= most
+    local = found.limit(most + 1).toArrow()
+    rows = texts.filter("terms > 0")
+    if local.num_rows <= most and not repeats(rows, "id"):
+        held = rows.select("id", F.col("sparse.indices").alias("ixs"), F.col("sparse.values").alias("shares"), "terms")
+
+        def scored(weights_: Weights, part: pa.RecordBatch) -> np.ndarray:
+            sizes = part.column(1).value_lengths().to_numpy()
+            row, place = np.repeat(np.arange(len(sizes)), sizes), weights_.place[part.column(1).flatten().to_numpy()]
+            at = np.flatnonzero(place >= 0)
+            row, terms_ = row[at], part.column(3).to_numpy()[row[at]]
+            n = np.rint(part.column(2).flatten().to_numpy()[at] * terms_)
+            return weights_.products(row, place[at], n * (k1 + 1) / (n + k1 * (1 - b + b * terms_ / mean)), len(sizes))
+
+        return in_blocks(held, local, found.schema["qid"], "id", k, DEFAULT.vocabulary, scored=scored)
     entry = F.explode(F.arrays_zip("sparse.indices", "sparse.values")).alias("e")
-    entries = texts.filter("terms > 0").select("id", "terms", entry).select("id", "terms", F.col("e.indices").alias("ix"), F.col("e.values").alias("share"))
+    entries = rows.select("id", "terms", entry).select("id", "terms", F.col("e.indices").alias("ix"), F.col("e.values").alias("share"))
     n = F.round(F.col("share") * F.col("terms"))
     part = F.col("w") * n * (k1 + 1) / (n + k1 * (1 - b + b * F.col("terms") / F.lit(mean)))
-    scores = entries.join(F.broadcast(found) if small else found, "ix").groupBy("qid", "id").agg(F.round(F.sum(part) + 1e-12, 9).alias("score"))
+    scores = entries.join(F.broadcast(found) if local.num_rows <= most else found, "ix").groupBy("qid", "id").agg(F.round(F.sum(part) + 1e-12, 9).alias("score"))
     return top_k(scores, "qid", "id", k).select("qid", "id", "score", "rk")

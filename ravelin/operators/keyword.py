@@ -40,15 +40,18 @@ class Weights:
         asked = place >= 0
         keys, counts = np.unique(row[asked] * len(self.starts) + place[asked], return_counts=True)
         row, place = keys // max(1, len(self.starts)), keys % max(1, len(self.starts))
-        share = rounded(counts / sizes[row], 12)
-        out = np.zeros(len(found) * self.queries)
+        return self.products(row, place, rounded(counts / sizes[row], 12), len(found))
+
+    def products(self, row: np.ndarray, place: np.ndarray, share: np.ndarray, texts: int) -> np.ndarray:
+        """As ``scores``, of entries: each has a text's number, the place of a term that is asked for, and its share."""
+        out = np.zeros(texts * self.queries)
         met = self.counts[place]
         ends = np.cumsum(met)
         for lo, hi in self._spans(ends):
             n = met[lo:hi]
             at = np.repeat(self.starts[place[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             out += np.bincount(np.repeat(row[lo:hi] * self.queries, n) + self.of[at], np.repeat(share[lo:hi], n) * self.weights[at], len(out))
-        return out.reshape(len(found), self.queries)
+        return out.reshape(texts, self.queries)
 
     @staticmethod
     def _spans(ends: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -71,8 +74,15 @@ def _slices(found: pa.ListArray, rows: int) -> Iterator[slice]:
         lo = hi
 
 
-def _searched(docs: DataFrame, asked: pa.Table, qid: T.StructField, key: str, k: int, vocabulary: int) -> DataFrame:
-    """(qid, key, score) of the best ``k`` texts (key, tokens) of each task for the queries in ``asked`` (qid, ix, w)."""
+def of_tokens(weights: Weights, part: pa.RecordBatch) -> np.ndarray:
+    return weights.scores(part.column(1))
+
+
+def searched(docs: DataFrame, asked: pa.Table, qid: T.StructField, key: str, k: int, vocabulary: int, scored=of_tokens) -> DataFrame:
+    """(qid, key, score) of the best ``k`` texts of each task for the queries in ``asked`` (qid, ix, w).
+
+    ``docs`` has the key, then a list an entry of which is a term; ``scored`` gives a slice's scores.
+    """
     named = asked.column(0).combine_chunks().dictionary_encode("encode")
     qids, of = named.dictionary, named.indices.to_numpy()
     weights = Weights(asked.column(1).to_numpy(), of, asked.column(2).to_numpy(), len(qids), vocabulary)
@@ -85,7 +95,7 @@ def _searched(docs: DataFrame, asked: pa.Table, qid: T.StructField, key: str, k:
         for batch in batches:
             for s in _slices(batch.column(1), rows):
                 part = batch.slice(s.start, s.stop - s.start)
-                scores = weights.scores(part.column(1))
+                scores = scored(weights, part)
                 best.offer(part.column(0), rounded(scores + 1e-12, 9), every, scores > 0)
         for found in best.result():
             yield found.rename_columns([qid.name, key, "score"])
@@ -114,10 +124,14 @@ def text_search(
     local = asked.limit(most + 1).toArrow()
     if local.num_rows > most or repeats(docs, key):
         return keyword_search(postings_of(docs, queries, key, text, vocabulary), queries, qid, key, k)
-    found = docs.select(key, tokens(F.col(text)).alias("__t"))
+    return in_blocks(docs.select(key, tokens(F.col(text)).alias("__t")), local, asked.schema[qid], key, k, vocabulary, block)
+
+
+def in_blocks(docs: DataFrame, local: pa.Table, qid: T.StructField, key: str, k: int, vocabulary: int, block: int = DEFAULT.query_block, scored=of_tokens) -> DataFrame:
+    """(qid, key, score, rk): ``searched`` for ``block`` queries at a time."""
     number = local.column(0).combine_chunks().dictionary_encode("encode").indices.to_numpy() if local.num_rows else np.zeros(0, np.int32)
-    out = docs.sparkSession.createDataFrame([], T.StructType([asked.schema[qid], docs.schema[key], T.StructField("score", T.DoubleType())]))
+    out = docs.sparkSession.createDataFrame([], T.StructType([qid, docs.schema[key], T.StructField("score", T.DoubleType())]))
     for b in range(0, int(number.max(initial=-1)) + 1, block):
-        one = _searched(found, local.filter(pa.array((number >= b) & (number < b + block))), asked.schema[qid], key, k, vocabulary)
+        one = searched(docs, local.filter(pa.array((number >= b) & (number < b + block))), qid, key, k, vocabulary, scored)
         out = one if b == 0 else out.unionByName(one)
-    return top_k(out, qid, key, k).select(qid, key, "score", "rk")
+    return top_k(out, qid.name, key, k).select(qid.name, key, "score", "rk")

@@ -240,3 +240,19 @@ def test_block_search_when_bounds_differ_between_runs(spark, tmp_path, monkeypat
     terms = sparse.postings(spark.createDataFrame([(1, "one three")], "qid long, text string"), "qid")
     for _ in range(3):
         assert [r["id"] for r in postings.search(index, terms, 200, 2).orderBy("rk").collect()] == list(range(200))
+
+
+def test_vectors_are_made_without_a_shuffle(spark):
+    docs = texts_of(spark, 100)
+    assert "Exchange" not in plan(registry.queries()["sparse_vectors"](spark, MIDDLE))
+    entries = lambda df: sorted(map(tuple, df.select("id", "ix", "w").collect()))
+    for rows in (docs, docs.unionByName(docs.limit(30))):
+        assert entries(sparse.vectors(rows, "id")) == entries(sparse.postings(rows, "id"))
+
+
+def test_bm25_scores_texts_in_their_rows(spark):
+    docs = texts_of(spark, 120).select("id", sparse.encoded_text(F.col("text")).alias("e")).select("id", "e.sparse", "e.terms")
+    sums = bm25.sums_of(docs)
+    asked = sparse.postings(spark.createDataFrame([(1, "word1 word7 everywhere word1"), (2, "unheard"), (3, "word9")], "qid long, text string"), "qid")
+    found = bm25.search(docs, sums, asked, 7)
+    assert "MapInArrow" in plan(found) and hits(found) == hits(bm25.search(docs, sums, asked, 7, most=0))
