@@ -286,6 +286,28 @@ def _add(keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np.nd
     return (keys[starts], total, *(x[order[starts]] for x in more))
 
 
+def _add_held(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """As ``_add``, of several parts; a column's parts go as soon as it is added up, so that no more than one is there twice."""
+    columns = [list(c) for c in zip(*held, strict=True)]
+    held.clear()
+
+    def whole(column: list[np.ndarray]) -> np.ndarray:
+        out = np.concatenate(column)
+        column.clear()
+        return out
+
+    keys = whole(columns[0])
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    keys = keys[starts]
+    counts = whole(columns[1])
+    counts = np.add.reduceat(counts[order], starts) if len(starts) else counts
+    first = order[starts]
+    del order, starts
+    return (keys, counts, *(whole(c)[first] for c in columns[2:]))
+
+
 def _counter(of_batch, out):
     """A task that adds up what ``of_batch`` finds in batches' training texts, and now and then hands it to ``out``."""
 
@@ -296,15 +318,16 @@ def _counter(of_batch, out):
             train, *packed = (batch.column(c)[0].as_py() for c in ("train", "words", "codes", "sizes"))
             found = _Batch(*packed)
             held.append(of_batch(found, np.repeat(_unpacked(train, bool), found.sizes)))
+            del found, packed, train
             n += len(held[-1][0])
             if n > HELD:
-                held = [_add(*map(np.concatenate, zip(*held, strict=True)))]
+                held.append(_add_held(held))
                 n = len(held[0][0])
                 if n > HELD // 2:
                     yield from out(*held.pop())
                     n = 0
         if held:
-            yield from out(*_add(*map(np.concatenate, zip(*held, strict=True))))
+            yield from out(*_add_held(held))
 
     return run
 

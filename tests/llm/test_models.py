@@ -221,3 +221,25 @@ def test_contexts_stay_learned_in_a_larger_corpus(spark):
     tree, counts = lm.learn(spark.createDataFrame(texts, "text string").repartition(8))
     row = lm.score_texts(spark.createDataFrame([(1, rare)], "doc_id long, text string"), tree, counts).first()
     assert row["score"] > row["base_score"] + 10
+
+
+def test_parts_are_added_up_without_a_second_copy_of_all():
+    import tracemalloc
+
+    import numpy as np
+
+    from ravelin.llm import suffix_tree_lm as lm
+
+    rng = np.random.default_rng(5)
+    make = lambda n: tuple(rng.integers(0, n, n).astype(k) for k in (np.uint64, np.int64, np.uint64, np.uint64))
+    parts = [make(200_000) for _ in range(4)]
+    parts = [(p[0], p[1], p[0] * np.uint64(3), p[0] * np.uint64(5)) for p in parts]
+    want = lm._add(*map(np.concatenate, zip(*parts, strict=True)))
+    held = [tuple(x.copy() for x in p) for p in parts]
+    tracemalloc.start()
+    found = lm._add_held(held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held == [] and all((a == b).all() for a, b in zip(found, want, strict=True))
+    assert peak < 4.5 * 800_000 * 8  # all columns again, with their order and sums, are six and more
+    assert [len(x) for x in lm._add_held([tuple(x[:0] for x in parts[0])])] == [0, 0, 0, 0]
