@@ -29,16 +29,26 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$", "")
 
 
+def without_code(plain: Column) -> Column:
+    cut = F.regexp_replace(F.regexp_replace(plain, r"```[\s\S]*?```", " "), "`[^`]+`", " ")
+    return F.when(F.contains(plain, F.lit("`")), cut).otherwise(plain)
+
+
 def tokens(text: Column, keep_code: bool = False) -> Column:
     """Keyword tokens: lower case, code removed, ASCII letters and digits only, no stopwords or single characters."""
     plain = F.lower(F.coalesce(text, F.lit("")))
-    if not keep_code:
-        cut = F.regexp_replace(F.regexp_replace(plain, r"```[\s\S]*?```", " "), "`[^`]+`", " ")
-        plain = F.when(F.contains(plain, F.lit("`")), cut).otherwise(plain)
-    words = F.split(plain, "[^a-z0-9]+")
+    words = F.split(plain if keep_code else without_code(plain), "[^a-z0-9]+")
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))
 
 
+def token_text(text: Column) -> Column:
+    """What ``tokens`` are read from, for readers that lower-case A-Z themselves: two other characters turn into ASCII letters, and
+    only texts with one of these are lower-cased here."""
+    plain = F.coalesce(text, F.lit(""))
+    other = F.contains(plain, F.lit("\u212a")) | F.contains(plain, F.lit("\u0130"))
+    return without_code(F.when(other, F.lower(plain)).otherwise(plain))
+
+
 def term_index(term: Column, vocabulary: int = DEFAULT.vocabulary) -> Column:
     """The term's number: a multiplicative hash in 32-bit arithmetic, folded to the vocabulary's size.
 

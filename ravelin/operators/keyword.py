@@ -10,17 +10,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ravelin.config import DEFAULT
-from ravelin.functions.text import tokens
+from ravelin.functions.text import token_text
 from ravelin.operators.dense import Best
 from ravelin.operators.sparse import MAX_TERMS, keyword_search, numbered, postings_of, repeats, rounded, top_k
 
-#: Texts that are scored at once, scores of these (a row a text, a column a query), and tokens in them, unless one text has more.
-ROWS, CELLS, TOKENS = 1_000, 2_000_000, 1_000_000
+#: Texts that are scored at once, scores of these (a row a text, a column a query), and bytes or entries in them, unless one text has more.
+ROWS, CELLS, SIZE = 1_000, 2_000_000, 2_000_000
 
 
 class Weights:
@@ -33,14 +34,14 @@ class Weights:
         self.place = np.full(vocabulary, -1, np.int32)
         self.place[terms] = np.arange(len(terms))
 
-    def scores(self, found: pa.ListArray) -> np.ndarray:
-        """A row a text of tokens and a column a query: what they score together, 0 where they share no term."""
-        sizes, row, ix = numbered(found, self.vocabulary)
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """A row a text and a column a query: what they score together, 0 where they share no term."""
+        sizes, row, ix = numbered(texts, self.vocabulary)
         place = self.place[ix]
         asked = place >= 0
         keys, counts = np.unique(row[asked] * len(self.starts) + place[asked], return_counts=True)
         row, place = keys // max(1, len(self.starts)), keys % max(1, len(self.starts))
-        return self.products(row, place, rounded(counts / sizes[row], 12), len(found))
+        return self.products(row, place, rounded(counts / sizes[row], 12), len(texts))
 
     def products(self, row: np.ndarray, place: np.ndarray, share: np.ndarray, texts: int) -> np.ndarray:
         """As ``scores``, of entries: each has a text's number, the place of a term that is asked for, and its share."""
@@ -63,25 +64,26 @@ class Weights:
             lo = hi
 
 
-def _slices(found: pa.ListArray, rows: int) -> Iterator[slice]:
-    """Runs of up to ``rows`` lists with ``TOKENS`` tokens at most, unless one alone has more."""
-    ends = np.cumsum(found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+def _slices(found: pa.Array, rows: int) -> Iterator[slice]:
+    """Runs of up to ``rows`` texts or lists of ``SIZE`` bytes or entries at most, unless one alone has more."""
+    sizes = found.value_lengths() if pa.types.is_list(found.type) else pc.binary_length(found)
+    ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     lo = 0
     while lo < len(ends):
-        until = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOKENS, "right"))
+        until = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SIZE, "right"))
         hi = min(max(until, lo + 1), lo + rows)
         yield slice(lo, hi)
         lo = hi
 
 
-def of_tokens(weights: Weights, part: pa.RecordBatch) -> np.ndarray:
+def of_texts(weights: Weights, part: pa.RecordBatch) -> np.ndarray:
     return weights.scores(part.column(1))
 
 
-def searched(docs: DataFrame, asked: pa.Table, qid: T.StructField, key: str, k: int, vocabulary: int, scored=of_tokens) -> DataFrame:
+def searched(docs: DataFrame, asked: pa.Table, qid: T.StructField, key: str, k: int, vocabulary: int, scored=of_texts) -> DataFrame:
     """(qid, key, score) of the best ``k`` texts of each task for the queries in ``asked`` (qid, ix, w).
 
-    ``docs`` has the key, then a list an entry of which is a term; ``scored`` gives a slice's scores.
+    ``docs`` has the key, then the text, or a list an entry of which is a term; ``scored`` gives a slice's scores.
     """
     named = asked.column(0).combine_chunks().dictionary_encode("encode")
     qids, of = named.dictionary, named.indices.to_numpy()
@@ -124,10 +126,10 @@ def text_search(
     local = asked.limit(most + 1).toArrow()
     if local.num_rows > most or repeats(docs, key):
         return keyword_search(postings_of(docs, queries, key, text, vocabulary), queries, qid, key, k)
-    return in_blocks(docs.select(key, tokens(F.col(text)).alias("__t")), local, asked.schema[qid], key, k, vocabulary, block)
+    return in_blocks(docs.select(key, token_text(F.col(text)).alias("__t")), local, asked.schema[qid], key, k, vocabulary, block)
 
 
-def in_blocks(docs: DataFrame, local: pa.Table, qid: T.StructField, key: str, k: int, vocabulary: int, block: int = DEFAULT.query_block, scored=of_tokens) -> DataFrame:
+def in_blocks(docs: DataFrame, local: pa.Table, qid: T.StructField, key: str, k: int, vocabulary: int, block: int = DEFAULT.query_block, scored=of_texts) -> DataFrame:
     """(qid, key, score, rk): ``searched`` for ``block`` queries at a time."""
     number = local.column(0).combine_chunks().dictionary_encode("encode").indices.to_numpy() if local.num_rows else np.zeros(0, np.int32)
     out = docs.sparkSession.createDataFrame([], T.StructType([qid, docs.schema[key], T.StructField("score", T.DoubleType())]))

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.config import DEFAULT
-from ravelin.functions.text import term_index, tokens
+from ravelin.config import DEFAULT, STOPWORDS
+from ravelin.functions.text import term_index, token_text, tokens
 
 
 #: Terms of queries that are broadcast at most (some 40 bytes each).
@@ -98,12 +98,78 @@ def term_numbers(terms_: pa.StringArray, vocabulary: int = DEFAULT.vocabulary) -
     return out
 
 
-def numbered(tokens_: pa.ListArray, vocabulary: int = DEFAULT.vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How many tokens each list has, and of each token its row and its term's number; a batch's distinct terms are numbered once."""
-    sizes = tokens_.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    terms_ = tokens_.flatten().dictionary_encode()
-    ix = term_numbers(terms_.dictionary, vocabulary)[terms_.indices.to_numpy()] if len(terms_) else np.zeros(0, np.int64)
-    return sizes, np.repeat(np.arange(len(tokens_)), sizes), ix
+#: For each byte the letter or digit that it is in lower case, else 0.
+_FOLD = np.zeros(256, np.uint8)
+for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
+    _FOLD[[_c, ord(chr(_c).upper())]] = _c
+#: Bytes whose terms are numbered together, unless one term is longer.
+BLOCK = 1 << 20
+
+
+def _as_number(term: str) -> int:
+    return int.from_bytes(term.encode(), "little")
+
+
+def _hashes(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 32-bit hash of each term chars[start:end], terms in order and apart.
+
+    The multiplier has an inverse modulo 2**32, so that the hash of any part follows from sums over all characters before its
+    start and before its end.
+    """
+    out = np.empty(len(starts), np.uint32)
+    n = max(min(BLOCK, len(chars)), int((ends - starts).max(initial=0))) + 1
+    up, down = (np.cumprod(np.r_[np.uint32(1), np.full(n - 1, x, np.uint32)], dtype=np.uint32) for x in (33, pow(33, -1, 1 << 32)))
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + BLOCK, "right")))
+        part = chars[starts[lo] : ends[hi - 1]]
+        s, e = starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo]
+        sums = np.zeros(len(part) + 1, np.uint32)
+        np.cumsum(part * down[: len(part)], dtype=np.uint32, out=sums[1:])
+        out[lo:hi] = up[e - 1] * (sums[e] - sums[s]) + up[e - s] * np.uint32(5381)
+        lo = hi
+    return out
+
+
+def numbered(texts: pa.Array, vocabulary: int = DEFAULT.vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many tokens each text (as ``token_text`` has it) has, and of each token its text and its term's number.
+
+    Tokens are those of ``functions.text.tokens``: runs of letters and digits in the texts' bytes, all texts at once.
+    """
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    n = len(texts)
+    bounds = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8) if n else np.zeros(1, np.int64)
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[bounds[0] : bounds[-1]] if held is not None and held.size else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    chars = np.zeros(len(data) + 8, np.uint8)
+    np.take(_FOLD, data, out=chars[: len(data)])
+    on = chars[: len(data)] != 0
+    begins, closes = on.copy(), on.copy()
+    begins[1:] &= ~on[:-1]
+    closes[:-1] &= ~on[1:]
+    whole = np.diff(bounds) > 0
+    first, last = bounds[:-1][whole], bounds[1:][whole] - 1
+    begins[first], closes[last] = on[first], on[last]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+    more = ends - starts > 1
+    starts, ends = starts[more], ends[more]
+    ix = np.abs(_hashes(chars, starts, ends).view(np.int32).astype(np.int64)) % vocabulary
+    # a stopword has one of few numbers; what has such a number is compared, as up to eight characters in one integer
+    stop = np.sort(np.array([_as_number(w) for w in STOPWORDS], np.uint64))
+    likely = np.zeros(vocabulary, bool)
+    likely[term_numbers(pa.array(STOPWORDS, pa.string()), vocabulary)] = True
+    at = np.flatnonzero(likely[ix] & (ends - starts <= 8))
+    if len(at):
+        eight = np.ndarray(len(data) + 1, "<u8", chars, strides=(1,))[starts[at]]
+        size = (ends[at] - starts[at]).astype(np.uint64)
+        eight &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * size)
+        place = np.minimum(np.searchsorted(stop, eight), len(stop) - 1)
+        kept = np.ones(len(ix), bool)
+        kept[at[stop[place] == eight]] = False
+        starts, ix = starts[kept], ix[kept]
+    sizes = np.diff(np.searchsorted(starts, bounds))
+    return sizes, np.repeat(np.arange(n), sizes), ix
 
 
 def rounded(x: np.ndarray, digits: int) -> np.ndarray:
@@ -111,13 +177,13 @@ def rounded(x: np.ndarray, digits: int) -> np.ndarray:
     return np.floor(x * 10.0**digits + 0.5) / 10.0**digits
 
 
-def encode_tokens(tokens_: pa.ListArray, vocabulary: int = DEFAULT.vocabulary) -> pa.StructArray:
-    """(sparse, terms) of each list of tokens: term numbers, ascending, with their shares, and how many tokens there are.
+def encode_texts(texts: pa.Array, vocabulary: int = DEFAULT.vocabulary) -> pa.StructArray:
+    """(sparse, terms) of each text: term numbers, ascending, with their shares, and how many tokens there are.
 
     One sort of (row, number) gives all rows' runs.
     """
-    n = len(tokens_)
-    sizes, row, ix = numbered(tokens_, vocabulary)
+    n = len(texts)
+    sizes, row, ix = numbered(texts, vocabulary)
     keys, counts = np.unique(row * vocabulary + ix, return_counts=True)
     row = keys // vocabulary
     ends = pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32())
@@ -130,15 +196,15 @@ def encode_tokens(tokens_: pa.ListArray, vocabulary: int = DEFAULT.vocabulary) -
 def encoded_text(text: F.Column, vocabulary: int = DEFAULT.vocabulary) -> F.Column:
     """(sparse, terms): a text's term numbers, ascending, with their shares of its terms, and how many terms it has.
 
-    Terms that share a number add up.  Made in the row, without a shuffle.  Tokens are Spark's; they are numbered in Arrow batches, as a
-    number is a fold over a term's characters, for which Spark takes some 20 microseconds a token.
+    Terms that share a number add up.  Made in the row, without a shuffle.  Texts are split and numbered in Arrow batches, as Spark takes
+    over a microsecond a token for its list of tokens, and some twenty for a number.
     """
 
     @F.arrow_udf("struct<sparse: struct<indices: array<int>, values: array<double>>, terms: int>")
-    def encode(found: pa.Array) -> pa.Array:
-        return encode_tokens(found, vocabulary)
+    def encode(texts: pa.Array) -> pa.Array:
+        return encode_texts(texts, vocabulary)
 
-    return encode(tokens(text))
+    return encode(token_text(text))
 
 
 def encoded(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -256,3 +256,30 @@ def test_bm25_scores_texts_in_their_rows(spark):
     asked = sparse.postings(spark.createDataFrame([(1, "word1 word7 everywhere word1"), (2, "unheard"), (3, "word9")], "qid long, text string"), "qid")
     found = bm25.search(docs, sums, asked, 7)
     assert "MapInArrow" in plan(found) and hits(found) == hits(bm25.search(docs, sums, asked, 7, most=0))
+
+
+def test_texts_are_split_and_numbered_in_their_bytes_as_sql_does(spark, monkeypatch):
+    from ravelin.config import STOPWORDS
+    from ravelin.functions.text import token_text, tokens
+
+    rng = random.Random(5)
+    parts = [*"abzAZ019 .\n`", "the", "Through", "é", "K", "İ", "\U0001f600", " no ", "norm", "az c8 ", "```", *STOPWORDS]
+    rows = ["", None, "a", "ab", "the", "y" * 5000, "`cat` dog", "﻿One", *map(chr, [*range(0xD800), *range(0xE000, 0x20000)])]
+    rows += ["".join(rng.choices(parts, k=rng.choice([1, 3, 40]))) for _ in range(3000)]
+    rows += [f"q{chr(c)}q" for c in range(0x250)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "id long, text string").repartition(4).cache()
+    both = docs.select("id", tokens(F.col("text")).alias("t"), token_text(F.col("text")).alias("text")).orderBy("id").toArrow()
+    found = both.column("t").combine_chunks()
+    for block in (sparse.BLOCK, 9):
+        monkeypatch.setattr(sparse, "BLOCK", block)
+        for texts in (both.column("text").combine_chunks(), both.column("text").slice(7, 200).combine_chunks()):
+            sizes, row, ix = sparse.numbered(texts)
+            want = found if len(texts) == len(found) else found.slice(7, 200)
+            assert sizes.tolist() == want.value_lengths().to_pylist() and row.tolist() == np.repeat(np.arange(len(sizes)), sizes).tolist()
+            assert ix.tolist() == sparse.term_numbers(want.flatten()).tolist()
+    docs.unpersist()
+
+
+def test_a_search_makes_no_list_of_tokens(spark):
+    for name in ("sparse_topk", "hybrid_topk", "sparse_vectors"):
+        assert "split(" not in plan(registry.queries()[name](spark, MIDDLE))
