@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ravelin.config import DEFAULT
 from ravelin.functions.text import token_text
 from ravelin.operators.dense import Best
-from ravelin.operators.sparse import MAX_TERMS, keyword_search, numbered, postings_of, repeats, rounded, top_k
+from ravelin.operators.sparse import MAX_TERMS, keyword_search, numbered, postings_of, repeats, rounded, stored_postings, top_k
 
 #: Texts that are scored at once, scores of these (a row a text, a column a query), and bytes or entries in them, unless one text has more.
 ROWS, CELLS, SIZE = 1_000, 2_000_000, 2_000_000
@@ -129,6 +129,36 @@ def text_search(
     return in_blocks(docs.select(key, token_text(F.col(text)).alias("__t")), local, asked.schema[qid], key, k, vocabulary, block)
 
 
+def stored_search(
+    rows: DataFrame,
+    queries: DataFrame,
+    qid: str = "qid",
+    key: str = "id",
+    k: int = DEFAULT.prefetch,
+    vocabulary: int = DEFAULT.vocabulary,
+    most: int = MAX_TERMS,
+    block: int = DEFAULT.query_block,
+) -> DataFrame:
+    """As ``text_search``, of stored ``rows`` (key, sparse): their vectors are scored as they were written, no text is read.
+
+    Rows without a vector are left out.  As there, postings are shuffled only where queries have more than ``most`` terms or keys repeat.
+    """
+    asked = queries.select(qid, "ix", "w")
+    local = asked.limit(most + 1).toArrow()
+    held = rows.filter(F.size("sparse.indices") > 0)
+    if local.num_rows > most or repeats(held, key):
+        return keyword_search(stored_postings(held, key), queries, qid, key, k)
+
+    def scored(weights: Weights, part: pa.RecordBatch) -> np.ndarray:
+        sizes = part.column(1).value_lengths().to_numpy()
+        row, place = np.repeat(np.arange(len(sizes)), sizes), weights.place[part.column(1).flatten().to_numpy()]
+        at = np.flatnonzero(place >= 0)
+        return weights.products(row[at], place[at], part.column(2).flatten().to_numpy()[at], len(sizes))
+
+    entries = held.select(key, F.col("sparse.indices").alias("ixs"), F.col("sparse.values").alias("shares"))
+    return in_blocks(entries, local, asked.schema[qid], key, k, vocabulary, block, scored)
+
+
 def in_blocks(docs: DataFrame, local: pa.Table, qid: T.StructField, key: str, k: int, vocabulary: int, block: int = DEFAULT.query_block, scored=of_texts) -> DataFrame:
     """(qid, key, score, rk): ``searched`` for ``block`` queries at a time."""
     number = local.column(0).combine_chunks().dictionary_encode("encode").indices.to_numpy() if local.num_rows else np.zeros(0, np.int32)

@@ -189,11 +189,9 @@ def stored_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
             F.struct("source", none.alias("title"), none.alias("section_title"), F.lit(0).alias("chunk_index")).alias("metadata"),
         )
     )
-    index = postings.index_store(spark, f"{root}/index")
-    postings.build(index, chunks.read().select("id", "sparse"))
-    asked = _vectors(spark, d)[1]
-    by_vector = dense.vector_search(chunks.read().select("id", "embedding"), asked, skip_self=False)
-    by_words = postings.search(index, asked_terms(spark, d))
+    held, asked = chunks.read(), _vectors(spark, d)[1]
+    by_vector = dense.vector_search(held.select("id", "embedding"), asked, skip_self=False)
+    by_words = keyword.stored_search(held.select("id", "sparse"), asked_terms(spark, d))
     named = lambda hits: hits.withColumnRenamed("id", "doc_id")
     return fusion.best_fused(fusion.fused(named(by_vector), named(by_words)))
 

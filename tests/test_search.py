@@ -283,3 +283,22 @@ def test_texts_are_split_and_numbered_in_their_bytes_as_sql_does(spark, monkeypa
 def test_a_search_makes_no_list_of_tokens(spark):
     for name in ("sparse_topk", "hybrid_topk", "sparse_vectors"):
         assert "split(" not in plan(registry.queries()[name](spark, MIDDLE))
+
+
+def test_stored_vectors_are_scored_in_their_rows(spark, monkeypatch):
+    docs = texts_of(spark, 300).select("id", sparse.encoded_text(F.col("text")).alias("e")).select("id", "e.sparse")
+    docs = docs.unionByName(spark.createDataFrame([("no vector", None)], docs.schema)).cache()
+    asked = spark.createDataFrame([(1, "word1 word7 everywhere"), (2, "word59"), (3, "unheard"), (4, ""), (5, "word3 word3 word4")], "qid long, text string")
+    terms = sparse.postings(asked, "qid")
+    monkeypatch.setattr(keyword, "CELLS", 40)
+    for rows in (docs, docs.unionByName(docs.limit(30))):  # rows of one id add up
+        want = hits(sparse.keyword_search(sparse.stored_postings(rows), terms, "qid", "id", 30))
+        for options in ({}, {"block": 2}, {"most": 2}):
+            assert hits(keyword.stored_search(rows, terms, k=30, **options)) == want
+    assert "Generate explode" not in plan(keyword.stored_search(docs, terms))
+    docs.unpersist()
+
+
+def test_hybrid_search_of_a_store_shuffles_no_entry(spark):
+    found = plan(registry.queries()["stored_hybrid_topk"](spark, MIDDLE))
+    assert found.count("MapInArrow") >= 2 and "Generate explode" not in found
