@@ -104,7 +104,7 @@ def built_index(spark: SparkSession, d: str, root: str) -> store.SnapshotStore:
 
 def bm25_topk(spark: SparkSession, d: str, k: int = DEFAULT.prefetch) -> DataFrame:
     """Chunks by BM25 after the two ingests of ``ingested``; document frequencies follow the second one by what it changes."""
-    chunks, sums = _two_ingests(spark, d)
+    chunks, sums = _two_ingests(spark, d, counted=True)
     texts = chunks.read().select("id", "sparse", "terms")
     return bm25.search(texts, sums.read(), asked_terms(spark, d), k)
 
@@ -119,15 +119,15 @@ def _shared(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def _two_ingests(spark: SparkSession, d: str) -> tuple[store.SnapshotStore, bm25.TermSums]:
+def _two_ingests(spark: SparkSession, d: str, counted: bool = False) -> tuple[store.SnapshotStore, bm25.TermSums | None]:
     """A store after two ingests: the first has an older listing, which lacks every tenth file and
-    has others' older texts, the second the files as they are."""
+    has others' older texts, the second the files as they are.  If ``counted``, sums of terms follow both."""
     root = f"{_shared(spark)}/ingest-{uuid.uuid4().hex}"
     chunks = store.SnapshotStore(spark, f"{root}/chunks", schemas.STORED_CHUNK, "metadata.source", DEFAULT.buckets)
     state = store.SnapshotStore(spark, f"{root}/state", schemas.FILE_STATE)
     docs = table(spark, d, "documents").filter(F.col("doc_id") % 10 != 0)
     older = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("# old"), "text")).otherwise(F.col("text"))
-    sums = bm25.TermSums(spark, f"{root}/sums")
+    sums = bm25.TermSums(spark, f"{root}/sums") if counted else None
     ingest.ingest(docs.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("source"), older.alias("content")), chunks, state, sums=sums)
     ingest.ingest(files(spark, d), chunks, state, sums=sums)
     return chunks, sums

@@ -244,3 +244,16 @@ def test_last_messages(spark, n):
     df = spark.createDataFrame([(history,)], "h array<struct<role: string, content: string>>")
     got = df.select(prompt.last_messages(F.col("h")).alias("m")).first()["m"]
     assert [m["content"] for m in got] == [str(k) for k in range(n)][-6:]
+
+
+def test_an_ingest_without_bm25_counts_no_terms(spark, monkeypatch):
+    from ravelin.operators import bm25
+    from ravelin.plans import registry
+
+    def refuse(*_):
+        raise AssertionError("terms are counted for nobody")
+
+    monkeypatch.setattr(bm25.TermSums, "count", refuse)
+    assert registry.queries()["ingested"](spark, "/root/testdata/sf0.001").filter("stale = 0").count() == 200
+    with pytest.raises(AssertionError):
+        registry.queries()["bm25_topk"](spark, "/root/testdata/sf0.001")
