@@ -216,7 +216,8 @@ class SnapshotStore:
     def _write(self, rows: DataFrame, path: str) -> None:
         writer = rows.write.partitionBy("bucket")
         if self.key:
-            writer = writer.option(f"parquet.bloom.filter.enabled#{self.key}", True)
+            # adaptive: a small file has a small filter, else each file has one of a megabyte
+            writer = writer.option(f"parquet.bloom.filter.enabled#{self.key}", True).option("parquet.bloom.filter.adaptive.enabled", True)
         writer.parquet(path)
 
     def _staged_buckets(self, version: str) -> dict[int, int]:

@@ -257,3 +257,13 @@ def test_an_ingest_without_bm25_counts_no_terms(spark, monkeypatch):
     assert registry.queries()["ingested"](spark, "/root/testdata/sf0.001").filter("stale = 0").count() == 200
     with pytest.raises(AssertionError):
         registry.queries()["bm25_topk"](spark, "/root/testdata/sf0.001")
+
+
+def test_small_buckets_make_small_files(spark, tmp_path):
+    from ravelin.operators.store import SnapshotStore
+
+    rows = SnapshotStore(spark, str(tmp_path / "s"), "source string, n long", "source", 8)
+    rows.write(spark.range(200).select(F.concat(F.lit("f"), "id").alias("source"), F.col("id").alias("n")))
+    files = [p for p in (tmp_path / "s").rglob("*.parquet")]
+    assert len(files) == 8 and sum(p.stat().st_size for p in files) < 1_000_000  # a filter of a megabyte each before
+    assert [r["n"] for r in rows.of_sources(["f7"]).collect()] == [7]
